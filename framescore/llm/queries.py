@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .bpe import op10_bpe
+from .packing import op8_best_fit_packing
 from .substring_dedup import op1_substring_dedup
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup,)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op8_best_fit_packing, op10_bpe)}
 ORACLES: dict[str, str] = {}
