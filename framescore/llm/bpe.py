@@ -19,14 +19,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 #: Distinct words whose ids a task keeps; and new words merged at a time.
-CACHE = 400_000
-BATCH = 60_000
+CACHE = 200_000
+BATCH = 30_000
 _NONE = np.int64(1 << 40)
 
 
@@ -173,7 +174,7 @@ def tokenizer(path: str) -> WordBpe:
 
 def _slices(batch: pa.RecordBatch, col: str, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``most`` characters each."""
-    size = np.array([len(x) if x else 0 for x in batch.column(col).to_pylist()], np.int64)
+    size = pc.fill_null(pc.binary_length(batch.column(col)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     part = np.cumsum(size) // most
     cut = [0, *(np.flatnonzero(np.diff(part)) + 1), len(size)]
     for i, j in zip(cut, cut[1:], strict=False):
