@@ -52,9 +52,6 @@ class WordBpe:
         model, vocab = spec["model"], spec["model"]["vocab"]
         self.end = model["end_of_word_suffix"] or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.tokens = np.full(max([*vocab.values(), *self.special.values()]) + 1, "", object)
-        for token, i in [*vocab.items(), *self.special.items()]:
-            self.tokens[i] = token
         chars = _byte_chars()
         self.inner = np.array([vocab[c] for c in chars], np.int64)
         self.final = np.array([vocab[c + self.end] for c in chars], np.int64)
@@ -172,6 +169,16 @@ def tokenizer(path: str) -> WordBpe:
     return WordBpe(path)
 
 
+@functools.lru_cache(2)
+def tokens(path: str) -> np.ndarray:
+    """The token of each id."""
+    spec = json.load(open(path, encoding="utf-8"))
+    ids = spec["model"]["vocab"] | {t["content"]: t["id"] for t in spec["added_tokens"]}
+    out = np.full(max(ids.values()) + 1, "", object)
+    out[list(ids.values())] = list(ids)
+    return out
+
+
 def _slices(batch: pa.RecordBatch, col: str, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``most`` characters each."""
     size = pc.fill_null(pc.binary_length(batch.column(col)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -203,10 +210,10 @@ def bpe_decode(rows: DataFrame, path: str, col: str = "ids", out: str = "decoded
     """Adds the text of the ids in ``col``: the file names no decoder, so its tokens joined by a space."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = tokenizer(path).tokens
+        table = tokens(path)
         for batch in batches:
             lists = batch.column(col)
-            flat = tokens[lists.flatten().to_numpy(zero_copy_only=False)]
+            flat = table[lists.flatten().to_numpy(zero_copy_only=False)]
             cut = np.cumsum([0, *(x or 0 for x in lists.value_lengths().to_pylist())])
             text = pa.array([" ".join(flat[i:j].tolist()) for i, j in zip(cut, cut[1:], strict=False)], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, text], [*batch.schema.names, out])

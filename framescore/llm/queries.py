@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from .bpe import op10_bpe
 from .packing import op8_best_fit_packing
+from .quality import op5_quality_rules
 from .substring_dedup import op1_substring_dedup
 from .toxicity import op9_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op8_best_fit_packing, op9_toxicity, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op5_quality_rules, op8_best_fit_packing, op9_toxicity, op10_bpe)}
 ORACLES: dict[str, str] = {}

@@ -35,6 +35,8 @@ SHORTEST, LONGEST = 3, 14
 SUPPORT = 0.02
 #: Log ratio of rates that an entry has at least.
 LEAST_WEIGHT = 3.0
+#: Standard errors between its shares of toxic and other rows at least.
+LEAST_ERRORS = 2.0
 #: Phrases in which a lexicon word is harmless.
 EXCEPTIONS = ("trash can", "trash bag", "trash bin", "trash collection", "class clown fish", "clown fish", "sore loser", "pond scum", "soap scum", "worthless currency")
 
@@ -165,7 +167,9 @@ def fit(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = EXCEPT
     gain: dict[str, tuple[float, float]] = {}
     for e, r in stats.items():
         weight = math.log((r["hits1"] + 0.5) / (w1 + 1)) - math.log((r["hits0"] + 0.5) / (w0 + 1))
-        if r["docs1"] / d1 >= 5 * r["docs0"] / max(1, d0) and weight >= LEAST_WEIGHT:
+        share, clean = r["docs1"] / d1, r["docs0"] / max(1, d0)
+        error = math.sqrt(share * (1 - share) / d1 + clean * (1 - clean) / max(1, d0))
+        if share >= 5 * clean and share - clean >= LEAST_ERRORS * error and weight >= LEAST_WEIGHT:
             gain[e] = (r["docs1"] * weight, weight)
     for e in sorted(gain, key=len, reverse=True):  # a beginning gives way to a longer one that as many toxic rows have
         short = e[:-1]
