@@ -311,7 +311,7 @@ def _main(r: random.Random) -> str:
     parts = [r.choice([f"<h1 {mark}>{_words(r, r.randint(2, 9))}</h1>", f"<h1 {mark}>{_sentence(r, r.randint(1, 8))}</h1>", f"<h2 {mark}>{_words(r, 5)}</h2>", ""])]
     for _ in range(r.choice([1, 1, 2, 3, 5, 8, 12])):
         kind = r.random()
-        text = _words(r, r.choice([1, 20, 90, 300])) if bare else _prose(r, r.choice([1, 2, 5, 8]))
+        text = _words(r, r.choice([1, 20, 90, 300, 900])) if bare else _prose(r, r.choice([1, 2, 5, 8]))
         if kind < 0.7:
             parts.append(f"<p {mark}>{text}</p>")
         elif kind < 0.78:
