@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op10_bpe
+from .embedding_dedup import op6_embedding_dedup
 from .html_text import op2_html_text
 from .jaccard import op7_jaccard_join
 from .packing import op8_best_fit_packing
@@ -12,5 +13,5 @@ from .suffix_dedup import op3_suffix_dedup
 from .toxicity import op9_toxicity
 from .warc import op4_SQL, op4_warc
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_html_text, op3_suffix_dedup, op4_warc, op5_quality_rules, op7_jaccard_join, op8_best_fit_packing, op9_toxicity, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_html_text, op3_suffix_dedup, op4_warc, op5_quality_rules, op6_embedding_dedup, op7_jaccard_join, op8_best_fit_packing, op9_toxicity, op10_bpe)}
 ORACLES: dict[str, str] = {"op4_warc": op4_SQL}
