@@ -52,10 +52,10 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def chunked(docs: DataFrame, n_chunks: int, id_col: str = "doc_id", col: str = "text") -> DataFrame:
-    """``id_col``, ``col`` and the chunk of each row; rows without an id are dealt by their text."""
+def chunked(docs: DataFrame, n_chunks: int, id_col: str = "doc_id", col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``id_col``, ``col``, ``keep`` and the chunk of each row; rows without an id are dealt by their text."""
     key = F.when(F.col(id_col).isNull(), F.xxhash64(col)).otherwise(F.xxhash64(id_col))
-    return docs.select(F.col(id_col), F.col(col), F.pmod(key, F.lit(n_chunks)).cast("int").alias("chunk"))
+    return docs.select(F.col(id_col), F.col(col), *keep, F.pmod(key, F.lit(n_chunks)).cast("int").alias("chunk"))
 
 
 def sizes(total_bytes: int, key_bytes: float) -> tuple[int, int]:
@@ -237,6 +237,24 @@ def census(rows: DataFrame) -> DataFrame:
     return rows.groupBy("bucket").applyInArrow(_count, REPLY)
 
 
+def _first(table: pa.Table) -> pa.Table:
+    parts = table.column("keys").to_pylist()
+    n = np.array([len(x) // 8 for x in parts])
+    keys, more = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.uint64) for c in ("keys", "more"))
+    order = np.lexsort((np.repeat(table.column("chunk").to_numpy(), n), more, keys))
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[order][1:] != keys[order][:-1]) | (more[order][1:] != more[order][:-1])
+    out = np.empty(len(keys), bool)
+    out[order] = new
+    bits = [np.packbits(x).tobytes() for x in np.split(out, np.cumsum(n)[:-1])]
+    return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "bits": pa.array(bits, pa.binary())})
+
+
+def first_census(rows: DataFrame) -> DataFrame:
+    """For each row of ``census_rows`` (``more`` of 64 bits), a bit for each of its keys: is this chunk the first to have it?"""
+    return rows.groupBy("bucket").applyInArrow(_first, REPLY)
+
+
 def replied(reply: pa.Table, keys: np.ndarray, buckets: int) -> np.ndarray:
     """The bits of a chunk's distinct keys, in their order."""
     cut, out = _cuts(keys, buckets), np.zeros(len(keys), bool)

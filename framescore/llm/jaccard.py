@@ -34,7 +34,9 @@ from .components import components
 
 #: Sizes of a band reach from its upper end down to this share of it.
 BAND = 0.6
-_ROW = "doc_id long, n long, sig_a long, sig_b long, chunk int"
+#: Pairs, of 16 bytes each, that are broadcast at most.
+FEW = 200_000
+_ROW = "doc_id long, n long, sig_a long, sig_b long, head boolean"
 
 
 @functools.lru_cache(4096)
@@ -89,45 +91,71 @@ def _signature(s: np.ndarray) -> tuple[int, int]:
 
 
 def candidates(docs: DataFrame, words: int, p: int, q: int) -> DataFrame:
-    """A row for each document; those with a key that occurs again have their set and such keys too."""
+    """A row for each document.  One of those with equal sets is the head, and heads with a key that
+    another head has too hold their set and such keys."""
     n, buckets = C.sizes(C.text_bytes(docs), 0.45)
     chunked = C.chunked(docs, n)
 
     def local(table: pa.Table):
-        """Sets, signatures, and the places of the first row with an id of each signature."""
+        """Sets, signatures, and by signature the place of its first row with an id."""
         sets = sets_of(table, words)
         sigs = [_signature(s) for s in sets]
-        first: dict[tuple[int, int, int], int] = {}
+        first: dict[tuple[int, int], int] = {}
         for i, (doc, s) in enumerate(zip(table.column("doc_id").to_pylist(), sets, strict=True)):
             if doc is not None and len(s):
-                first.setdefault((len(s), *sigs[i]), i)
-        return sets, sigs, list(first.values())
-
-    def send(table: pa.Table) -> pa.Table:
-        sets, _, first = local(table)
-        keys = np.concatenate([np.zeros(0, np.uint64), *(keys_of(sets[i], p, q) for i in first)])
-        uniq, _, twice, _ = C.distinct(keys)
+                first.setdefault(sigs[i], i)
+        order = sorted(first, key=lambda s: (s[0] % (1 << 64), s[1] % (1 << 64)))
+        return sets, sigs, [first[s] for s in order], *(np.array([s[i] for s in order], np.int64).view(np.uint64) for i in (0, 1))
+
+    def sign(table: pa.Table) -> pa.Table:
+        _, _, _, a, b = local(table)
+        return C.census_rows(table.column("chunk")[0].as_py(), a, b, np.zeros(len(a), bool), buckets)
+
+    def heads_of(table: pa.Table, reply: pa.Table):
+        sets, sigs, first, a, _ = local(table)
+        heads = [i for i, x in zip(first, C.replied(reply, a, buckets), strict=True) if x]
+        return sets, sigs, heads, [keys_of(sets[i], p, q) for i in heads]
+
+    def send(table: pa.Table, reply: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return C.census_rows(0, np.zeros(0, np.uint64), None, np.zeros(0, bool), buckets)
+        uniq, _, twice, _ = C.distinct(np.concatenate([np.zeros(0, np.uint64), *heads_of(table, reply)[3]]))
         return C.census_rows(table.column("chunk")[0].as_py(), uniq, None, twice, buckets)
 
-    def back(table: pa.Table, reply: pa.Table) -> pa.Table:
-        sets, sigs, first = local(table)
-        keys = [keys_of(sets[i], p, q) for i in first]
+    def back(table: pa.Table, replies: pa.Table) -> pa.Table:
+        phase = replies.column("phase").to_numpy()
+        sets, sigs, heads, keys = heads_of(table, replies.filter(pa.array(phase == 1)))
         uniq, _, _, place = C.distinct(np.concatenate([np.zeros(0, np.uint64), *keys]))
-        hit = C.replied(reply, uniq, buckets)[place]
+        hit = C.replied(replies.filter(pa.array(phase == 2)), uniq, buckets)[place]
         held: list = [None] * len(sets)
         found: list = [None] * len(sets)
         at = 0
-        for i, k in zip(first, keys, strict=True):
+        for i, k in zip(heads, keys, strict=True):
             mine = k[hit[at : at + len(k)]]
             at += len(k)
             if len(mine):
-                held[i], found[i] = sets[i].tobytes(), mine.view(np.int64)
+                held[i], found[i] = pack_set(sets[i]), mine.view(np.int64)
+        head = np.zeros(len(sets), bool)
+        head[heads] = True
         a, b = zip(*sigs, strict=True) if sigs else ((), ())
-        cols = [table.column("doc_id").cast(pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), table.column("chunk"), pa.array(held, pa.binary()), pa.array(found, pa.list_(pa.int64()))]
-        return pa.table(dict(zip(["doc_id", "n", "sig_a", "sig_b", "chunk", "shingles", "keys"], cols, strict=True)))
+        cols = [table.column("doc_id").cast(pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(head), pa.array(held, pa.binary()), pa.array(found, pa.list_(pa.int64()))]
+        return pa.table(dict(zip(["doc_id", "n", "sig_a", "sig_b", "head", "shingles", "keys"], cols, strict=True)))
+
+    one = C.first_census(chunked.groupBy("chunk").applyInArrow(sign, C.CENSUS))
+    two = C.census(chunked.groupBy("chunk").cogroup(one.groupBy("chunk")).applyInArrow(send, C.CENSUS))
+    replies = one.selectExpr("*", "1 AS phase").unionByName(two.selectExpr("*", "2 AS phase"))
+    return chunked.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(back, _ROW + ", shingles binary, keys array<long>")
+
+
+def pack_set(s: np.ndarray) -> bytes:
+    """The low six bytes of each hash: a set's own are told apart, and those of two sets by chance once in 2**48 pairs."""
+    return s.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
 
-    reply = C.census(chunked.groupBy("chunk").applyInArrow(send, C.CENSUS))
-    return chunked.groupBy("chunk").cogroup(reply.groupBy("chunk")).applyInArrow(back, _ROW + ", shingles binary, keys array<long>")
+def unpack_set(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
@@ -137,7 +165,7 @@ def verified(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
         for b in batches:
             keep = []
             for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                x, y = unpack_set(x), unpack_set(y)
                 both = np.concatenate([x, y])
                 both.sort()
                 common = int((both[1:] == both[:-1]).sum())
@@ -146,20 +174,24 @@ def verified(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
 
     one = sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("a"))
     two = sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("b"))
-    return pairs.join(one, "u").join(two, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+    pairs = C.checkpoint(pairs)
+    if pairs.count() <= FEW:  # so both sides' sets stay where they are but for those in pairs
+        few = F.broadcast(pairs)
+        met = one.join(few, "u").join(two.join(few, "v"), ["u", "v"])
+    else:
+        met = pairs.join(one, "u").join(two, "v")
+    return met.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, p: int = 80, q: int = 100) -> DataFrame:
     """Per row ``doc_id``, ``n_shingles`` and ``component_id``: links at an intersection of p/q of the union or more."""
     rows = C.checkpoint(candidates(docs.select("doc_id", "text"), words, p, q))
     usable = rows.where("doc_id IS NOT NULL AND n > 0")
-    classes = usable.groupBy("n", "sig_a", "sig_b").agg(F.min("doc_id").alias("head"))
-    sets = usable.where("shingles IS NOT NULL").select("doc_id", "n", "sig_a", "sig_b", "shingles", "keys")
-    # of equal sets, the one row that heads them (several if that id is repeated)
-    sets = C.checkpoint(sets.join(classes, ["n", "sig_a", "sig_b"]).where("doc_id = head").select("doc_id", "n", "shingles", "keys").dropDuplicates(["doc_id", "n"]))
+    classes = usable.groupBy("sig_a", "sig_b").agg(F.min("doc_id").alias("low"), F.max(F.when(F.col("head"), F.col("doc_id"))).alias("node"))
+    sets = rows.where("shingles IS NOT NULL").select("doc_id", "n", "shingles", "keys")
     spread = sets.select(F.col("doc_id").alias("v"), F.explode("keys").alias("key"))
     hubs = spread.groupBy("key").agg(F.min("v").alias("u"), F.count("*").alias("c")).where("c > 1").drop("c")
-    star = spread.join(hubs, "key").where("u < v").select("u", "v").distinct()
+    star = C.checkpoint(spread.join(hubs, "key").where("u < v").select("u", "v").distinct())
     links = C.checkpoint(verified(star, sets, p, q))
     # what is still apart in a key
     label = components(links)
@@ -172,9 +204,12 @@ def jaccard_components(docs: DataFrame, words: int = 5, p: int = 80, q: int = 10
     pairs = pairs.join(star, ["u", "v"], "left_anti")
     links = links.unionByName(C.checkpoint(verified(pairs, sets, p, q)))
     label = components(links)
-    named = rows.join(classes, ["n", "sig_a", "sig_b"], "left").join(label.withColumnRenamed("node", "head"), "head", "left")
+    placed = classes.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    lowest = placed.groupBy("component").agg(F.min("low").alias("component_id"))
+    found = placed.join(lowest, "component").select("sig_a", "sig_b", "component_id")
+    named = rows.select("doc_id", "n", "sig_a", "sig_b").join(found, ["sig_a", "sig_b"], "left")
     alone = F.col("doc_id").isNull() | (F.col("n") == 0)
-    return named.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.coalesce("component", "head")).alias("component_id"))
+    return named.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
