@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 #: Distinct words whose ids a task keeps; and new words merged at a time.
-CACHE = 200_000
+CACHE = 150_000
 BATCH = 30_000
 _NONE = np.int64(1 << 40)
 
@@ -179,7 +179,7 @@ def tokens(path: str) -> np.ndarray:
     return out
 
 
-def _slices(batch: pa.RecordBatch, col: str, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, col: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``most`` characters each."""
     size = pc.fill_null(pc.binary_length(batch.column(col)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     part = np.cumsum(size) // most
@@ -189,34 +189,41 @@ def _slices(batch: pa.RecordBatch, col: str, most: int = 1 << 21) -> Iterator[pa
             yield batch.slice(i, j - i)
 
 
-def bpe_encode(docs: DataFrame, path: str, col: str = "text", out: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` and the ids of ``col``, as array<int>; no row is merged or left out."""
+def bpe_encode(docs: DataFrame, path: str, col: str = "text", out: str = "ids", keep: tuple[str, ...] = ("doc_id",), decoded: str | None = None) -> DataFrame:
+    """``keep`` and the ids of ``col``, as array<int>; no row is merged or left out.
+
+    ``decoded`` names one more column, the text that ``bpe_decode`` makes of those ids.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = tokenizer(path)
+        bpe, table = tokenizer(path), tokens(path) if decoded else None
         for whole in batches:
             for batch in _slices(whole, col):
                 ids = bpe.encode([t or "" for t in batch.column(col).to_pylist()])
                 off = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(off), pa.array(np.frombuffer(b"".join(ids), np.int32)))
-                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), lists], [*keep, out])
+                flat = np.frombuffer(b"".join(ids), np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(off), pa.array(flat))
+                text = [_decoded(table, lists)] if decoded else []
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), lists, *text], [*keep, out, *([decoded] if decoded else [])])
 
     types = dict(docs.dtypes)
-    schema = ", ".join([*(f"`{k}` {types[k]}" for k in keep), f"`{out}` array<int>"])
+    schema = ", ".join([*(f"`{k}` {types[k]}" for k in keep), f"`{out}` array<int>", *([f"`{decoded}` string"] if decoded else [])])
     return docs.select(*keep, col).mapInArrow(run, schema)
 
 
+def _decoded(table: np.ndarray, lists: pa.ListArray) -> pa.Array:
+    flat = table[lists.flatten().to_numpy(zero_copy_only=False)]
+    cut = np.cumsum([0, *(x or 0 for x in lists.value_lengths().to_pylist())])
+    return pa.array([" ".join(flat[i:j]) for i, j in zip(cut, cut[1:], strict=False)], pa.string())
+
+
 def bpe_decode(rows: DataFrame, path: str, col: str = "ids", out: str = "decoded") -> DataFrame:
     """Adds the text of the ids in ``col``: the file names no decoder, so its tokens joined by a space."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = tokens(path)
         for batch in batches:
-            lists = batch.column(col)
-            flat = table[lists.flatten().to_numpy(zero_copy_only=False)]
-            cut = np.cumsum([0, *(x or 0 for x in lists.value_lengths().to_pylist())])
-            text = pa.array([" ".join(flat[i:j].tolist()) for i, j in zip(cut, cut[1:], strict=False)], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, text], [*batch.schema.names, out])
+            yield pa.RecordBatch.from_arrays([*batch.columns, _decoded(table, batch.column(col))], [*batch.schema.names, out])
 
     schema = ", ".join([*(f"`{k}` {v}" for k, v in rows.dtypes), f"`{out}` string"])
     return rows.mapInArrow(run, schema)
@@ -225,7 +232,7 @@ def bpe_decode(rows: DataFrame, path: str, col: str = "ids", out: str = "decoded
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = word_bpe_path()
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    both = bpe_decode(bpe_encode(docs, path), path)
+    both = bpe_encode(docs, path, decoded="decoded")
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
