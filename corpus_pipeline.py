@@ -1,15 +1,89 @@
-"""Corpus pipeline: quality rules, toxicity, near duplicates, repeated substrings, packing."""
+"""Corpus pipeline: quality rules, toxicity, near duplicates, repeated substrings, packing.
+
+Each stage takes the documents that the one before it kept, whole, and returns documents; the
+last returns the packed pieces.  Rows keep their columns; a text that is cut has ``n_chars``
+of what is left.  Nulls: a null text fails the quality rules; rows without an id can't be
+labelled or grouped and pass the stages on their text alone.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from framescore.llm import quality, suffix_dedup, toxicity
+from framescore.llm.jaccard import jaccard_components
+from framescore.llm.packing import best_fit_packing
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    found = quality.quality_rules(docs.select(*COLUMNS), _labels(spark, sf_dir), ("doc_id", "lang", "source", "n_chars"))
+    return quality.kept_only(found).select(*COLUMNS)
+
+
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents below the toxicity threshold."""
+    docs = docs.select(*COLUMNS)
+    found = toxicity.toxicity(docs, toxicity.fit(docs, _labels(spark, sf_dir)), tuple(COLUMNS))
+    return found.where(F.col("score") < toxicity.THRESHOLD).select(*COLUMNS)
+
 
-STAGES: list = []
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the smallest id, of each group linked by five-word shingles at 0.8 or more."""
+    docs = docs.select(*COLUMNS)
+    found = jaccard_components(docs, 5, 80, 100)
+    gone = found.where("component_id != doc_id").select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti")
+    # of rows that repeat an id, one
+    ids = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    return ids.unionByName(kept.where("doc_id IS NULL")).select(*COLUMNS)
+
+
+def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the byte strings of 200 that stand elsewhere too; those with nothing left go."""
+    docs = docs.select(*COLUMNS)
+    cut = suffix_dedup.suffix_dedup(docs, 200, with_text=True, keep=("lang", "source", "n_chars"))
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
+    chars = F.when(F.col("n_removed") > 0, F.char_length("kept_text").cast("long")).otherwise(F.col("n_chars"))
+    left = cut.where((F.col("n_removed") == 0) | F.col("kept_text").rlike(r"[^\x20\x09-\x0D]"))
+    return left.select("doc_id", text.alias("text"), "lang", "source", chars.alias("n_chars"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents, packed into sequences of 4096 tokens."""
+    return best_fit_packing(docs.select("doc_id", "text"))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("toxicity", toxicity_filter),
+    ("near_duplicates", near_duplicates),
+    ("suffix_array_dedup", suffix_array_dedup),
+    ("best_fit_packing", packing),
+]
+
+#: The hashes, learned weights and tokens of the stages can't be had in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on the documents of a folder, each written to the shared folder and read again."""
+    import uuid
+
+    from framescore.llm.chunks import shared_dir
+
+    folder = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs.write.parquet(f"{folder}/{i}_{name}")
+            docs = spark.read.parquet(f"{folder}/{i}_{name}")
     return docs

@@ -277,8 +277,8 @@ def _shard(width: int):
     return run
 
 
-def suffix_dedup(docs: DataFrame, width: int = 200, id_col: str = "doc_id", with_text: bool = False) -> DataFrame:
-    """Per row: ``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` and, if asked for, ``kept_text``.
+def suffix_dedup(docs: DataFrame, width: int = 200, id_col: str = "doc_id", with_text: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per row: ``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``; if asked for, ``kept_text`` and ``text``; and ``keep``.
 
     A byte goes if a string of ``width`` bytes (``GRAM`` + 8 at least) that covers it starts anywhere
     else too.  ``kept_text`` is what is left, U+FFFD where a character was cut.
@@ -286,7 +286,8 @@ def suffix_dedup(docs: DataFrame, width: int = 200, id_col: str = "doc_id", with
     total = C.text_bytes(docs)
     n, buckets = C.sizes(total, 0.4)
     shards = max(min(n, 12), total // SHARD_BYTES + 1)
-    chunked = C.chunked(docs.withColumnsRenamed({id_col: "doc_id"}), n)
+    chunked = C.chunked(docs.withColumnsRenamed({id_col: "doc_id"}), n, keep=keep)
+    types = dict(docs.dtypes)
 
     def known(data: np.ndarray, ends: np.ndarray):
         first, last, key, content = segments(data, ends, width)
@@ -351,13 +352,14 @@ def suffix_dedup(docs: DataFrame, width: int = 200, id_col: str = "doc_id", with
         }
         if with_text:
             cols["kept_text"] = pa.array([x.decode(errors="replace") for x in kept], pa.string())
-        return pa.table(cols)
+            cols["text"] = table.column("text")
+        return pa.table(cols | {k: table.column(k) for k in keep})
 
     census = chunked.groupBy("chunk").applyInArrow(send, SENT).groupBy("bucket").applyInArrow(_count, "chunk int, bucket int, whole binary, ship binary")
     sent = chunked.groupBy("chunk").cogroup(census.groupBy("chunk")).applyInArrow(ship_rows, "chunk int, bucket int, sizes binary, text binary")
     sharded = sent.groupBy("bucket").applyInArrow(_shard(width), C.REPLY)
     replies = census.selectExpr("*", "CAST(null AS binary) AS bits", "1 AS phase").unionByName(sharded.selectExpr("chunk", "bucket", "CAST(null AS binary) AS whole", "CAST(null AS binary) AS ship", "bits", "2 AS phase"))
-    schema = RESULT + (", kept_text string" if with_text else "")
+    schema = RESULT + (", kept_text string, text string" if with_text else "") + "".join(f", `{k}` {types[k]}" for k in keep)
     return chunked.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(end, schema)
 
 
