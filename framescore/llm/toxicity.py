@@ -217,7 +217,7 @@ def _scored(docs: DataFrame, weights: dict[str, float], exceptions: tuple[str, .
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), *(pa.array(c, pa.float64()) for c in (weight, density)), pa.array(n, pa.int64())], [*keep, "weight", "density", "n_hits"])
 
     types = dict(docs.dtypes)
-    return docs.select(*keep, "text").mapInArrow(run, ", ".join([*(f"`{k}` {types[k]}" for k in keep), "weight double, density double, n_hits long"]))
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, ", ".join([*(f"`{k}` {types[k]}" for k in keep), "weight double, density double, n_hits long"]))
 
 
 def toxicity(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
