@@ -156,7 +156,7 @@ class WordBpe:
 
 
 _ODD = re.compile("[\x1c-\x1f]")
-_WHITE = re.compile("[\t-\r \x85\xa0  -     　]+")
+_WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
 def _split(text: str) -> list[str]:

@@ -43,7 +43,7 @@ EXCEPTIONS = ("trash can", "trash bag", "trash bin", "trash collection", "class
 # fixed values: characters that look like Latin letters, and digits or signs that stand for one
 _LOOKALIKES = dict(zip("абвгдезіїјкмнорстухѕԁԛѡαβεηικνορτυχωɑɡıℓ０１３４５７", "abbrdeziijkmhopctyxsdqwabeniknoptuxwagiloieast", strict=False))
 _STANDS_FOR = dict(zip("013457@$", "oieasta" + "s", strict=True))
-_INVISIBLE = "­​‌‍⁠﻿"
+_INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 
 
 class _Fold(dict):
