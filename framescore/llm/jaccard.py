@@ -129,22 +129,80 @@ def candidates(docs: DataFrame, words: int, p: int, q: int) -> DataFrame:
         hit = C.replied(replies.filter(pa.array(phase == 2)), uniq, buckets)[place]
         held: list = [None] * len(sets)
         found: list = [None] * len(sets)
+        bits: list = [None] * len(sets)
         at = 0
         for i, k in zip(heads, keys, strict=True):
             mine = k[hit[at : at + len(k)]]
             at += len(k)
             if len(mine):
-                held[i], found[i] = pack_set(sets[i]), mine.view(np.int64)
+                held[i], found[i], bits[i] = pack_set(sets[i]), mine.view(np.int64), sketch(sets[i])
         head = np.zeros(len(sets), bool)
         head[heads] = True
         a, b = zip(*sigs, strict=True) if sigs else ((), ())
-        cols = [table.column("doc_id").cast(pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(head), pa.array(held, pa.binary()), pa.array(found, pa.list_(pa.int64()))]
-        return pa.table(dict(zip(["doc_id", "n", "sig_a", "sig_b", "head", "shingles", "keys"], cols, strict=True)))
+        cols = [table.column("doc_id").cast(pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(head), pa.array(held, pa.binary()), pa.array(found, pa.list_(pa.int64())), pa.array(bits, pa.binary())]
+        return pa.table(dict(zip(["doc_id", "n", "sig_a", "sig_b", "head", "shingles", "keys", "sketch"], cols, strict=True)))
 
     one = C.first_census(chunked.groupBy("chunk").applyInArrow(sign, C.CENSUS))
     two = C.census(chunked.groupBy("chunk").cogroup(one.groupBy("chunk")).applyInArrow(send, C.CENSUS))
     replies = one.selectExpr("*", "1 AS phase").unionByName(two.selectExpr("*", "2 AS phase"))
-    return chunked.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(back, _ROW + ", shingles binary, keys array<long>")
+    return chunked.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(back, _ROW + ", shingles binary, keys array<long>, sketch binary")
+
+
+def sketch(s: np.ndarray) -> bytes:
+    """Parity of the set's hashes in each of twice as many bits or more, a power of two."""
+    size = max(64, 1 << (2 * len(s) - 1).bit_length())
+    odd = np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def near_pairs(ids: np.ndarray, comp: np.ndarray, n: np.ndarray, sketches: list[bytes], p: int, q: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of different components whose sizes and sketches don't rule out a link."""
+    order = np.argsort(n, kind="stable")
+    ids, comp, n = ids[order], comp[order], n[order]
+    size = np.array([len(sketches[i]) for i in order])
+    own = {w: np.flatnonzero(size == w) for w in np.unique(size).tolist()}
+    whole = {w: np.frombuffer(b"".join([sketches[order[i]] for i in at]), np.uint64).reshape(len(at), w // 8) for w, at in own.items()}
+    halves = {w // 2: m[:, : w // 16] ^ m[:, w // 16 :] for w, m in whole.items() if w > 8}  # a sketch of half the bits
+    for w, at in own.items():
+        for k, i in enumerate(at):
+            for j, rows in ((at[k + 1 :], whole[w][k + 1 :]), (own.get(2 * w, at[:0]), halves.get(w))):
+                end = int(np.searchsorted(n[j], n[i] * q // p, "right")) if len(j) else 0
+                if not end:
+                    continue
+                j = j[:end]
+                far = np.bitwise_count(rows[:end] ^ whole[w][k]).sum(1, dtype=np.int64)
+                ok = (far * (q + p) <= (q - p) * (n[j] + n[i])) & (comp[j] != comp[i])
+                if ok.any():
+                    yield np.full(int(ok.sum()), ids[i]), ids[j[ok]]
+
+
+def across(rows: DataFrame, p: int, q: int) -> DataFrame:
+    """Pairs (u, v) of rows (key, v, c, n, sketch) that share a key, are in different components and may be linked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+
+        def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            key, v, c, n = (table.column(x).to_numpy() for x in ("key", "v", "c", "n"))
+            s = table.column("sketch").to_pylist()
+            cut = np.flatnonzero(np.append(True, key[1:] != key[:-1])).tolist() if len(key) else []
+            found = [x for a, b in zip(cut, [*cut[1:], len(key)], strict=True) for x in near_pairs(v[a:b], c[a:b], n[a:b], s[a:b], p, q)]
+            if found:
+                a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["u", "v"])
+
+        for b in batches:
+            b = pa.Table.from_batches([b])
+            held = b if held is None else pa.concat_tables([held, b])
+            key = held.column("key").to_numpy()
+            last = int(np.searchsorted(key, key[-1])) if len(key) else 0
+            if last:
+                yield from pairs(held.slice(0, last))
+                held = held.slice(last)
+        if held is not None:
+            yield from pairs(held)
+
+    return rows.repartition("key").sortWithinPartitions("key").select("key", "v", "c", "n", "sketch").mapInArrow(run, "u long, v long")
 
 
 def pack_set(s: np.ndarray) -> bytes:
@@ -188,19 +246,22 @@ def jaccard_components(docs: DataFrame, words: int = 5, p: int = 80, q: int = 10
     rows = C.checkpoint(candidates(docs.select("doc_id", "text"), words, p, q))
     usable = rows.where("doc_id IS NOT NULL AND n > 0")
     classes = usable.groupBy("sig_a", "sig_b").agg(F.min("doc_id").alias("low"), F.max(F.when(F.col("head"), F.col("doc_id"))).alias("node"))
-    sets = rows.where("shingles IS NOT NULL").select("doc_id", "n", "shingles", "keys")
+    sets = rows.where("shingles IS NOT NULL").select("doc_id", "n", "shingles", "keys", "sketch")
     spread = sets.select(F.col("doc_id").alias("v"), F.explode("keys").alias("key"))
-    hubs = spread.groupBy("key").agg(F.min("v").alias("u"), F.count("*").alias("c")).where("c > 1").drop("c")
-    star = C.checkpoint(spread.join(hubs, "key").where("u < v").select("u", "v").distinct())
+    # a key's hub is the one that others share most keys with: of copies of one text, that text
+    common = spread.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    spread = C.checkpoint(spread.join(common, "key"))
+    central = spread.groupBy("v").agg(F.sum("c").alias("s"))
+    hubs = spread.join(central, "v").groupBy("key").agg(F.max(F.struct("s", -F.col("v"))).alias("h")).select("key", (-F.col("h.col2")).alias("h"))
+    star = spread.join(hubs, "key").where("h != v").select(F.least("h", "v").alias("u"), F.greatest("h", "v").alias("v"))
+    star = C.checkpoint(star.distinct())
     links = C.checkpoint(verified(star, sets, p, q))
     # what is still apart in a key
     label = components(links)
-    labelled = spread.join(label.withColumnRenamed("node", "v"), "v", "left").select("key", "v", F.coalesce("component", "v").alias("c"))
+    labelled = spread.drop("c").join(label.withColumnRenamed("node", "v"), "v", "left").select("key", "v", F.coalesce("component", "v").alias("c"))
     apart = labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    held = labelled.join(apart, "key").join(sets.select(F.col("doc_id").alias("v"), "n"), "v")
-    other = held.select("key", F.col("v").alias("w"), F.col("c").alias("d"), F.col("n").alias("m"))
-    near = F.least("n", "m") * q >= F.greatest("n", "m") * p
-    pairs = held.join(other, "key").where((F.col("c") < F.col("d")) & near).select(F.least("v", "w").alias("u"), F.greatest("v", "w").alias("v")).distinct()
+    shape = sets.select(F.col("doc_id").alias("v"), "n", "sketch")
+    pairs = across(labelled.join(apart, "key").join(shape, "v"), p, q).distinct()
     pairs = pairs.join(star, ["u", "v"], "left_anti")
     links = links.unionByName(C.checkpoint(verified(pairs, sets, p, q)))
     label = components(links)
