@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import build, scores
+
+QUERIES = {**scores.QUERIES, **build.QUERIES}
+ORACLES: dict[str, str] = {**scores.ORACLES, **build.ORACLES}
