@@ -208,7 +208,7 @@ def bpe_encode(docs: DataFrame, path: str, col: str = "text", out: str = "ids",
 
     types = dict(docs.dtypes)
     schema = ", ".join([*(f"`{k}` {types[k]}" for k in keep), f"`{out}` array<int>", *([f"`{decoded}` string"] if decoded else [])])
-    return docs.select(*keep, col).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*keep, col])).mapInArrow(run, schema)
 
 
 def _decoded(table: np.ndarray, lists: pa.ListArray) -> pa.Array:

@@ -1,0 +1,239 @@
+"""The training-data operators against plain versions and on odd rows."""
+
+import collections
+import hashlib
+import re
+import zlib
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from framescore.llm import embedding_dedup, html_text, jaccard, packing, quality, substring_dedup, suffix_dedup, toxicity, warc
+from framescore.llm import bpe as B
+
+WORD = re.compile("[^\x20\x09-\x0d]+")
+R = np.random.default_rng(4)
+
+
+def _text(n: int) -> str:
+    return " ".join("".join(R.choice(list("abcdeé"), R.integers(1, 7))) for _ in range(n))
+
+
+COPY, LONG = _text(60), _text(4000)
+TEXTS = [None, "", " \t\n", "one", "One two three", COPY, COPY, "x " + COPY + " y", _text(30) + " " + COPY + "\n" + _text(20), LONG, LONG + " z", "a " * 300, "b b b b", COPY + " " + COPY, _text(200), "É\x1c " + _text(9), "<|endoftext|> Hello's 12"]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "en", "s", len(t or ""), i, i) for i, t in enumerate(TEXTS)] + [(3, "one", None, None, None, 0, 0), (None, COPY, None, None, None, 0, 0)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, chunk int, bucket int").repartition(3)
+
+
+def _rows(docs):
+    return [(r.doc_id, r.text or "") for r in docs.collect()]
+
+
+def _cover(items, width, hit):
+    gone = [False] * len(items)
+    for i in range(len(items) - width + 1):
+        if hit(items[i : i + width]):
+            gone[i : i + width] = [True] * width
+    return gone
+
+
+def test_substring_dedup(docs):
+    rows = [(i, WORD.findall(t)) for i, t in _rows(docs)]
+    seen = collections.Counter(tuple(w[i : i + 35]) for _, w in rows for i in range(len(w) - 34))
+    want = []
+    for doc, w in rows:
+        gone = _cover(w, 35, lambda x: seen[tuple(x)] > 1)
+        want.append((doc, len(w), sum(gone), hashlib.sha256(" ".join(x for x, g in zip(w, gone, strict=True) if not g).encode()).hexdigest()))
+    assert sorted(map(tuple, substring_dedup.substring_dedup(docs).collect()), key=str) == sorted(want, key=str)
+    assert substring_dedup.substring_dedup(docs.limit(0)).count() == 0
+
+
+def test_difference_cover():
+    for v in (1, 3, 7, 13, 21):
+        d = substring_dedup.difference_cover(v)
+        assert {(a - b) % v for a in d for b in d} == set(range(v))
+
+
+def test_suffix_array():
+    for n in range(1, 40):
+        t = np.append(R.integers(1, 4, n), 0).astype(np.uint16)
+        assert suffix_dedup.suffix_array(t, 99).tolist() == sorted(range(n + 1), key=lambda i: t[i:].tolist())
+
+
+def test_suffix_dedup(docs):
+    rows = [(i, t.encode()) for i, t in _rows(docs)]
+    seen = collections.Counter(b[i : i + 200] for _, b in rows for i in range(len(b) - 199))
+    want = []
+    for doc, b in rows:
+        gone = _cover(b, 200, lambda x: seen[x] > 1)
+        spans = sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone))
+        want.append((doc, len(b), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=True) if not g)).hexdigest()))
+    assert sorted(map(tuple, suffix_dedup.suffix_dedup(docs).collect()), key=str) == sorted(want, key=str)
+    assert suffix_dedup.suffix_dedup(docs.limit(0)).count() == 0
+
+
+def test_bpe_and_packing(docs):
+    from tokenizers import Tokenizer
+
+    path = B.word_bpe_path()
+    lib = Tokenizer.from_file(path)
+    lib.no_truncation()
+    lib.no_padding()
+    rows = {(r.doc_id, r.text): r for r in B.bpe_decode(B.bpe_encode(docs, path, keep=("doc_id", "text")), path).collect()}
+    for (_, text), r in rows.items():
+        ids = lib.encode(text or "", add_special_tokens=False).ids
+        assert r.ids == ids and r.decoded == lib.decode(ids, skip_special_tokens=False)
+    got = packing.best_fit_packing(docs, capacity=64).collect()
+    bins = collections.defaultdict(list)
+    for p in got:
+        bins[p.sequence_id].append((p.offset, p.length))
+    for b in bins.values():
+        at = 0
+        for offset, length in sorted(b):
+            assert offset == at
+            at += length
+        assert at <= 64
+    want = collections.Counter()
+    for (doc, text), _ in rows.items():
+        ids = [*lib.encode(text or "", add_special_tokens=False).ids, 1]
+        want.update((doc, i // 64, i, len(x := ids[i : i + 64]), zlib.crc32(np.array(x, "<u4").tobytes())) for i in range(0, len(ids), 64))
+    assert set(want) == {(p.doc_id, p.piece, p.start, p.length, p.ids_crc32) for p in got}
+    assert packing.best_fit_packing(docs.limit(0)).count() == 0
+
+
+def test_best_fit_is_that_of_single_bins():
+    for _ in range(60):
+        lens = R.integers(1, 38, R.integers(0, 90)).tolist()
+        left: list[int] = []
+        for n in sorted(lens, reverse=True):
+            best = min((b for b in range(len(left)) if left[b] >= n), key=lambda b: left[b], default=None)
+            if best is None:
+                left.append(37 - n)
+            else:
+                left[best] -= n
+        runs = packing.best_fit(collections.Counter(lens), 37)
+        assert len({f + i // k for _, a, e, f, k, _ in runs for i in range(e - a)}) == len(left)
+
+
+def test_jaccard(docs):
+    fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sets, parent = {}, {}
+    for doc, t in _rows(docs):
+        w = WORD.findall(t.translate(fold))
+        if doc is not None:
+            sets[doc] = {tuple(w[i : i + 4]) for i in range(len(w) - 3)} if len(w) >= 4 else {tuple(w)} if w else set()
+            parent[doc] = doc
+
+    def find(x):
+        return x if parent[x] == x else find(parent[x])
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    got = jaccard.jaccard_components(docs, 4, 85, 100).collect()
+    assert len(got) == len(TEXTS) + 2
+    for r in got:
+        assert (r.n_shingles, r.component_id) == ((len(sets[r.doc_id]), find(r.doc_id)) if r.doc_id is not None else (57, None))
+    assert jaccard.jaccard_components(docs.limit(0)).count() == 0
+
+
+def test_embeddings(spark):
+    base = R.standard_normal((40, 16))
+    rows = [(i, [float(x) for x in base[i % 40] + 0.05 * R.standard_normal(16)], 0) for i in range(120)]
+    rows += [(200, None, 0), (201, [], 0), (202, [0.0] * 16, 0), (203, [float("nan")] + [1.0] * 15, 0), (204, [None] + [1.0] * 15, 0), (205, rows[0][1], 1), (None, rows[0][1], 1)]
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    good = [(i, np.array(v)) for i, v, _ in rows if i is not None and (i < 200 or i == 205)]
+    unit = np.stack([v / np.linalg.norm(v) for _, v in good])
+    links = (unit @ unit.T >= 0.9).sum(1) - 1
+    assert sum(got[i].n_links for i, _ in good) >= 0.9 * links.sum()
+    assert all(got[i].n_links <= n for (i, _), n in zip(good, links, strict=True))
+    assert all(got[i].n_links == 0 and got[i].component_id == i and got[i].kept for i in range(200, 205))
+    assert got[205].component_id == 0 and not got[205].kept and got[None].component_id is None
+    assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_warc(spark):
+    rows = [(i, f"http://x/{i}", h) for i, h in enumerate([None, "", "<p>é</p>", "<p>é</p>", "a" * 90_000, "b\r\n\r\nc"])] + [(7, None, "b\r\n\r\nc"), (None, "u v", "q")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    folder = warc.folder_of(spark)
+    got = warc.read_warc(warc.write_warc(pages, folder), folder, payload=True).collect()
+    duck = duckdb.connect()
+    frame = pages.toPandas()
+    duck.register("pages", frame)
+    want = {r[0]: r[1:] for r in duck.execute(warc.op4_SQL).fetchall()}
+    assert len(got) == len(rows)
+    for r in got:
+        if r.page_id is not None:
+            assert (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) == want[r.page_id]
+        if r.record_type == "response" and r.page_id is not None:
+            assert r.payload == (dict((i, h) for i, _, h in rows)[r.page_id] or "")
+    assert warc.write_warc(pages.limit(0), warc.folder_of(spark)).count() == 0
+
+
+def test_html():
+    model = html_text.train()
+    bad = 0
+    for page in html_text.labelled_pages(120, 99):
+        nodes = html_text.parse(page)
+        want = "\n".join(n.text for n in nodes if n.tag == "#text" and "data-main" in nodes[n.parent].names)
+        bad += html_text.main_text(model, page.replace(" data-main=1", "")) != want
+    assert bad <= 6
+    assert html_text.main_text(model, None) == "" == html_text.main_text(model, "<p")
+    page = "<nav><a href=/>x</a></nav><article><h1>A &amp; B</h1><p>One  two,<br>three and four more words.<p><b>Next block here, with words.</article><footer>&copy; z</footer>"
+    assert html_text.main_text(model, page) == "A & B\nOne two, three and four more words.\nNext block here, with words."
+
+
+def test_messages_are_exact():
+    """Marginals of a small tree against the sum over all states."""
+    model = html_text.train()
+    nodes = html_text.parse("<div class=content><p>Some words, here.</p><p>x</p></div><footer>f</footer>")
+    own = [np.exp(np.clip((model.bias + sum(model.weights.get(f, 0.0) for f in html_text.features(nodes, i))) * (0.3 if n.tag == "#text" and nodes[n.parent].runs == 1 else 1), -12, 12)) for i, n in enumerate(nodes)]
+    total, on = 0.0, np.zeros(len(nodes))
+    for state in range(1 << len(nodes)):
+        y = [(state >> i) & 1 for i in range(len(nodes))]
+        w = np.prod([own[i] if y[i] else 1.0 for i in range(len(nodes))])
+        for i in range(1, len(nodes)):
+            w *= model.pairs.get(html_text.edge(nodes, i), html_text._EVEN)[2 * y[nodes[i].parent] + y[i]]
+        total += w
+        on += w * np.array(y)
+    assert np.allclose(html_text.marginals(model, nodes), on / total)
+
+
+def test_quality_and_toxicity(spark, docs):
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), int(i in (4, 9))) for i in range(12)], "doc_id long, quality int, toxic int")
+    got = quality.quality_rules(docs, labels, ("doc_id", "source")).collect()
+    assert len(got) == len(TEXTS) + 2
+    for r in got:
+        if r.doc_id is None or r.doc_id == 3:
+            continue
+        t = TEXTS[r.doc_id] or ""
+        w = WORD.findall(t)
+        c = collections.Counter(zip(w, w[1:], w[2:], strict=False))
+        again = {j for i in range(len(w) - 2) if c[tuple(w[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}
+        assert (r.n_words, r.word_chars, r.n_repeat_words) == (len(w), sum(map(len, w)), len(again))
+        assert r.base_failed == (len(w) < 50 or 100 * len(again) > 50 * len(w))
+    none = labels.limit(0)
+    assert quality.kept_only(quality.quality_rules(docs, none)).count() == sum(not r.base_failed for r in got)
+    assert quality.quality_rules(docs.limit(0), labels).count() == 0
+    for d, lab in ((docs, labels), (docs, none), (docs.limit(0), labels)):
+        scores = toxicity.toxicity(d, toxicity.fit(d, lab)).select(F.min("score"), F.max("score"), F.count("score")).first()
+        assert scores[2] == d.count() and (not scores[2] or 0 <= scores[0] <= scores[1] <= 1)
+
+
+def test_toxicity_learns_and_folds(spark):
+    r = np.random.default_rng(2)
+    words = lambda n: " ".join("".join(r.choice(list("aeioulmnrst"), 5)) for _ in range(n))
+    rows = [(i, f"{words(40)} {'stupidly worthless' if i % 4 == 0 else words(2)} {words(40)}", int(i % 4 == 0)) for i in range(400)]
+    docs = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(x[0], x[2]) for x in rows], "doc_id long, toxic int"))
+    test = [(0, "so w0rthleѕs and STUPIDLY said"), (1, words(30)), (2, None), (3, "a worthless currency " + words(20))]
+    got = {x.doc_id: x.score for x in toxicity.toxicity(spark.createDataFrame(test, "doc_id long, text string"), model).collect()}
+    assert got[0] >= 0.3 > max(got[1], got[2], got[3])
