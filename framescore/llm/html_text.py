@@ -210,14 +210,28 @@ def edge(nodes: list[Node], i: int) -> tuple[str, str]:
 _PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li".split())
 
 
+#: From so many siblings of one kind on, they count as so many together: they aren't independent.
+ALIKE = 6
+
+
+def odds(model: Model, nodes: list[Node]) -> list[float]:
+    """Each node's own potential, on to off."""
+    alike: dict[tuple[int, str], int] = {}
+    for n in nodes:
+        alike[n.parent, n.tag] = alike.get((n.parent, n.tag), 0) + 1
+    out = []
+    for i, n in enumerate(nodes):
+        x = model.bias + sum([model.weights.get(f, 0.0) for f in features(nodes, i)])
+        if n.tag == "#text" and nodes[n.parent].runs == 1:  # what an only run shows, its element has shown already
+            x *= 0.3 * min(1.0, ALIKE / alike[nodes[n.parent].parent, nodes[n.parent].tag])
+        x *= min(1.0, ALIKE / alike[n.parent, n.tag])
+        out.append(math.exp(max(-12.0, min(12.0, x))))
+    return out
+
+
 def marginals(model: Model, nodes: list[Node]) -> list[float]:
     """Each node's probability to be on, by messages to the root and back (of odds, on to off)."""
-    own = []
-    for i in range(len(nodes)):
-        x = model.bias + sum([model.weights.get(f, 0.0) for f in features(nodes, i)])
-        if nodes[i].tag == "#text" and nodes[nodes[i].parent].runs == 1:
-            x *= 0.3  # what an only run shows, its element has shown already
-        own.append(math.exp(max(-12.0, min(12.0, x))))
+    own = odds(model, nodes)
     up, belief = [1.0] * len(nodes), own[:]
     pairs = [_EVEN, *(model.pairs.get(edge(nodes, i), _EVEN) for i in range(1, len(nodes)))]
     for i in range(len(nodes) - 1, 0, -1):

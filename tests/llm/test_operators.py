@@ -195,7 +195,7 @@ def test_messages_are_exact():
     """Marginals of a small tree against the sum over all states."""
     model = html_text.train()
     nodes = html_text.parse("<div class=content><p>Some words, here.</p><p>x</p></div><footer>f</footer>")
-    own = [np.exp(np.clip((model.bias + sum(model.weights.get(f, 0.0) for f in html_text.features(nodes, i))) * (0.3 if n.tag == "#text" and nodes[n.parent].runs == 1 else 1), -12, 12)) for i, n in enumerate(nodes)]
+    own = html_text.odds(model, nodes)
     total, on = 0.0, np.zeros(len(nodes))
     for state in range(1 << len(nodes)):
         y = [(state >> i) & 1 for i in range(len(nodes))]
