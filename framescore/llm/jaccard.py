@@ -155,6 +155,16 @@ def sketch(s: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
+def may_link(n: int, m: int, a: bytes, b: bytes, p: int, q: int) -> bool:
+    """Whether sizes and sketches of two sets leave a link possible."""
+    if min(n, m) * q < max(n, m) * p:
+        return False
+    x, y = sorted((np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)), key=len)
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum()) * (q + p) <= (q - p) * (n + m)
+
+
 def near_pairs(ids: np.ndarray, comp: np.ndarray, n: np.ndarray, sketches: list[bytes], p: int, q: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of different components whose sizes and sketches don't rule out a link."""
     order = np.argsort(n, kind="stable")
@@ -230,15 +240,23 @@ def verified(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
                 keep.append(q * common >= p * (len(x) + len(y) - common))
             yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    one = sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("a"))
-    two = sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("b"))
-    pairs = C.checkpoint(pairs)
-    if pairs.count() <= FEW:  # so both sides' sets stay where they are but for those in pairs
-        few = F.broadcast(pairs)
-        met = one.join(few, "u").join(two.join(few, "v"), ["u", "v"])
-    else:
-        met = pairs.join(one, "u").join(two, "v")
-    return met.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = zip(*(b.column(c).to_pylist() for c in ("n", "m", "a", "b")), strict=True)
+            yield b.select(["u", "v"]).filter(pa.array([may_link(*r, p, q) for r in rows], pa.bool_()))
+
+    def met(pairs: DataFrame, what: list[str], as_one: list[str], as_two: list[str]) -> DataFrame:
+        one = sets.select(F.col("doc_id").alias("u"), *(F.col(x).alias(y) for x, y in zip(what, as_one, strict=True)))
+        two = sets.select(F.col("doc_id").alias("v"), *(F.col(x).alias(y) for x, y in zip(what, as_two, strict=True)))
+        pairs = C.checkpoint(pairs)
+        if pairs.count() > FEW:
+            return pairs.join(one, "u").join(two, "v")
+        few = F.broadcast(pairs)  # so both sides' sets stay where they are but for those in pairs
+        return one.join(few, "u").join(two.join(few, "v"), ["u", "v"])
+
+    # sketches, a tenth of the sets, rule out most
+    left = met(pairs, ["n", "sketch"], ["n", "a"], ["m", "b"]).select("u", "v", "n", "m", "a", "b").mapInArrow(possible, "u long, v long")
+    return met(left, ["shingles"], ["a"], ["b"]).select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, p: int = 80, q: int = 100) -> DataFrame:
