@@ -38,6 +38,9 @@ _TAG = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s>/]*)
 _ATTR = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|([^\s=/"'>]+)""")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _WHITE = re.compile(r"\s+")
+#: Elements whose content is text up to their own end tag, whatever stands in it.
+_TEXT_ONLY = frozenset("script style textarea title noscript iframe xmp noframes".split())
+_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I) for tag in _TEXT_ONLY}
 
 
 @dataclass
@@ -75,7 +78,7 @@ def parse(page: str) -> list[Node]:
     nodes = [Node("root", -1)]
     open_at, open_tags = [0], ["root"]
     buffer: list[str] = []
-    linked, link, skip, at, in_head = 0, 0, "", 0, False
+    linked, link, skip, at, here, in_head = 0, 0, "", 0, 0, False
 
     def flush() -> None:
         nonlocal linked
@@ -95,17 +98,22 @@ def parse(page: str) -> list[Node]:
     def close(upto: int) -> None:
         del open_at[upto:], open_tags[upto:]
 
-    for m in _TAG.finditer(page):
+    def after(tag: str, start: int) -> int:
+        """Where the text of such an element ends, with its end tag."""
+        end = _END[tag].search(page, start)
+        return end.end() if end else len(page)
+
+    while m := _TAG.search(page, here):
+        start, at, here = at, m.end(), m.end()
+        tag = (m[2] or "").lower()
         if skip:
-            if m[1] != "/" or m[2].lower() != skip:
-                at = m.end()
-                continue
-            skip, at = "", m.end()
+            if tag == skip and m[1]:
+                skip = ""
+            elif tag in _TEXT_ONLY and not m[1] and m[4] and not m[3].rstrip().endswith("/"):
+                at = here = after(tag, here)
             continue
         if not in_head:
-            put(page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or "").lower()
+            put(page[start : m.start()])
         if not tag or not m[4]:  # a comment, a declaration or a tag that the page's end cuts off
             continue
         if m[1]:
@@ -130,7 +138,10 @@ def parse(page: str) -> list[Node]:
             in_head = False
         if tag in RAW:
             if not m[3].rstrip().endswith("/"):
-                skip = tag
+                if tag in _TEXT_ONLY:
+                    at = here = after(tag, here)
+                else:
+                    skip = tag
             if tag not in ("script", "style", "template", "title"):
                 flush()
             continue

@@ -191,6 +191,15 @@ def test_html():
     assert html_text.main_text(model, page) == "A & B\nOne two, three and four more words.\nNext block here, with words."
 
 
+def test_html_raw_elements_end_at_their_own_end_tag():
+    texts = lambda page: [n.text for n in html_text.parse(page) if n.tag == "#text"]
+    for code in ("for(i=0;i<n;i++)f(i);", "a = 'it<b", "s = \"don't\"; if (a<b) c", "<!-- never closed", "x <!-- y --", "'</scripts>' + '<p>' + '</p'"):
+        for end in ("</script>", "</SCRIPT\n>", "</script/>"):
+            page = f"<head><script>{code}{end}<style>a{{}} /* <!-- i<n ' */</style></head><body><p>One</p><script>{code}{end}<p>two</p><svg><style>i<n '</style></svg>three"
+            assert texts(page) == ["One", "two", "three"]
+    assert texts("<p>One</p><script>i<n <p>two</p>") == ["One"]
+
+
 def test_messages_are_exact():
     """Marginals of a small tree against the sum over all states."""
     model = html_text.train()
