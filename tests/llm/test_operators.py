@@ -237,6 +237,21 @@ def test_quality_and_toxicity(spark, docs):
         assert scores[2] == d.count() and (not scores[2] or 0 <= scores[0] <= scores[1] <= 1)
 
 
+def test_quality_reads_whole_words(spark):
+    """Good and bad texts differ in all but the ends of their words; of those without spaces, in the middle of their only word."""
+    r = np.random.default_rng(3)
+    heads = {1: ["bright", "calm", "clear", "open"], 0: ["zzq", "xkcd", "vbnm", "qwop"]}
+    latin = lambda good: " ".join(r.choice(heads[good]) + r.choice(["ing", "ted", "ers"]) for _ in range(80))
+    wide = lambda good: " ".join("始" + "".join(r.choice(list("山川風月" if good else "貨錢賣買"), 30)) + "終了" for _ in range(60))
+    for make in (latin, wide):
+        rows = [(i, make(int(i % 4 > 0))) for i in range(240)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i, _ in rows[:120]], "doc_id long, quality int")
+        got = {x.doc_id: x.kept for x in quality.quality_rules(docs, labels).collect() if not x.base_failed}
+        assert len(got) > 200 and got == {i: i % 4 > 0 for i in got}
+    assert quality.buckets_of(10**6) < quality.buckets_of(10**9) < quality.buckets_of(10**12)
+
+
 def test_toxicity_learns_and_folds(spark):
     r = np.random.default_rng(2)
     words = lambda n: " ".join("".join(r.choice(list("aeioulmnrst"), 5)) for _ in range(n))
