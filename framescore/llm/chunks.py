@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import functools
 import math
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +35,14 @@ def text_bytes(docs: DataFrame, col: str = "text") -> int:
 
 
 def shared_dir(spark) -> str:
-    """The folder all executors share; set here only where the session has none."""
+    """The folder all executors share.  Only a session on this machine alone may have none: it gets a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         import tempfile
 
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+
         found = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
         spark.conf.set("spark.checkpoint.dir", found)
     if not spark.sparkContext.getCheckpointDir():
@@ -52,6 +56,24 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Keys that are broadcast by ``heavy_join`` at most.
+HEAVY = 1000
+
+
+def heavy_join(rows: DataFrame, one: DataFrame, keys: list[str], count: str, total: int | None = None) -> DataFrame:
+    """Inner join of ``rows`` with ``one``, which has a row for each of their keys and in ``count`` how many of ``rows`` have it.
+
+    A key with more than a ``HEAVY``-th of all rows, so one of ``HEAVY`` at most, is broadcast, and its rows
+    stay where they are; all others have too few rows to fill a task.
+    """
+    if total is None:
+        total = one.agg(F.sum(count)).first()[0] or 0
+    heavy = F.broadcast(one.where(F.col(count) > total / HEAVY).withColumn("heavy", F.lit(True)))
+    there = rows.join(heavy, keys)
+    rest = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(one.where(F.col(count) <= total / HEAVY), keys)
+    return there.drop("heavy").unionByName(rest)
+
+
 def chunked(docs: DataFrame, n_chunks: int, id_col: str = "doc_id", col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``id_col``, ``col``, ``keep`` and the chunk of each row; rows without an id are dealt by their text."""
     key = F.when(F.col(id_col).isNull(), F.xxhash64(col)).otherwise(F.xxhash64(id_col))

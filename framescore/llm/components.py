@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import checkpoint
+from .chunks import checkpoint, heavy_join
 
 
 def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -39,21 +39,24 @@ def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
 
-def components(links: DataFrame, rounds: int = 50) -> DataFrame:
-    """``node`` and ``component``, the smallest node reached, of each node of ``links`` (u, v) that isn't its own smallest."""
+def components(links: DataFrame) -> DataFrame:
+    """``node`` and ``component``, the smallest node reached, of each node of ``links`` (u, v) that isn't its own smallest.
+
+    Rounds go on until no link changes.  A node that very many link to is joined by ``heavy_join``.
+    """
     now = checkpoint(links.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u != v").mapInArrow(forest, "u long, v long").distinct())
-    state = None
-    for _ in range(rounds):
+    n, state = now.count(), None
+    while n:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("c"))
         # large star: larger neighbours point at the smallest neighbour
-        now = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        # small star: smaller neighbours and the node itself do so
+        now = heavy_join(both, low, ["u"], "c", 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # small star: smaller neighbours and the node itself do so; each node has few of these
         low = now.groupBy("u").agg(F.min("v").alias("m"))
         held = now.join(low, "u")
         now = checkpoint(held.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         new = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.count_distinct("u")).first()
         if new == state or new[0] == new[2] and not now.join(now.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count():
             break  # every node has one link, to a node without any
-        state = new
+        n, state = new[0], new
     return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
