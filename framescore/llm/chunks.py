@@ -75,8 +75,8 @@ def heavy_join(rows: DataFrame, one: DataFrame, keys: list[str], count: str, tot
 
 
 def chunked(docs: DataFrame, n_chunks: int, id_col: str = "doc_id", col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``id_col``, ``col``, ``keep`` and the chunk of each row; rows without an id are dealt by their text."""
-    key = F.when(F.col(id_col).isNull(), F.xxhash64(col)).otherwise(F.xxhash64(id_col))
+    """``id_col``, ``col``, ``keep`` and the chunk of each row, by id and text: only rows with both equal share one for sure."""
+    key = F.xxhash64(id_col, col)
     return docs.select(F.col(id_col), F.col(col), *keep, F.pmod(key, F.lit(n_chunks)).cast("int").alias("chunk"))
 
 

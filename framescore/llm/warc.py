@@ -81,8 +81,9 @@ def write_warc(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
     """Writes every row of ``pages`` to archives in ``folder``; returns their index, which stands in the shared folder too."""
     held = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     held = held.withColumn("sha1", F.unhex(F.sha1("html")))
-    firsts = held.groupBy("sha1").agg(F.min("page_id").alias("first"))
-    rows = held.join(firsts, "sha1").select("page_id", "url", "html", "sha1", "first")
+    # many equal pages stay where they are; of the others each digest has a few
+    firsts = C.checkpoint(held.groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")))
+    rows = C.heavy_join(held, firsts, ["sha1"], "copies").select("page_id", "url", "html", "sha1", "first")
     date = time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())
     names = INDEX.replace(" long", "").replace(" string", "").split(", ")
     types = [{"long": pa.int64(), "string": pa.string()}[x.split()[1]] for x in INDEX.split(", ")]
