@@ -8,9 +8,13 @@ far to its left, so that all strings of a segment share a long core, the segment
 A census of keys and whole segments finds segments that occur again as a whole (all
 their strings do) and keys with several different segments.  One copy of each of the latter goes
 to the shard of its key.  A shard's suffix array is built by induced sorting: suffixes are
-classified, the leftmost-smaller substrings named and their names refined by doubling, and
-all other suffixes are induced from their order, bucket by bucket, left to right and back.
-The permuted common prefixes with both neighbours then tell which strings start elsewhere too.
+classified, the leftmost-smaller substrings named, the string of names sorted recursively, and
+all other suffixes are induced from their order, left to right and back.
+Permuted common prefixes, in text order, then tell which strings start elsewhere too.
+
+A key with more than ``HOT`` different segments (what stands before or after a passage that very many
+documents share) would make a shard as large as their number: its strings are counted one by one in a
+second census instead.
 
 Null and empty texts have no bytes; repeated rows are documents of their own and so repeat each
 other; extra columns are ignored.
@@ -27,8 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 from . import chunks as C
 
 GRAM = 16
-#: Bytes of all texts to one shard of segments.
-SHARD_BYTES = 3 << 20
+#: Bytes of all texts to one shard of segments, and different segments of a key that go to a shard at most.
+SHARD_BYTES, HOT = 3 << 20, 2000
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -54,47 +58,71 @@ def _ranks(a: np.ndarray, b: np.ndarray | None = None) -> np.ndarray:
     return out
 
 
-def sorted_lms(t: np.ndarray, smaller: np.ndarray, depth: int) -> np.ndarray:
-    """Places of the leftmost smaller suffixes in the order of their first ``depth`` symbols."""
+def sorted_lms(t: np.ndarray, smaller: np.ndarray) -> np.ndarray:
+    """Places of the leftmost smaller suffixes in their order: their substrings are named, and the string of names is sorted recursively."""
     at = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
     if not len(at):
         return at
-    symbol = np.append(2 * t.astype(np.int64) + smaller, np.zeros(8, np.int64))
     end = np.append(at[1:], len(t) - 1)
-    name = None
-    for i in range(0, depth, 6):  # six symbols of a substring at a time
+    bits = max(2, int(2 * t.max(initial=0) + 2).bit_length())
+    each = max(1, 62 // bits)  # symbols of a substring that one number holds
+    symbol = np.append(2 * t.astype(np.int64) + smaller, np.zeros(each, np.int64))
+    name, i = None, 0
+    while True:
         todo = np.arange(len(at)) if name is None else np.flatnonzero(at + i <= end)
         if not len(todo):
             break
         key = np.zeros(len(todo), np.int64)
-        for j in range(6):
+        for j in range(each):
             p = at[todo] + i + j
-            key = key << 10 | np.where(p <= end[todo], symbol[np.minimum(p, len(symbol) - 1)] + 1, 0)
+            key = key << bits | np.where(p <= end[todo], symbol[np.minimum(p, len(symbol) - 1)] + 1, 0)
         if name is None:
             name = _ranks(key)
         else:
             more = np.zeros(len(at), np.int64)
             more[todo] = _ranks(key) + 1
             name = _ranks(name, more)
-    h = 1
-    while h < len(at) and int(name.max()) + 1 < len(at):
-        reach = at[h:] - at[:-h]
-        if reach.min() >= depth:
-            break
-        more = np.zeros(len(at), np.int64)
-        more[:-h] = name[h:] + 1
-        name = _ranks(name, more)
-        h *= 2
+        i += each
+    if int(name.max()) + 1 < len(at):
+        return at[_suffixes_of_names(name)]
     return at[np.argsort(name, kind="stable")]
 
 
-def suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes of ``t`` in the order of their first ``depth`` symbols, by induced sorting.
-
-    The last symbol is 0, that before it isn't.
+def _suffixes_of_names(t: np.ndarray) -> np.ndarray:
+    """Suffix array of a string of names, whose last symbol is 0 and stands nowhere else, by induced sorting in two scans."""
+    smaller = suffix_types(t)
+    lms = sorted_lms(t, smaller).tolist()
+    size = np.bincount(t)
+    ends = np.cumsum(size)
+    names, small, out = t.tolist(), smaller.tolist(), [-1] * len(t)
+    place = ends.tolist()
+    for p in reversed(lms):
+        place[names[p]] -= 1
+        out[place[names[p]]] = p
+    place = (ends - size).tolist()
+    for i in range(len(out)):  # left to right: larger suffixes
+        j = out[i] - 1
+        if j >= 0 and not small[j]:
+            c = names[j]
+            out[place[c]] = j
+            place[c] += 1
+    place = ends.tolist()
+    for i in range(len(out) - 1, -1, -1):  # and back: smaller ones
+        j = out[i] - 1
+        if j >= 0 and small[j]:
+            c = names[j]
+            place[c] -= 1
+            out[place[c]] = j
+    return np.array(out, np.int64)
+
+
+def suffix_array(t: np.ndarray) -> np.ndarray:
+    """Suffixes of ``t`` in their order, by induced sorting, a bucket at a time.
+
+    The last symbol is 0, that before it isn't; other zeros are fine.
     """
     smaller = suffix_types(t)
-    lms = sorted_lms(t, smaller, depth)
+    lms = sorted_lms(t, smaller)
     top = int(t.max(initial=0)) + 1
     lms_of = np.split(lms, np.cumsum(np.bincount(t[lms], minlength=top))[:-1])  # sorted, so by first symbol too
     large = _induced(t, ~smaller, lms_of, range(top), top, True)
@@ -142,46 +170,47 @@ def _induced(t: np.ndarray, kind: np.ndarray, given: list[np.ndarray], order: ra
     return out
 
 
-def common_prefixes(raw: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
-    """Common prefix of each suffix with the one before it in ``order``, ``most`` at most (the first: 0)."""
-    out = np.zeros(len(order), np.int32)
-    if len(order) < 2:
-        return out
-    padded = np.concatenate([raw, np.zeros(most + 16, np.uint8)])
-    word = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
-    todo, done = np.arange(1, len(order)), 0
-    while len(todo) and done < most:
-        differ = word[order[todo] + done] != word[order[todo - 1] + done]
-        stop = todo[differ]
-        if len(stop):
-            x = word[order[stop] + done] ^ word[order[stop - 1] + done]
-            low = x & (~x + np.uint64(1))
-            out[stop] = np.minimum(most, done + (np.log2(low.astype(np.float64)) // 8).astype(np.int32))
-        todo, done = todo[~differ], done + 8
-    out[todo] = most
-    return out
+def permuted_prefixes(t: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """In text order: the suffix before each one in ``order`` (-1: none), and their common prefix.
+
+    A suffix has one less than that of the place before it if what stands before both is equal; only the others are compared.
+    """
+    n = len(t)
+    before = np.full(n, -1)
+    before[order[1:]] = order[:-1]
+    went_on = np.zeros(n, bool)
+    went_on[1:] = (before[1:] > 0) & (t[np.maximum(before[1:], 1) - 1] == t[:-1])
+    padded = np.concatenate([t.astype(np.uint16), np.arange(1, 9, dtype=np.uint16)])  # ends at different places differ
+    word = np.ndarray((len(padded) - 3,), "<u8", padded, strides=(2,))
+    todo, out, done = np.flatnonzero(~went_on & (before >= 0)), np.zeros(n, np.int64), 0
+    while len(todo):
+        high, low = np.maximum(todo, before[todo]) + done, np.minimum(todo, before[todo]) + done
+        differ = np.ones(len(todo), bool)
+        inside = high + 4 <= n
+        differ[inside] = word[high[inside]] != word[low[inside]]
+        for i, a, b in ((todo[differ], high[differ], low[differ]),):
+            same = np.ones(len(i), bool)
+            for k in range(4):  # which of the four symbols is the first that differs
+                same &= (a + k < n) & (padded[np.minimum(a + k, n)] == padded[b + k])
+                out[i] += same
+        todo, done = todo[~differ], done + 4
+        out[todo] = done
+    last = np.maximum.accumulate(np.where(went_on, 0, np.arange(n)))
+    return before, out[last] - (np.arange(n) - last)
 
 
 def repeated_starts(text: np.ndarray, sizes: np.ndarray, width: int) -> np.ndarray:
     """For segments laid end to end, a flag for each start of a string of ``width`` bytes: does it start elsewhere too?"""
     off = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1]
     t = np.zeros(int((sizes + 1).sum()), np.uint16)
-    raw = np.zeros(len(t), np.uint8)
-    place = np.arange(len(text)) + np.repeat(np.arange(len(sizes)), sizes)
-    raw[place] = text
-    t[place] = text.astype(np.uint16) + 1
-    starts = np.zeros(len(t), bool)
+    t[np.arange(len(text)) + np.repeat(np.arange(len(sizes)), sizes)] = text.astype(np.uint16) + 1
     counts = np.maximum(sizes - width + 1, 0)
     at = np.repeat(off, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    starts[at] = True
-    sa = suffix_array(t, width)
-    sa = sa[starts[sa]]
-    long = common_prefixes(raw, sa, width) >= width
-    hit = long.copy()
-    hit[:-1] |= long[1:]
-    plcp = np.zeros(len(t), bool)  # permuted to text order
-    plcp[sa] = hit
-    return plcp[at]
+    before, common = permuted_prefixes(t, suffix_array(t))
+    # no string of a segment reaches its end, so a common prefix that long lies within both segments
+    hit = common >= width
+    hit[before[hit & (before >= 0)]] = True
+    return hit[at]
 
 
 # --- segments ---
@@ -207,8 +236,7 @@ def _segments(data: np.ndarray, off: np.ndarray, width: int):
     g = word[: len(word) - 8] * C._M1 + (word[8:] ^ (word[8:] >> np.uint64(29))) * C._M2
     g ^= g >> np.uint64(32)
     g *= np.uint64(0xFF51AFD7ED558CCD)
-    places = max(1, int(len(g)).bit_length())
-    mask = np.uint64((1 << places) - 1)
+    mask = np.uint64((1 << 32) - 1)  # of one width for all, so that equal strings choose alike
     low = (g & ~mask) | np.arange(len(g), dtype=np.uint64)
     size = 1
     while 2 * size <= grams:
@@ -239,49 +267,60 @@ def _segments(data: np.ndarray, off: np.ndarray, width: int):
 SENT = "chunk int, bucket int, keys binary, more binary, twice binary"
 
 
-def _count(table: pa.Table) -> pa.Table:
-    """Two bits for each segment a chunk has: it occurs again as a whole; it has to go to its shard."""
-    parts = table.column("keys").to_pylist()
-    n = np.array([len(x) // 8 for x in parts])
-    keys, more = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.uint64) for c in ("keys", "more"))
-    again = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=c) for x, c in zip(table.column("twice").to_pylist(), n, strict=True)]).astype(bool)
-    owner = np.repeat(table.column("chunk").to_numpy(), n)
-    order = np.lexsort((owner, more, keys))
-    k, m = keys[order], more[order]
-    same_key = np.append(False, k[1:] == k[:-1])
-    new = ~(same_key & np.append(False, m[1:] == m[:-1]))
-    hit = again[order]
-    hit |= ~new
-    hit[:-1] |= ~new[1:]
-    group = np.cumsum(~same_key) - 1
-    several = np.bincount(group, weights=new)[group] > 1
-    whole, ship = np.empty(len(keys), bool), np.empty(len(keys), bool)
-    whole[order], ship[order] = hit, new & several
-    cut = np.cumsum(n)[:-1]
-    pack = lambda x: pa.array([np.packbits(y).tobytes() for y in np.split(x, cut)], pa.binary())
-    return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "whole": pack(whole), "ship": pack(ship)})
+def _count(most: int):
+    """Bits for each segment a chunk has: it occurs again as a whole; it has to go to its shard; its key is a hot one."""
+
+    def run(table: pa.Table) -> pa.Table:
+        parts = table.column("keys").to_pylist()
+        n = np.array([len(x) // 8 for x in parts])
+        keys, more = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.uint64) for c in ("keys", "more"))
+        again = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=c) for x, c in zip(table.column("twice").to_pylist(), n, strict=True)]).astype(bool)
+        owner = np.repeat(table.column("chunk").to_numpy(), n)
+        order = np.lexsort((owner, more, keys))
+        k, m = keys[order], more[order]
+        same_key = np.append(False, k[1:] == k[:-1])
+        new = ~(same_key & np.append(False, m[1:] == m[:-1]))
+        hit = again[order]
+        hit |= ~new
+        hit[:-1] |= ~new[1:]
+        group = np.cumsum(~same_key) - 1
+        contents = np.bincount(group, weights=new)[group]
+        whole, ship, hot = (np.empty(len(keys), bool) for _ in range(3))
+        whole[order], ship[order], hot[order] = hit, new & (contents > 1) & (contents <= most), contents > most
+        cut = np.cumsum(n)[:-1]
+        pack = lambda x: pa.array([np.packbits(y).tobytes() for y in np.split(x, cut)], pa.binary())
+        return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "whole": pack(whole), "ship": pack(ship), "hot": pack(hot)})
+
+    return run
 
 
 def _bits(reply: pa.Table, col: str, keys: np.ndarray, buckets: int) -> np.ndarray:
     return C.replied(reply.select(["bucket", col]).rename_columns(["bucket", "bits"]), keys, buckets)
 
 
-def _shard(width: int):
+def _settle(width: int):
+    """Bits for what chunks sent: segments of a shard, or single strings of hot keys."""
+
     def run(table: pa.Table) -> pa.Table:
-        sizes = [np.frombuffer(x, np.int32).astype(np.int64) for x in table.column("sizes").to_pylist()]
-        text = np.frombuffer(b"".join(table.column("text").to_pylist()), np.uint8)
+        if table.column("hot")[0].as_py():
+            done = C._count(table.select(["chunk", "bucket", "a", "b", "twice"]).rename_columns(["chunk", "bucket", "keys", "more", "twice"]))
+            return done.append_column("hot", table.column("hot"))
+        sizes = [np.frombuffer(x, np.int32).astype(np.int64) for x in table.column("a").to_pylist()]
+        text = np.frombuffer(b"".join(table.column("b").to_pylist()), np.uint8)
         hit = repeated_starts(text, np.concatenate(sizes), width)
         cut = np.cumsum([int((s - width + 1).sum()) for s in sizes])[:-1]
-        return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "bits": pa.array([np.packbits(x).tobytes() for x in np.split(hit, cut)], pa.binary())})
+        bits = pa.array([np.packbits(x).tobytes() for x in np.split(hit, cut)], pa.binary())
+        return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "bits": bits, "hot": table.column("hot")})
 
     return run
 
 
-def suffix_dedup(docs: DataFrame, width: int = 200, id_col: str = "doc_id", with_text: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+def suffix_dedup(docs: DataFrame, width: int = 200, id_col: str = "doc_id", with_text: bool = False, keep: tuple[str, ...] = (), hot: int = HOT) -> DataFrame:
     """Per row: ``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``; if asked for, ``kept_text`` and ``text``; and ``keep``.
 
     A byte goes if a string of ``width`` bytes (``GRAM`` + 8 at least) that covers it starts anywhere
-    else too.  ``kept_text`` is what is left, U+FFFD where a character was cut.
+    else too.  ``kept_text`` is what is left, U+FFFD where a character was cut.  ``hot`` bounds the segments
+    of a key in a shard, and changes no result.
     """
     total = C.text_bytes(docs)
     n, buckets = C.sizes(total, 0.4)
@@ -305,27 +344,42 @@ def suffix_dedup(docs: DataFrame, width: int = 200, id_col: str = "doc_id", with
         one = one[ship]
         return first[one], last[one] - first[one] + width
 
+    def strings(data, first, last, chosen):
+        """Of the segments of hot keys: the starts of all strings, and their distinct hashes."""
+        count = (last - first + 1)[chosen]
+        at = np.repeat(first[chosen], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        if not len(at):
+            return (at, *C.distinct(np.zeros(0, np.uint64), np.zeros(0, np.uint32)))
+        _, inv = C.powers(len(data) + 1)
+        a, b = (C.mix((p[at + width] - p[at]) * inv[at]) for p in (C.prefix_hash(data), C.prefix_hash(data ^ np.uint8(0xA5))))
+        return (at, *C.distinct(a, (b >> np.uint64(32)).astype(np.uint32)))
+
     def ship_rows(table: pa.Table, reply: pa.Table) -> pa.Table:
         rows = []
         if table.num_rows:
             data, ends = C.buffers(table)
             first, last, keys, _, _, place = known(data, ends)
             ship = _bits(reply, "ship", keys, buckets)
+            _, uniq, more, twice, _ = strings(data, first, last, _bits(reply, "hot", keys, buckets)[place])
+            chunk = table.column("chunk")[0].as_py()
+            for r in C.census_rows(chunk, uniq, more, twice, buckets).to_pylist():
+                rows.append((chunk, r["bucket"], True, r["keys"], r["more"], r["twice"]))
             start, size = chosen(first, last, place, ship)
             cut = C._cuts(keys[ship], shards)
             for b in range(shards):
                 i, j = cut[b], cut[b + 1]
                 if i < j:
                     text = b"".join([data[s : s + k].tobytes() for s, k in zip(start[i:j].tolist(), size[i:j].tolist(), strict=True)])
-                    rows.append((table.column("chunk")[0].as_py(), b, size[i:j].astype(np.int32).tobytes(), text))
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
-        return pa.table({c: pa.array(x, t) for c, x, t in zip(("chunk", "bucket", "sizes", "text"), cols, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)})
+                    rows.append((chunk, b, False, size[i:j].astype(np.int32).tobytes(), text, None))
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
+        types = (pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary())
+        return pa.table({c: pa.array(x, t) for c, x, t in zip(("chunk", "bucket", "hot", "a", "b", "twice"), cols, types, strict=True)})
 
     def end(table: pa.Table, replies: pa.Table) -> pa.Table:
         data, ends = C.buffers(table)
         first, last, keys, _, _, place = known(data, ends)
         phase = replies.column("phase").to_numpy()
-        one, two = replies.filter(pa.array(phase == 1)), replies.filter(pa.array(phase == 2))
+        one, two, three = (replies.filter(pa.array(phase == i)) for i in (1, 2, 3))
         whole, ship = _bits(one, "whole", keys, buckets), _bits(one, "ship", keys, buckets)
         flag = np.zeros(len(data) + 1, np.int32)
         full = whole[place]
@@ -338,6 +392,8 @@ def suffix_dedup(docs: DataFrame, width: int = 200, id_col: str = "doc_id", with
             s, k = start[cut[b] : cut[b + 1]], size[cut[b] : cut[b + 1]] - width + 1
             at = np.repeat(s, k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
             flag[at[np.unpackbits(np.frombuffer(bits, np.uint8), count=len(at)).astype(bool)]] = True
+        at, uniq, _, _, where = strings(data, first, last, _bits(one, "hot", keys, buckets)[place])
+        flag[at[C.replied(three.select(["bucket", "bits"]), uniq, buckets)[where]]] = True
         gone = C.covered(flag, width)
         edge = np.append(False, gone[:-1])
         edge[ends[:-1][ends[:-1] < len(data)]] = False
@@ -355,10 +411,11 @@ def suffix_dedup(docs: DataFrame, width: int = 200, id_col: str = "doc_id", with
             cols["text"] = table.column("text")
         return pa.table(cols | {k: table.column(k) for k in keep})
 
-    census = chunked.groupBy("chunk").applyInArrow(send, SENT).groupBy("bucket").applyInArrow(_count, "chunk int, bucket int, whole binary, ship binary")
-    sent = chunked.groupBy("chunk").cogroup(census.groupBy("chunk")).applyInArrow(ship_rows, "chunk int, bucket int, sizes binary, text binary")
-    sharded = sent.groupBy("bucket").applyInArrow(_shard(width), C.REPLY)
-    replies = census.selectExpr("*", "CAST(null AS binary) AS bits", "1 AS phase").unionByName(sharded.selectExpr("chunk", "bucket", "CAST(null AS binary) AS whole", "CAST(null AS binary) AS ship", "bits", "2 AS phase"))
+    census = chunked.groupBy("chunk").applyInArrow(send, SENT).groupBy("bucket").applyInArrow(_count(hot), "chunk int, bucket int, whole binary, ship binary, hot binary")
+    sent = chunked.groupBy("chunk").cogroup(census.groupBy("chunk")).applyInArrow(ship_rows, "chunk int, bucket int, hot boolean, a binary, b binary, twice binary")
+    settled = sent.groupBy("hot", "bucket").applyInArrow(_settle(width), C.REPLY + ", hot boolean")
+    none = [f"CAST(null AS binary) AS {c}" for c in ("whole", "ship", "hot")]
+    replies = census.selectExpr("*", "CAST(null AS binary) AS bits", "1 AS phase").unionByName(settled.selectExpr("chunk", "bucket", "bits", "IF(hot, 3, 2) AS phase", *none))
     schema = RESULT + (", kept_text string, text string" if with_text else "") + "".join(f", `{k}` {types[k]}" for k in keep)
     return chunked.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(end, schema)
 
