@@ -13,6 +13,7 @@ from __future__ import annotations
 import functools
 import math
 import re
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -45,15 +46,14 @@ def shared_dir(spark) -> str:
 
         found = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
         spark.conf.set("spark.checkpoint.dir", found)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(found)
     return found
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder; the lineage ends there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """The rows, written once as a table in the shared folder and read from there; the lineage ends there."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 #: Keys that are broadcast by ``heavy_join`` at most.

@@ -2,7 +2,7 @@
 
 Links never come to the driver.  First each task contracts the links it holds to a
 spanning forest, then large-star and small-star rounds (each a grouped minimum joined back) point
-every node at a smaller one until nothing changes.  Every round is checkpointed.
+every node at a smaller one until nothing changes.  Every round is written to the shared folder.
 """
 
 from __future__ import annotations

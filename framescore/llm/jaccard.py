@@ -214,14 +214,16 @@ def near_pairs(ids, comp, n, known, side, sketches: list[bytes], p: int, q: int)
 BLOCK = 2048
 
 
-def across(rows: DataFrame, p: int, q: int, block: int = BLOCK) -> DataFrame:
-    """Pairs (u, v) of rows (key, v, c, n, known, sketch) that share a key, are in different components and may be linked.
+def across(rows: DataFrame, shape: DataFrame, p: int, q: int, block: int = BLOCK) -> DataFrame:
+    """Pairs (u, v) of rows (key, v, c, known) that share a key, are in different components and, by their ``shape`` (doc_id, n, sketch), may be linked.
 
     A key with more than ``block`` rows is dealt out by size, one factor q / p to a class, and blocks of a
     class meet each other and those of the next class only: sets further apart in size don't link.
     """
     step = math.log(q / p) if q > p else 1.0
     # sizes whose ratio is q / p at most are in one class or in neighbouring ones, the rounding of logarithms included
+    shape = shape.withColumnRenamed("doc_id", "v")
+    rows = rows.join(shape.select("v", "n").distinct(), "v")
     rows = rows.withColumn("s", F.floor(F.log("n") / F.lit(step * (1 + 1e-9))).cast("int"))
     per = rows.groupBy("key", "s").agg(F.count("*").alias("cnt"))
     by_key = Window.partitionBy("key")
@@ -240,7 +242,7 @@ def across(rows: DataFrame, p: int, q: int, block: int = BLOCK) -> DataFrame:
     )
     sent = C.heavy_join(rows, per, ["key", "s"], "cnt").withColumn("g", F.explode(F.when(F.col("all") <= block, one).otherwise(dealt)))
     group = ["key", "s1", "i", "s2", "j"]
-    sent = sent.select("key", "g.s1", "g.i", "g.s2", "g.j", "g.side", "v", "c", "n", "known", "sketch")
+    sent = sent.select("key", "g.s1", "g.i", "g.s2", "g.j", "g.side", "v", "c", "n", "known").join(shape, ["v", "n"])  # sketches come last, so that they are moved once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -361,12 +363,13 @@ def jaccard_components(docs: DataFrame, words: int = 5, p: int = 80, q: int = 10
     # of an id with several texts one may link to the hub and another to what is far from it
     several = sets.groupBy(F.col("doc_id").alias("v")).agg(F.count("*").alias("texts")).where("texts > 1")
     what = F.when(F.col("texts").isNotNull(), NOT).otherwise(F.coalesce("known", F.lit(MAYBE)))
-    labelled = C.checkpoint(labelled.join(several, "v", "left").select("key", "v", F.coalesce("component", "v").alias("c"), what.alias("known")))
+    # the hub itself has met all others
+    labelled = C.checkpoint(labelled.where("lo < hi").join(several, "v", "left").select("key", "v", F.coalesce("component", "v").alias("c"), what.alias("known")))
     # those linked to the hub have only those to meet that are neither linked to it nor far from it
     rest = F.when(F.col("known") != MAYBE, F.col("c"))
     per_key = labelled.groupBy("key").agg(F.count("*").alias("rows_of"), F.count(F.when(F.col("known") == NOT, 1)).alias("open"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(rest).alias("rest_lo"), F.max(rest).alias("rest_hi"))
     todo = C.heavy_join(labelled, per_key, ["key"], "rows_of").where(f"lo < hi AND (open > 0 OR known != {MAYBE} AND rest_lo < rest_hi)")
-    pairs = across(todo.select("key", "v", "c", "known").join(shape.withColumnRenamed("doc_id", "v"), "v"), p, q, block).distinct()
+    pairs = across(todo.select("key", "v", "c", "known"), shape, p, q, block).distinct()
     pairs = pairs.join(seen.select("u", "v"), ["u", "v"], "left_anti")
     links = links.unionByName(compared(pairs, shape, texts, _by_set(words, p, q), few).where("state = 1").select("u", "v"))
     label = components(links)
