@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 #: The white space that Python's split and strip know, as a Java regex class.
 SPACE = r"[\s\x0B\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-#: Blocks of a response in their order: field and tag.
+# fixed values: the blocks of a response in their order (field and tag), and the ways to write an interval
 BLOCKS = (("type_block", "TYPE"), ("influence_block", "INFLUENCE"), ("reasoning_block", "REASONING"), ("conclusion_block", "CONCLUSION"), ("answer_block", "ANSWER"))
 _NUMBER = r"([0-9]+(?:\.[0-9]+)?)"
-#: Ways to write an interval, in the order they are tried.
+#: In the order they are tried.
 INTERVALS = (
     rf"(?iu)\[\s*{_NUMBER}\s*,\s*{_NUMBER}\s*\]",
     rf"(?iu)start[_\s]sec[:\s]+{_NUMBER}[^0-9]+end[_\s]sec[:\s]+{_NUMBER}",
@@ -50,15 +50,21 @@ def ngrams(t: Column, n: int) -> Column:
 
 def parse_response(c: Column) -> Column:
     """Struct of the five stripped blocks and the raw text; null unless all are there and open in order."""
-    pattern = {tag: rf"(?isu)<{tag}>(.*?)<{tag}_END>" for _, tag in BLOCKS}
-    found = F.lit(True)
-    for _, tag in BLOCKS:
-        found = found & c.rlike(pattern[tag])
+    # one extract a block: a list of none or of the first match, empty or not
+    found = [F.slice(F.regexp_extract_all(c, F.lit(rf"(?isu)<{tag}>(.*?)<{tag}_END>"), F.lit(1)), 1, 1) for _, tag in BLOCKS]
     at = [F.regexp_instr(c, F.lit(f"(?iu)<{tag}>")) for _, tag in BLOCKS]
-    for a, b in zip(at, at[1:], strict=False):
-        found = found & (a <= b)
-    fields = [strip(F.regexp_extract(c, pattern[tag], 1)).alias(name) for name, tag in BLOCKS]
-    return F.when(found, F.struct(*fields, c.alias("raw_text")))
+
+    def built(*parts: Column) -> Column:
+        blocks, places = parts[: len(BLOCKS)], parts[len(BLOCKS) :]
+        ok = F.lit(True)
+        for b in blocks:
+            ok = ok & (F.size(b) > 0)
+        for a, b in zip(places, places[1:], strict=False):
+            ok = ok & (a <= b)
+        fields = [strip(F.get(b, 0)).alias(name) for (name, _), b in zip(BLOCKS, blocks, strict=True)]
+        return F.when(ok, F.struct(*fields, c.alias("raw_text")))
+
+    return let(built, *found, *at)
 
 
 def interval(c: Column) -> Column:

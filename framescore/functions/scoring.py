@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .parsing import let, ngrams, strip, tokens
+from .parsing import let, strip, tokens
 
 
 @dataclass(frozen=True)
@@ -37,40 +40,54 @@ def tiou(pred: Column, gt: Column) -> Column:
     return let(share, pred, gt)
 
 
-def _clipped(h: Column, r: Column) -> Column:
-    count = lambda grams, g: F.size(F.filter(grams, lambda x: x == g))
-    return F.aggregate(F.array_distinct(h), F.lit(0), lambda a, g: a + F.least(count(h, g), count(r, g)))
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def clipped_counts(hyp: pd.Series, ref: pd.Series) -> pd.Series:
+    """How many n-grams, n from 1 to ``MOST_GRAM``, of one array of words another has too, each as often as both have it."""
+
+    def both(h, r) -> list[int]:
+        h, r = list(h), list(r)
+        return [sum((Counter(zip(*(h[i:] for i in range(n)), strict=False)) & Counter(zip(*(r[i:] for i in range(n)), strict=False))).values()) for n in range(1, MOST_GRAM + 1)]
+
+    return pd.Series([None if h is None or r is None else both(h, r) for h, r in zip(hyp, ref, strict=True)])
+
+
+#: Longest n-grams of BLEU.
+MOST_GRAM = 4
 
 
 def bleu(hyp: Column, ref: Column, n: int = 1) -> Column:
     """BLEU-n of one reference, without smoothing."""
-    return let(lambda h, r: _bleu(h, r, n), tokens(hyp), tokens(ref))
+    h, r = tokens(hyp), tokens(ref)
+    return bleu_of(clipped_counts(h, r), F.size(h), F.size(r), n)
 
 
-def _bleu(h: Column, r: Column, n: int) -> Column:
-    brevity = F.least(F.lit(1.0), F.exp(1 - F.size(r) / F.greatest(F.lit(1), F.size(h))))
+def bleu_of(same: Column, h: Column, r: Column, n: int) -> Column:
+    """BLEU-n of clipped counts and the two numbers of words."""
+    if not 1 <= n <= MOST_GRAM:
+        raise ValueError(f"n is 1 to {MOST_GRAM}")
+    brevity = F.least(F.lit(1.0), F.exp(1 - r / F.greatest(F.lit(1), h)))
     total = F.lit(0.0)
     for k in range(1, n + 1):
-        same = let(_clipped, ngrams(h, k), ngrams(r, k))
-        total = total + F.log(F.nullif(same, F.lit(0)) / F.greatest(F.lit(1), F.size(h) - (k - 1)))
-    return F.when((F.size(h) == 0) | total.isNull(), 0.0).otherwise(brevity * F.exp(total / n))
+        total = total + F.log(F.nullif(F.get(same, k - 1), F.lit(0)) / F.greatest(F.lit(1), h - (k - 1)))
+    return F.when((h == 0) | total.isNull(), 0.0).otherwise(brevity * F.exp(total / n))
 
 
-def lcs(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two arrays, by rows of the usual table."""
-    return let(_lcs, a, b)
-
-
-def _lcs(a: Column, b: Column) -> Column:
-    def row(prev: Column, x: Column) -> Column:
-        def cell(cur: Column, j: Column) -> Column:
-            up, diagonal, left = F.element_at(prev, j + 1), F.element_at(prev, j), F.element_at(cur, -1)
-            return F.array_append(cur, F.when(F.element_at(b, j) == x, diagonal + 1).otherwise(F.greatest(up, left)))
+@F.pandas_udf(T.IntegerType())
+def lcs(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Length of the longest common subsequence of two arrays: a row of the table is one long integer, a bit a column."""
 
-        return F.aggregate(F.sequence(F.lit(1), F.size(b)), F.array(F.lit(0)), cell)
+    def length(x, y) -> int:
+        where: dict[str, int] = {}
+        for j, w in enumerate(y):
+            where[w] = where.get(w, 0) | 1 << j
+        full = (1 << len(y)) - 1
+        row = full
+        for w in x:
+            met = row & where.get(w, 0)
+            row = (row + met | row - met) & full
+        return len(y) - row.bit_count()
 
-    table = F.aggregate(a, F.array_repeat(F.lit(0), F.size(b) + 1), row)
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0).otherwise(F.element_at(table, -1))
+    return pd.Series([None if x is None or y is None else length(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
 
 
 def rouge_tokens(c: Column) -> Column:
@@ -79,8 +96,8 @@ def rouge_tokens(c: Column) -> Column:
 
 def rouge_l(hyp: Column, ref: Column) -> Column:
     """F1 of the longest common subsequence."""
-    score = lambda h, r: F.when((F.size(h) == 0) | (F.size(r) == 0), 0.0).otherwise(2.0 * lcs(h, r) / (F.size(h) + F.size(r)))
-    return let(score, rouge_tokens(hyp), rouge_tokens(ref))
+    h, r = rouge_tokens(hyp), rouge_tokens(ref)
+    return F.when((F.size(h) == 0) | (F.size(r) == 0), 0.0).otherwise(2.0 * lcs(h, r) / (F.size(h) + F.size(r)))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.parsing import interval, let, ngrams, parse_response, tokens
-from ..functions.scoring import bleu, exact_match, rouge_l, tiou
+from ..functions.scoring import bleu_of, clipped_counts, exact_match, rouge_l, tiou
+from ..functions.stems import stem
 
 
 def ngram_counts(texts: DataFrame, text: str, keys: list[str], most: int = 4) -> DataFrame:
@@ -38,29 +39,36 @@ def cider(pairs: DataFrame, most: int = 4) -> DataFrame:
 # --- METEOR with exact and stemmed matches ---
 
 
-def stem(w: str) -> str:
-    """Light suffix stripping of English words."""
-    for end, least in (("ations", 3), ("ation", 3), ("ingly", 3), ("edly", 3), ("ness", 3), ("ing", 3), ("ies", 2), ("ed", 3), ("es", 3), ("ly", 3), ("s", 3)):
-        if w.endswith(end) and len(w) - len(end) >= least and not (end == "s" and w.endswith("ss")):
-            return w[: -len(end)] + ("y" if end == "ies" else "")
-    return w
+def _runs(h: list[str], r: list[str], match: dict[int, int]) -> None:
+    """Matches equal keys that are still free, from the left, each time with the place that goes on longest, so that few chunks come about."""
+    at: dict[str, list[int]] = {}
+    taken = set(match.values())
+    for j, w in enumerate(r):
+        if j not in taken:
+            at.setdefault(w, []).append(j)
+
+    def run(i: int, j: int) -> int:
+        n = 0
+        while i + n < len(h) and j + n < len(r) and h[i + n] == r[j + n] and i + n not in match and j + n not in taken:
+            n += 1
+        return n
+
+    for i, w in enumerate(h):
+        free = [j for j in at.get(w, ()) if j not in taken]
+        if i in match or not free:
+            continue
+        before = match.get(i - 1, -2)
+        j = max(free, key=lambda j: (run(i, j) + (j == before + 1), -abs(j - i)))
+        for k in range(run(i, j)):
+            match[i + k] = j + k
+            taken.add(j + k)
 
 
 def meteor_of(hyp: str | None, ref: str | None, alpha: float = 0.9, beta: float = 3.0, gamma: float = 0.5) -> float:
     h, r = (hyp or "").lower().split(), (ref or "").lower().split()
-    if not h or not r:
-        return 0.0
     match: dict[int, int] = {}
-    used: set[int] = set()
-    for key in (lambda w: w, stem):
-        free: dict[str, list[int]] = {}
-        for j in range(len(r) - 1, -1, -1):
-            if j not in used:
-                free.setdefault(key(r[j]), []).append(j)
-        for i, w in enumerate(h):
-            if i not in match and (at := free.get(key(w))):
-                match[i] = at.pop()
-                used.add(match[i])
+    _runs(h, r, match)
+    _runs([stem(w) for w in h], [stem(w) for w in r], match)
     if not match:
         return 0.0
     p, q = len(match) / len(h), len(match) / len(r)
@@ -90,7 +98,9 @@ def evaluate(rows: DataFrame, with_meteor: bool = False, with_cider: bool = Fals
     gt = F.coalesce("gt", F.struct(F.lit(0.0).alias("start_sec"), F.lit(1.0).alias("end_sec")))
     parsed = parsed.withColumn("pred", F.when(F.col("blocks").isNotNull(), interval(F.col("hyp")))).withColumn("gt", gt)
     h, r = F.col("hyp"), F.col("ref")
-    found = [mean(bleu(h, r, 1)).alias("bleu1"), mean(bleu(h, r, 4)).alias("bleu4"), mean(rouge_l(h, r)).alias("rouge_l"), mean(tiou(F.col("pred"), F.col("gt"))).alias("tiou")]
+    parsed = parsed.withColumns({"ht": tokens(h), "rt": tokens(r)}).withColumn("same", clipped_counts("ht", "rt"))
+    score = lambda n: mean(bleu_of(F.col("same"), F.size("ht"), F.size("rt"), n)).alias(f"bleu{n}")
+    found = [score(1), score(4), mean(rouge_l(h, r)).alias("rouge_l"), mean(tiou(F.col("pred"), F.col("gt"))).alias("tiou")]
     if with_meteor:
         parsed = parsed.withColumn("meteor", meteor("hyp", "ref"))
         found.append(mean(F.col("meteor")).alias("meteor"))
@@ -100,3 +110,37 @@ def evaluate(rows: DataFrame, with_meteor: bool = False, with_cider: bool = Fals
     if with_cider:
         out = out.withColumn("cider", cider(parsed.select(F.col("sample_id").alias("id"), "hyp", "ref")).scalar())
     return out
+
+
+def numbered(rows: DataFrame, name: str = "position") -> DataFrame:
+    """Rows with their place, from 0, in the order they are read.
+
+    A row's id holds its partition and its number there, so only the partitions' counts are summed, one row each.
+    """
+    held = rows.withColumn("__id", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__id", 33))
+    counts = held.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    at = F.col("__before") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
+    return held.join(F.broadcast(shift), "__part").withColumn(name, at).drop("__id", "__part", "__before")
+
+
+def paired(predictions: DataFrame, references: DataFrame) -> DataFrame:
+    """Predictions with the references at the same place; what the longer side has more is left out.  ``sample_id`` is the place."""
+    return numbered(predictions, "sample_id").join(numbered(references, "sample_id"), "sample_id")
+
+
+def running_loss(steps: DataFrame, every: int = 10) -> DataFrame:
+    """Of rows (epoch, step, loss): each batch's mean ``loss``, the ``running`` mean of its epoch so far, and whether it is an ``every``-th step."""
+    batch = steps.groupBy("epoch", "step").agg(F.avg("loss").alias("loss"))
+    so_far = Window.partitionBy("epoch").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    return batch.withColumn("running", F.avg("loss").over(so_far)).withColumn("marked", F.row_number().over(Window.partitionBy("epoch").orderBy("step")) % every == 0)
+
+
+def register(spark) -> None:
+    """The Arrow functions under their names in SQL."""
+    from ..functions.scoring import clipped_counts, lcs
+    from .lengths import effective_length
+
+    for f in (clipped_counts, lcs, effective_length, meteor):
+        spark.udf.register(f.__name__, f)

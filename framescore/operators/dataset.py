@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import parsing as P
+from ..sources import samples as R
 from ..sources.samples import TEXTS
+from . import frames as V
 
 # fixed values: families of observation factors and the levels of difficulty
 FACTORS = {"blur": ("motion_blur", "lens_flare", "sensor_noise"), "environment": ("low_light", "rain_snow", "fog", "tunnel_low_light"), "occlusion": ("vehicle_mask", "interaction_area_mask")}
@@ -98,3 +101,45 @@ def split_dataset(samples: DataFrame, seed: int = 42) -> DataFrame:
     second = second.select("base", F.when(F.col("k") <= F.floor(n * F.lit(0.30)), "sft_train").otherwise("rl_train").alias("split"))
     named = second.unionByName(placed.where("part_of != 'train'").select("base", F.col("part_of").alias("split")))
     return samples.drop("split").withColumn("base", P.base_id(F.col("video_id"))).join(named, "base").drop("base")
+
+
+def by_row(f: Callable[[str], str]) -> Callable[[Column], Column]:
+    """``f`` as a generator of texts for ``annotate`` and the like; a prompt that makes it fail gives null."""
+
+    def one(prompt: str | None) -> str | None:
+        try:
+            return None if prompt is None else f(prompt)
+        except Exception:  # whatever a model raises; a row's failure is data here, not the job's
+            return None
+
+    @F.pandas_udf("string")
+    def generate(prompts: pd.Series) -> pd.Series:
+        return prompts.map(one)
+
+    return generate
+
+
+def generate_and_parse(rows: DataFrame, generate: Callable[[Column], Column], prompt: str = "prompt") -> DataFrame:
+    """``response`` to each prompt and its ``blocks``, null if it can't be parsed."""
+    return rows.withColumn("response", generate(F.col(prompt))).withColumn("blocks", P.let(P.parse_response, F.col("response")))
+
+
+def collect_clips(videos: DataFrame, annotations: DataFrame, decoder: Callable[[bytes], list[bytes]], height: int, width: int, channels: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Clips of ``videos`` (see ``list_videos``) with frames and ranges, and the rows that couldn't be decoded or whose range doesn't run forward."""
+    read = R.decode_videos(videos, decoder).withColumn("n_frames", F.size("frames"))
+    ranged = clip_defaults(read, annotations).withColumns({"height": F.lit(height), "width": F.lit(width), "channels": F.lit(channels)})
+    ok = F.col("error").isNull() & (F.col("start_frame") < F.col("end_frame"))
+    return quarantine(ranged.withColumn("error", F.when(F.coalesce(ok, F.lit(False)), None).otherwise(F.coalesce("error", F.lit("the range doesn't run forward")))), F.col("error").isNull())
+
+
+def build_dataset(videos: DataFrame, annotations: DataFrame, decoder: Callable[[bytes], list[bytes]], generate: Callable[[Column], Column], height: int, width: int, channels: int = 3, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """The whole build: clips, four degraded variants of each, annotated, validated and split by source video.
+
+    Returns the samples with their ``split``, and the rows that failed somewhere, with an ``error``.
+    """
+    clips, bad = collect_clips(videos, annotations, decoder, height, width, channels)
+    made = annotate(V.degrade_clips(fan_out(clips.drop("error"))), generate)
+    made = made.withColumn("gt_interval", F.struct("start_sec", "end_sec"))
+    good, failed = quarantine(made, F.col("error").isNull() & valid_sample())
+    failed = failed.withColumn("error", F.coalesce("error", F.lit("the sample isn't valid")))
+    return split_dataset(good.drop("error"), seed), bad.select("video_id", "error").unionByName(failed.select("video_id", "error"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,52 +12,69 @@ from pyspark.sql import types as T
 
 from ..functions.scoring import jaccard
 
-MOST_CLAUSES, NEAR = 50, 0.85
+#: Sizes of the windows whose repeats go, in their order; clauses that count; percent of words that near-equal ones share.
+WINDOWS, MOST_CLAUSES, NEAR = (3, 4, 5), 50, 85
 _ENDS = re.compile("[.!?;]")
 
 
-def without_repeats(t: list[str], n: int) -> list[str]:
-    """Words left when every window of n that was seen before is skipped."""
-    seen: set[tuple[str, ...]] = set()
-    out, i = [], 0
-    while i < len(t):
-        window = tuple(t[i : i + n])
-        if len(window) == n and window in seen:
-            i += n
+def _fresh(ids: np.ndarray, n: int) -> np.ndarray:
+    """Which places of a row of word ids stay when repeats of windows of ``n`` are cut out.
+
+    Only places whose window occurs twice or more can begin a cut or be the reason of one, so only they are looked at.
+    """
+    stays = np.ones(len(ids), bool)
+    if len(ids) <= n:
+        return stays
+    _, window, count = np.unique(np.lib.stride_tricks.sliding_window_view(ids, n), axis=0, return_inverse=True, return_counts=True)
+    window = window.ravel()
+    twice = np.flatnonzero(count[window] > 1)
+    met, resume = np.zeros(len(count), bool), 0
+    for at, w in zip(twice.tolist(), window[twice].tolist(), strict=True):
+        if at < resume:
             continue
-        seen.add(window)
-        out.append(t[i])
-        i += 1
-    return out
-
-
-def distinct_clauses(clauses: list[str], near: float = NEAR) -> list[str]:
-    """Clauses that share less than ``near`` of their words with each one kept before."""
-    kept: list[tuple[str, set[str]]] = []
-    for c in clauses:
-        words = set(c.split())
-        if not any((len(words & k) / len(words | k) if words and k else float(words == k)) >= near for _, k in kept):
-            kept.append((c, words))
-    return [c for c, _ in kept]
+        if met[w]:
+            resume = at + n
+            stays[at:resume] = False
+        met[w] = True
+    return stays
+
+
+def _clause_words(text: str) -> int:
+    """Words of the first clauses that differ enough from each other."""
+    total, sets = 0, []
+    for part in _ENDS.split(text):
+        words = part.split()
+        own = set(words)
+        if not own or any(100 * len(own & other) >= NEAR * len(own | other) for other in sets):
+            continue
+        total += len(words)
+        sets.append(own)
+        if len(sets) == MOST_CLAUSES:
+            break
+    return total
 
 
-def effective_length_of(text: str | None) -> int:
-    words = (text or "").lower().split()
-    left = words
-    for n in (3, 4, 5):
-        left = without_repeats(left, n)
-    clauses = [c.strip() for c in _ENDS.split(" ".join(left)) if c.strip()]
-    return min(len(words), sum(len(c.split()) for c in distinct_clauses(clauses)[:MOST_CLAUSES]))
+def _length(text: str | None) -> int:
+    words = np.array((text or "").lower().split(), dtype=object)
+    if not len(words):
+        return 0
+    number = {w: i for i, w in enumerate(dict.fromkeys(words))}
+    ids, left = np.array([number[w] for w in words]), words
+    for n in WINDOWS:
+        keep = _fresh(ids, n)
+        ids, left = ids[keep], left[keep]
+    return min(len(words), _clause_words(" ".join(left)))
 
 
 @F.pandas_udf(T.LongType())
 def effective_length(text: pd.Series) -> pd.Series:
-    """Sequential by nature, so an Arrow function."""
-    return text.map(effective_length_of).astype("int64")
+    """Sequential by nature, so an Arrow function; equal texts of a batch are measured once."""
+    known = {t: _length(t) for t in text.unique()}
+    return text.map(known).astype("int64")
 
 
 def without_repeats_column(t: Column, n: int) -> Column:
-    """``without_repeats`` as a fold over the places of an array (for short texts)."""
+    """Words left when repeats of windows of ``n`` are cut out, as a fold over the places of an array (for short texts)."""
     start = F.struct(F.array().cast("array<string>").alias("seen"), F.lit(0).alias("skip"), F.array().cast("array<string>").alias("out"))
 
     def step(s: Column, i: Column) -> Column:
@@ -71,6 +89,6 @@ def without_repeats_column(t: Column, n: int) -> Column:
     return F.aggregate(places, start, step)["out"]
 
 
-def distinct_clauses_column(clauses: Column, near: float = NEAR) -> Column:
-    """``distinct_clauses`` as a fold."""
+def distinct_clauses_column(clauses: Column, near: float = NEAR / 100) -> Column:
+    """Clauses that share less than ``near`` of their words with each one kept before, as a fold."""
     return F.aggregate(clauses, F.array().cast("array<string>"), lambda kept, c: F.when(F.exists(kept, lambda k: jaccard(k, c) >= near), kept).otherwise(F.array_append(kept, c)))

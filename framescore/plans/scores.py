@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import parsing as P
 from ..functions import scoring as S
 from ..operators import corpus, lengths
+from ..operators import dataset as D
 from ..streaming.scoring import score_responses
 from . import fixtures as X
 
@@ -134,13 +135,13 @@ def bleu4(spark, sf_dir):
 _ROUGE = (
     f"WITH RECURSIVE {X.PAIRS_SQL}, t AS (SELECT id, list_filter(string_split_regex(lower(hyp), '[^a-z0-9]+'), lambda x: x <> '') AS h, list_filter(string_split_regex(lower(ref), '[^a-z0-9]+'), lambda x: x <> '') AS r FROM pairs), "
     "l AS (SELECT id, h, r, 0::BIGINT AS i, list_transform(range(0, len(r) + 1), lambda j: 0::BIGINT) AS prev FROM t "
-    "UNION ALL SELECT id, h, r, i + 1, list_reduce(range(1, len(r) + 1), lambda cur, j: list_append(cur, CASE WHEN r[j] = h[i + 1] THEN prev[j] + 1 ELSE greatest(prev[j + 1], cur[j]) END), [0::BIGINT]) FROM l WHERE i < len(h)), "
+    "UNION ALL SELECT id, h, r, i + 1, list_reduce(list_transform(range(1, len(r) + 1), lambda j: [j]), lambda cur, j: list_append(cur, CASE WHEN r[j[1]] = h[i + 1] THEN prev[j[1]] + 1 ELSE greatest(prev[j[1] + 1], cur[j[1]]) END), [0::BIGINT]) FROM l WHERE i < len(h)), "
     "d AS (SELECT id, len(h) AS n, len(r) AS m, prev[len(r) + 1] AS lcs FROM l WHERE i = len(h)) "
     "SELECT id, lcs, round(CASE WHEN n = 0 OR m = 0 THEN 0.0 ELSE 2.0 * lcs / (n + m) END, 6) AS rouge_l FROM d"
 )
 
 
-@query("rouge_l", _ROUGE.replace("list_reduce(range(1, len(r) + 1), lambda cur, j:", "list_reduce(list_transform(range(1, len(r) + 1), lambda j: [j]), lambda cur, jj:").replace("r[j] = h", "r[jj[1]] = h").replace("prev[j] + 1", "prev[jj[1]] + 1").replace("prev[j + 1], cur[j]", "prev[jj[1] + 1], cur[jj[1]]"))
+@query("rouge_l", _ROUGE)
 def rouge_l(spark, sf_dir):
     p = X.pairs(spark, sf_dir).withColumn("h", S.rouge_tokens(F.col("hyp"))).withColumn("r", S.rouge_tokens(F.col("ref"))).withColumn("lcs", S.lcs(F.col("h"), F.col("r")))
     both = F.size("h") + F.size("r")
@@ -168,10 +169,14 @@ def ngram_counts(spark, sf_dir):
     return c.groupBy("gram").agg(F.sum("count").alias("total"), F.count("*").alias("texts")).where("total >= 3")
 
 
-@query("vqa_accuracy", f"WITH {X.PAIRS_SQL} SELECT id % 7 AS k, round(avg(CASE WHEN lower(trim(substr(hyp, 1, 3))) = lower(trim(substr(ref, 1, 3))) THEN 1 ELSE 0 END), 6) AS accuracy FROM pairs GROUP BY id % 7")
+# whole answers of parsed responses; a third of the ground truth differs by its kind or its case
+_SAME = "CASE WHEN e % 3 = 0 THEN upper(answer) WHEN e % 3 = 1 THEN concat(' ', answer, ' ') ELSE concat(answer, '.') END"
+
+
+@query("vqa_accuracy", f"{_WITH}, x AS (SELECT e, CASE WHEN ok THEN answer_block ELSE '' END AS hyp, {_SAME} AS ref FROM parsed) SELECT e % 7 AS k, round(avg(CASE WHEN lower(trim(hyp)) = lower(trim(ref)) THEN 1 ELSE 0 END), 6) AS accuracy FROM x GROUP BY e % 7")
 def vqa_accuracy(spark, sf_dir):
-    same = S.exact_match(F.substring("hyp", 1, 3), F.substring("ref", 1, 3))
-    return X.pairs(spark, sf_dir).groupBy((F.col("id") % 7).alias("k")).agg(F.round(F.avg(same), 6).alias("accuracy"))
+    r = _parsed(spark, sf_dir).select("e", F.coalesce("blocks.answer_block", F.lit("")).alias("hyp"), F.expr(_SAME).alias("ref"))
+    return r.groupBy((F.col("e") % 7).alias("k")).agg(F.round(F.avg(S.exact_match(F.col("hyp"), F.col("ref"))), 6).alias("accuracy"))
 
 
 @query("meteor")
@@ -275,7 +280,32 @@ def effective_length(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", lengths.effective_length("text").alias("effective_length"))
 
 
-@query("length_reward")
+def _cut_sql(name: str, source: str, n: int) -> str:
+    """Repeats of windows of ``n`` words cut out of the arrays ``t`` of ``source`` (id, t), one place a step."""
+    gram = f"array_to_string(t[i:i + {n - 1}], chr(1))"
+    again = f"i + {n - 1} <= len(t) AND list_contains(seen, {gram})"
+    return (
+        f"{name}_l AS (SELECT id, t, 1::BIGINT AS i, []::VARCHAR[] AS seen, []::VARCHAR[] AS o FROM {source} UNION ALL "
+        f"SELECT id, t, CASE WHEN {again} THEN i + {n} ELSE i + 1 END, CASE WHEN {again} OR i + {n - 1} > len(t) THEN seen ELSE list_append(seen, {gram}) END, CASE WHEN {again} THEN o ELSE list_append(o, t[i]) END FROM {name}_l WHERE i <= len(t)), "
+        f"{name} AS (SELECT id, o AS t FROM {name}_l WHERE i > len(t))"
+    )
+
+
+# clauses of what three cuts leave; the first 50 that differ enough count by their words
+_SIDES = f"{X.PAIRS_SQL}, sides AS (SELECT id * 2 AS id, hyp AS x FROM pairs UNION ALL SELECT id * 2 + 1, ref FROM pairs), words AS (SELECT id, {_WORDS.format(c='x')} AS t FROM sides)"
+_PART_WORDS = "list_distinct(list_filter(string_split_regex({c}, '\\s+'), lambda y: y <> ''))"
+_NEAR_SQL = f"len(list_filter(kept, lambda k: 100 * len(list_intersect({_PART_WORDS.format(c='k')}, {_PART_WORDS.format(c='c[i]')})) >= 85 * len(list_distinct(list_concat({_PART_WORDS.format(c='k')}, {_PART_WORDS.format(c='c[i]')}))))) > 0"
+_LENGTHS_SQL = (
+    f"WITH RECURSIVE {_SIDES}, {_cut_sql('c3', 'words', 3)}, {_cut_sql('c4', 'c3', 4)}, {_cut_sql('c5', 'c4', 5)}, "
+    "parts AS (SELECT id, list_filter(list_transform(string_split_regex(array_to_string(t, ' '), '[.!?;]'), lambda x: trim(x)), lambda x: x <> '') AS c FROM c5), "
+    f"k AS (SELECT id, c, 1::BIGINT AS i, []::VARCHAR[] AS kept FROM parts UNION ALL SELECT id, c, i + 1, CASE WHEN {_NEAR_SQL} THEN kept ELSE list_append(kept, c[i]) END FROM k WHERE i <= len(c)), "
+    "sized AS (SELECT id, coalesce(list_sum(list_transform(kept[1:50], lambda x: len(list_filter(string_split_regex(x, '\\s+'), lambda y: y <> '')))), 0) AS n FROM k WHERE i > len(c)), "
+    "lengths AS (SELECT id, CAST(least(len(t), n) AS BIGINT) AS n FROM words JOIN sized USING (id)) "
+    "SELECT a.id // 2 AS id, a.n AS p, b.n AS g, round(greatest(0.0, least(1.0, 1 - abs(a.n - b.n) / CAST(greatest(1, b.n) AS DOUBLE))), 6) AS rl FROM lengths a JOIN lengths b ON a.id % 2 = 0 AND b.id = a.id + 1"
+)
+
+
+@query("length_reward", _LENGTHS_SQL)
 def length_reward(spark, sf_dir):
     p = X.pairs(spark, sf_dir).select("id", lengths.effective_length("hyp").alias("p"), lengths.effective_length("ref").alias("g"))
     return p.select("id", "p", "g", F.round(S.reward_length(F.col("p"), F.col("g")), 6).alias("rl"))
@@ -296,7 +326,10 @@ def clause_dedup(spark, sf_dir):
     return p.select("id", F.size("c").cast("long").alias("clauses"), F.size("kept").cast("long").alias("kept"))
 
 
-@query("repeat_removal")
+_LISTED = f"{X.PAIRS_SQL}, words AS (SELECT id, {_WORDS.format(c='hyp')} AS t FROM pairs)"
+
+
+@query("repeat_removal", f"WITH RECURSIVE {_LISTED}, {_cut_sql('cut', 'words', 3)} SELECT id, len(words.t) AS words, len(cut.t) AS kept FROM words JOIN cut USING (id)")
 def repeat_removal(spark, sf_dir):
     t = X.pairs(spark, sf_dir).withColumn("t", P.tokens(F.col("hyp")))
     return t.select("id", F.size("t").cast("long").alias("words"), F.size(lengths.without_repeats_column(F.col("t"), 3)).cast("long").alias("kept"))
@@ -315,3 +348,32 @@ def inference_results(spark, sf_dir):
     r = result_rows(X.responses(spark, sf_dir).select("e", F.col("text").alias("prediction")))
     at = lambda i: F.get(F.col("parsed.interval"), i)
     return r.select("e", "raw_output", F.col("parsed").isNotNull().alias("parsed"), at(0).alias("start_sec"), at(1).alias("end_sec"))
+
+
+# --- pairs by place, losses by step ---
+
+_REFS = "(SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS place FROM events)"
+
+
+@query("pair_by_position", f"SELECT a.place AS sample_id, a.event_id AS prediction, b.event_id AS reference FROM {_REFS} a JOIN (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS place FROM events WHERE event_id % 3 <> 1) b USING (place)")
+def pair_by_position(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id").orderBy("event_id")
+    return corpus.paired(e.select(F.col("event_id").alias("prediction")), e.where("event_id % 3 != 1").select(F.col("event_id").alias("reference")))
+
+
+_STEPS = "SELECT event_id % 5 AS epoch, event_id // 40 AS step, (event_id * 7 % 100) / 100.0::DOUBLE AS loss FROM events"
+
+
+@query("running_loss", f"WITH b AS (SELECT epoch, step, avg(loss) AS loss FROM ({_STEPS}) GROUP BY epoch, step) SELECT epoch, step, round(loss, 6) AS loss, round(avg(loss) OVER (PARTITION BY epoch ORDER BY step ROWS UNBOUNDED PRECEDING), 6) AS running, row_number() OVER (PARTITION BY epoch ORDER BY step) % 10 = 0 AS marked FROM b")
+def running_loss(spark, sf_dir):
+    e = F.col("event_id")
+    steps = spark.read.parquet(f"{sf_dir}/events.parquet").select((e % 5).alias("epoch"), F.floor(e / 40).alias("step"), ((e * 7 % 100) / 100.0).alias("loss"))
+    r = corpus.running_loss(steps)
+    return r.select("epoch", "step", F.round("loss", 6).alias("loss"), F.round("running", 6).alias("running"), "marked")
+
+
+@query("generate_and_parse", f"{_WITH} SELECT e, ok AS parsed, CASE WHEN ok THEN answer_block END AS answer_block FROM parsed")
+def generate_and_parse(spark, sf_dir):
+    # a stand-in for a model: the prompt is the response, and fails on none
+    made = D.generate_and_parse(X.responses(spark, sf_dir).select("e", F.col("text").alias("prompt")), D.by_row(str))
+    return made.select("e", F.col("blocks").isNotNull().alias("parsed"), "blocks.answer_block")

@@ -62,9 +62,15 @@ def load_samples(spark: SparkSession, folder: str, split: str) -> DataFrame:
 
 
 def list_videos(spark: SparkSession, folders: list[str]) -> DataFrame:
-    """``video_id``, ``path`` and ``content`` of the .mp4 files right in some folders."""
+    """``video_id``, ``path`` and ``content`` of the .mp4 files right in some folders, by path."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.mp4").load(folders)
-    return files.select(F.regexp_extract("path", r"([^/]+)\.mp4$", 1).alias("video_id"), "path", "content")
+    return files.select(F.regexp_extract("path", r"([^/]+)\.mp4$", 1).alias("video_id"), "path", "content").orderBy("path")
+
+
+def read_clip_annotations(spark: SparkSession, path: str) -> DataFrame:
+    """Frame and second ranges of clips by ``video_id``, from one JSON object; what an entry lacks is null, a missing file has none."""
+    found = read_map(spark, path, "struct<start_frame:int,end_frame:int,start_sec:double,end_sec:double>", name="a")
+    return found.select("video_id", "a.*")
 
 
 def decode_videos(videos: DataFrame, decoder: Callable[[bytes], list[bytes]], least: int = 25) -> DataFrame:

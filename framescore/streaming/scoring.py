@@ -22,7 +22,7 @@ def score_responses(rows: DataFrame, w: RewardWeights = RewardWeights()) -> Data
     """
     parsed = rows.withColumn("blocks", let(parse_response, F.col("text")))
     parsed = parsed.withColumn("profile", parse_profile(F.col("blocks.type_block"))).withColumn("span", interval(F.col("blocks.answer_block")))
-    parsed = parsed.withColumn("n_pred", effective_length(F.coalesce(F.col("blocks.reasoning_block"), F.lit("")))).withColumn("n_gt", effective_length("gt_reasoning"))
+    parsed = parsed.withColumns({"n_pred": effective_length(F.coalesce(F.col("blocks.reasoning_block"), F.lit(""))), "n_gt": effective_length("gt_reasoning")})
     some = F.col("blocks").isNotNull()
     scored = parsed.withColumns(
         {
@@ -37,14 +37,15 @@ def score_responses(rows: DataFrame, w: RewardWeights = RewardWeights()) -> Data
 def stream_advantages(rows: DataFrame, size: int = 4, timeout_ms: int = 600_000) -> DataFrame:
     """Rows (group_id, member, reward) of a stream with their advantage, when ``size`` of a group have come.
 
-    A group that stays incomplete for ``timeout_ms`` is dropped.
+    What a group has after ``timeout_ms`` without news comes out with a null advantage.
     """
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        members, rewards = (list(x) for x in state.get) if state.exists else ([], [])
         if state.hasTimedOut:
             state.remove()
+            yield pd.DataFrame({"group_id": key[0], "member": members, "reward": rewards, "advantage": [None] * len(members)})
             return
-        members, rewards = (list(x) for x in state.get) if state.exists else ([], [])
         for p in parts:
             members += p["member"].tolist()
             rewards += p["reward"].tolist()

@@ -3,6 +3,7 @@
 import itertools
 import json
 import random
+import time
 
 import numpy as np
 import pytest
@@ -14,7 +15,7 @@ from framescore.operators import corpus, dataset, frames, lengths
 from framescore.sources import samples
 from framescore.streaming.scoring import stream_advantages
 
-GOOD = "<TYPE>fog:0.4<TYPE_END><INFLUENCE>i<INFLUENCE_END><REASONING>\n r \n<REASONING_END><CONCLUSION>c<CONCLUSION_END><ANSWER>[2.5, 8.0]<ANSWER_END>"
+GOOD = "<TYPE>fog:0.4<TYPE_END><INFLUENCE>i<INFLUENCE_END><REASONING>\n r \n<REASONING_END><CONCLUSION>c<CONCLUSION_END><ANSWER>[1.5, 6.0]<ANSWER_END>"
 
 
 def test_parse_response(spark):
@@ -25,7 +26,7 @@ def test_parse_response(spark):
 
 
 def test_interval(spark):
-    cases = {"[2.5, 8.0]": (2.5, 8.0), "from 3.0 to 9.5 sec": (3.0, 9.5), "[3, 10]": (3.0, 10.0), "[8.0, 2.0]": None, "none": None, "start_sec: 1, end_sec: 2": (1.0, 2.0), "2 - 3 s": (2.0, 3.0), "2–3 steps": (2.0, 3.0)}
+    cases = {"[1.25, 7.5]": (1.25, 7.5), "from 4.0 to 11.5 sec": (4.0, 11.5), "[6, 12]": (6.0, 12.0), "[9.0, 1.0]": None, "nothing here": None, "start_sec: 1, end_sec: 2": (1.0, 2.0), "2 - 3 s": (2.0, 3.0), "2–3 steps": (2.0, 3.0)}
     rows = spark.createDataFrame([(k,) for k in cases], "t string").select(P.interval(F.col("t")).alias("s")).collect()
     assert [tuple(r.s) if r.s else None for r in rows] == list(cases.values())
 
@@ -62,7 +63,7 @@ def test_observation_reward_is_the_best_assignment(spark):
 
 def test_tiou_and_length_reward(spark):
     span = P.INTERVAL_TYPE
-    cases = [((2.0, 8.0), (2.0, 8.0), 1.0), ((0.0, 3.0), (5.0, 10.0), 0.0), (None, (1.0, 2.0), 0.0), ((0.0, 6.0), (4.0, 10.0), 0.2)]
+    cases = [((1.0, 4.0), (1.0, 4.0), 1.0), ((2.0, 3.0), (7.0, 9.0), 0.0), (None, (1.0, 2.0), 0.0), ((0.0, 3.0), (2.0, 5.0), 0.2)]
     rows = spark.createDataFrame(cases, f"p {span}, g {span}, e double").select(S.tiou(F.col("p"), F.col("g")).alias("t"), "e").collect()
     assert all(r.t == pytest.approx(r.e) for r in rows)
     assert spark.range(1).select(S.reward_length(F.lit(0), F.lit(10))).first()[0] == 0
@@ -76,11 +77,21 @@ def test_advantages_average_to_nothing(spark):
 def test_lengths(spark):
     r = random.Random(5)
     texts = [" ".join(r.choices("a b c d. e; f", k=r.randint(0, 40))) for _ in range(60)]
-    assert all(lengths.effective_length_of(t) <= len(t.split()) for t in texts)
-    assert lengths.effective_length_of(None) == 0 and lengths.without_repeats("a b c a b c d".split(), 3) == ["a", "b", "c", "d"]
-    df = spark.createDataFrame([(t, t.lower().split()) for t in texts], "t string, w array<string>")
-    for row in df.select("w", lengths.without_repeats_column(F.col("w"), 3).alias("o"), "t", lengths.effective_length("t").alias("n")).collect():
-        assert row.o == lengths.without_repeats(row.w, 3) and row.n == lengths.effective_length_of(row.t)
+    texts += ["", None, "x " * 400, "one two three. one two three four. " * 3, " ".join(f"w{i};" for i in range(90))]
+    df = spark.createDataFrame([(i, t, (t or "").lower().split()) for i, t in enumerate(texts)], "i int, t string, w array<string>")
+    cut = df.withColumn("c", F.col("w"))
+    for n in (3, 4, 5):
+        cut = spark.createDataFrame(cut.withColumn("c", lengths.without_repeats_column(F.col("c"), n)).collect(), cut.schema)
+    found = cut.select("w", "c", lengths.effective_length("t").alias("n")).collect()
+    for row in found:  # the fold of the cuts, then clauses one by one
+        kept: list[list[str]] = []
+        for part in "".join(x if x not in ".!?;" else "\n" for x in " ".join(row.c)).split("\n"):
+            words = part.split()
+            if words and not any(len({*words} & {*k}) / len({*words} | {*k}) >= 0.85 for k in kept):
+                kept.append(words)
+        assert row.n == min(len(row.w), sum(map(len, kept[:50])))
+    repeated = spark.createDataFrame([("p q r s p q r t".split(),)], "w array<string>")
+    assert repeated.select(lengths.without_repeats_column(F.col("w"), 3).alias("o")).first().o == ["p", "q", "r", "s", "t"]
 
 
 def test_meteor_and_cider(spark):
@@ -116,7 +127,7 @@ def test_frames_in_numpy(spark):
     for name, s, native in (("motion_blur", 0.2, frames.motion_blur(c, 0.2, 8, 8)), ("low_light", 0.4, frames.low_light(c, F.lit(0.4))), ("fog", 0.8, frames.fog(c, F.lit(0.8))), ("vehicle_mask", 0.8, frames.occlusion(c, F.lit(0.8), 8, 8)), ("interaction_area_mask", 0.8, frames.occlusion(c, F.lit(0.8), 8, 8, True))):
         assert row.select(native.alias("o")).first().o == frames.degrade_frame(f, [(name, s)], 1).ravel().tolist(), name
     assert (frames.degrade_frame(f, [("unknown", 0.5)], 1) == f).all()
-    many = frames.sample_frames([np.zeros((48, 64, 3), np.uint8)] * 50, size=32)
+    many = frames.sample_frames([np.zeros((36, 52, 3), np.uint8)] * 41, size=32)
     assert many.shape == (25, 32, 32, 3) and frames.to_tensor(many).shape == (25, 3, 32, 32)
     with pytest.raises(ValueError):
         frames.sample_frames([f] * 3)
@@ -125,7 +136,73 @@ def test_frames_in_numpy(spark):
 def test_stream_of_advantages(spark, tmp_path):
     spark.createDataFrame([(i % 5, i, float(i)) for i in range(18)], "group_id long, member long, reward double").write.parquet(str(tmp_path / "in"))
     rows = spark.readStream.schema("group_id long, member long, reward double").parquet(str(tmp_path / "in"))
-    q = stream_advantages(rows, 3).writeStream.format("memory").queryName("advantages").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    got = spark.table("advantages").groupBy("group_id").agg(F.count("*").alias("n"), F.sum("advantage").alias("s")).collect()
+    q = stream_advantages(rows, 3, timeout_ms=1).writeStream.format("memory").queryName("advantages").option("checkpointLocation", str(tmp_path / "c")).start()
+    until = time.time() + 60
+    while time.time() < until and spark.table("advantages").where("advantage IS NULL").count() < 3:
+        time.sleep(0.5)
+    q.stop()
+    got = spark.table("advantages").where("advantage IS NOT NULL").groupBy("group_id").agg(F.count("*").alias("n"), F.sum("advantage").alias("s")).collect()
     assert all(r.n == 3 and abs(r.s) < 1e-6 for r in got) and len(got) == 5
+    assert spark.table("advantages").where("advantage IS NULL").count() == 3  # of groups that stay incomplete
+
+
+def test_flare_and_rain():
+    f = np.full((40, 50, 3), 90, np.uint8)
+    lit = frames.degrade_frame(f, [("lens_flare", 0.8)], 1)
+    assert (lit[0, 0] == f[0, 0]).all() and lit[12, 35, 0] == 133 and lit[12, 35, 2] == 106 and lit[12, 35, 0] >= lit[12, 40, 0]
+    wet = frames.degrade_frame(f, [("rain_snow", 0.5)], 1)
+    streaks = wet[(wet != f).any(2)]
+    assert len(streaks) > 200 and streaks.min() >= 180 and (frames.degrade_frame(f, [("rain_snow", 0.5)], 1) == wet).all()
+    assert (frames.degrade_frame(f, [("lens_flare", 0.0), ("rain_snow", 0.0)], 1) == f).all()
+
+
+def test_build_of_a_dataset(spark, tmp_path):
+    """From files to split samples; what fails on the way comes out with its error."""
+    for i in range(6):
+        (tmp_path / f"v{i}.mp4").write_bytes(bytes([i]) * (3 if i == 5 else 30))
+    (tmp_path / "clips.json").write_text(json.dumps({"v0": {"start_frame": 9, "end_frame": 2}, "v1": {"start_sec": 0.5, "end_sec": 1.5}}))
+
+    def decode(raw: bytes) -> list[bytes]:
+        return [bytes([b] * 12) for b in raw]
+
+    def answer(prompt: str) -> str:
+        if len(prompt) == 0:
+            raise RuntimeError("nothing to say")
+        return "  " if "low_light (severity=0.8)" in prompt and "Effect" in prompt else "fine"
+
+    videos = samples.list_videos(spark, [str(tmp_path)])
+    assert [r.video_id for r in videos.select("video_id").collect()] == [f"v{i}" for i in range(6)]
+    notes = samples.read_clip_annotations(spark, str(tmp_path / "clips.json"))
+    assert samples.read_clip_annotations(spark, str(tmp_path / "none.json")).count() == 0
+    good, bad = dataset.build_dataset(videos, notes, decode, dataset.by_row(answer), 2, 2)
+    rows = good.collect()
+    assert {(r.video_id, r.difficulty_level) for r in rows} == {(f"v{i}", v) for i in range(1, 5) for v in dataset.LEVELS}
+    assert all(len(r.frames) == 30 and r.split in samples.SPLITS and r.reasoning_annotation == "fine" for r in rows)
+    assert {r.gt_interval.end_sec for r in rows if r.video_id == "v1"} == {1.5}
+    assert sorted(r.video_id for r in bad.collect()) == ["v0", "v5"]
+    strict, _ = dataset.quarantine(good.withColumn("answer_annotation", F.lit("")), dataset.valid_sample(), strict=True)
+    with pytest.raises(Exception, match="isn't valid"):
+        strict.collect()
+    samples.write_results(good.select("video_id", F.lit(None).cast("string").alias("note")).limit(1), str(tmp_path / "out"))
+    assert '"note":null' in "".join(p.read_text() for p in (tmp_path / "out").glob("part*"))
+
+
+def test_frames_of_clips(spark):
+    clips = spark.createDataFrame([("a", [bytes(range(12))] * 26, 2, 2, 3, [("fog", 0.4)]), ("b", [b"123"], 2, 2, 3, [("fog", 0.4)])], f"video_id string, frames array<binary>, height int, width int, channels int, degradation_profile {P.PROFILE_TYPE}")
+    a, b = frames.degrade_clips(clips).orderBy("video_id").collect()
+    assert a.frames[3] == frames.degrade_frame(np.arange(12, dtype=np.uint8).reshape(2, 2, 3), [("fog", 0.4)], 0).tobytes() and a.error is None
+    assert b.frames is None and b.error
+    a, b = frames.sample_clips(clips, size=4).orderBy("video_id").collect()
+    assert len(a.frames) == 25 and len(a.frames[0]) == 48 and a.height == 4 and b.frames is None
+    t = frames.tensor_clips(clips.where("video_id = 'a'")).first()
+    assert t.shape == [26, 3, 2, 2] and len(t.tensor) == 312 and t.tensor[1] == pytest.approx(3 / 255)
+
+
+def test_meteor_takes_few_chunks_and_pairs_go_by_place(spark):
+    assert corpus.meteor_of("a b a c", "x a c a b") == pytest.approx(corpus.meteor_of("p q r s", "z r s p q"))
+    assert corpus.meteor_of("relational ponies", "relate pony") > 0.5
+    x, y = spark.range(0, 50, 1, 7), spark.range(100, 130, 1, 3)
+    got = corpus.paired(x.withColumnRenamed("id", "p"), y.withColumnRenamed("id", "r")).collect()
+    assert sorted((r.sample_id, r.p, r.r) for r in got) == [(i, i, 100 + i) for i in range(30)]
+    corpus.register(spark)
+    assert spark.sql("SELECT lcs(array('a', 'b', 'c'), array('b', 'x', 'c')) AS n, effective_length('one two') AS e").first() == (2, 2)
