@@ -7,8 +7,10 @@ from counted label pairs.  Sum-product messages go upward to the root and down a
 gives each node's exact marginal, and the runs that are more likely on than off are the
 text.  Potentials and weights are trained here on labelled pages, made by ``labelled_pages``.
 
+Formulas, drawings and what stands in for embedded objects are text of the block they are in.
+
 A null or empty html, a page without text and broken or truncated markup give what text there
-is, at least the empty one; rows are never merged or left out; extra columns are ignored.
+is, at least the empty one; rows are never merged or left out, repeated ones neither; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,8 +29,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 # fixed values: element names of HTML by how they lay out text
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe xmp template svg math object select noframes canvas audio video".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img nobr".split())
+RAW = frozenset("script style textarea title noscript iframe xmp template select noframes".split())
+#: Their content is in line, whatever elements it has: formulas and drawings.
+FOREIGN = frozenset(("math", "svg"))
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img nobr object canvas audio video picture map slot".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 #: What an opening tag closes that is still open, and where that search ends.
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"thead", "tbody", "tr", "td", "th"}, {"table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, {"html"})}
@@ -77,8 +81,9 @@ def parse(page: str) -> list[Node]:
     """Elements and text runs in page order, each after its parent."""
     nodes = [Node("root", -1)]
     open_at, open_tags = [0], ["root"]
+    places: dict[str, list[int]] = {}  # where each tag is open, so that no search goes through all that are
     buffer: list[str] = []
-    linked, link, skip, at, here, in_head = 0, 0, "", 0, 0, False
+    linked, link, skip, at, here, in_head, foreign = 0, 0, "", 0, 0, False, ""
 
     def flush() -> None:
         nonlocal linked
@@ -96,6 +101,8 @@ def parse(page: str) -> list[Node]:
                 linked += len(text.split())
 
     def close(upto: int) -> None:
+        for name in open_tags[upto:]:
+            places[name].pop()
         del open_at[upto:], open_tags[upto:]
 
     def after(tag: str, start: int) -> int:
@@ -114,6 +121,12 @@ def parse(page: str) -> list[Node]:
             continue
         if not in_head:
             put(page[start : m.start()])
+        if foreign and tag and m[4] and tag not in RAW:
+            # unclosed, it ends with the block around it
+            if m[1] and (tag == foreign or tag not in INLINE and places.get(tag)):
+                foreign = ""
+            if not m[1] or not places.get(tag):
+                continue
         if not tag or not m[4]:  # a comment, a declaration or a tag that the page's end cuts off
             continue
         if m[1]:
@@ -122,12 +135,12 @@ def parse(page: str) -> list[Node]:
             if tag == "head":
                 in_head = False
             if tag in INLINE:
-                if tag in open_tags:  # an inline element that is a node of its own
+                if places.get(tag):  # an inline element that is a node of its own
                     flush()
-                    close(len(open_tags) - 1 - open_tags[::-1].index(tag))
-            elif tag in open_tags:
+                    close(places[tag][-1])
+            elif places.get(tag):
                 flush()
-                close(len(open_tags) - 1 - open_tags[::-1].index(tag))
+                close(places[tag][-1])
                 link = 0
             elif tag == "p":
                 flush()
@@ -142,12 +155,15 @@ def parse(page: str) -> list[Node]:
                     at = here = after(tag, here)
                 else:
                     skip = tag
-            if tag not in ("script", "style", "template", "title"):
+            if tag not in ("script", "style", "template", "title", "noscript"):
                 flush()
             continue
         if tag == "br":
             put(" ")
             continue
+        if tag in FOREIGN:
+            foreign = "" if m[3].rstrip().endswith("/") else tag
+            continue
         names = _names(m[3]) if "=" in m[3] or "hidden" in m[3] else ()
         if tag in INLINE:
             link += tag == "a"
@@ -158,18 +174,16 @@ def parse(page: str) -> list[Node]:
                 flush()
             continue
         flush()
-        if tag in CLOSES_P and "p" in open_tags:
-            close(len(open_tags) - 1 - open_tags[::-1].index("p"))
+        if tag in CLOSES_P and places.get("p"):
+            close(places["p"][-1])
         if tag in SIBLINGS:
             ends, stop = SIBLINGS[tag]
-            for k in range(len(open_tags) - 1, 0, -1):
-                if open_tags[k] in stop:
-                    break
-                if open_tags[k] in ends:
-                    close(k)
-                    break
+            last = lambda tags: max((places[t][-1] for t in tags if places.get(t)), default=0)
+            if last(ends) > last(stop):
+                close(last(ends))
         nodes.append(Node(tag, open_at[-1], names))
         open_at.append(len(nodes) - 1)
+        places.setdefault(tag, []).append(len(open_tags))
         open_tags.append(tag)
     if not skip and not in_head:
         rest = page[at:]
@@ -194,11 +208,11 @@ def features(nodes: list[Node], i: int) -> list[str]:
     marks = 0 if not n.words else min(5, 40 * n.marks // n.words)
     # elements that holders of anything have say little by their size
     out = [f"tag={n.tag}", f"{kind}size={size}", f"{kind}links={links}", f"{kind}marks={marks}", f"{kind}long={size > 4}{links > 1}{marks > 0}"]
-    out += [f"name={x}" for x in n.names]
+    out += [f"name={x}" for x in n.names] or [f"bare={n.tag}"]
     if kind == "t":
-        out += [f"in={p.tag}", f"alone={p.runs == 1}", f"insize={p.tag}{size > 3}", f"sign={bool(re.search(r'©|®|all rights|https?://|www[.]', n.text[:200], re.I))}"]
+        out += [f"in={p.tag}", f"alone={p.runs == 1}", f"insize={p.tag}{size > 3}", f"sign={bool(re.search(r'©|®|all rights|https?://|www[.]', n.text, re.I))}"]
     else:
-        out += [f"runs={min(5, n.runs.bit_length())}", f"each={min(8, (n.words // max(1, n.runs)).bit_length())}"]
+        out += [f"up={p.tag}", f"upname={' '.join(p.names[:1])}", f"runs={min(5, n.runs.bit_length())}", f"each={min(8, (n.words // max(1, n.runs)).bit_length())}"]
     return out
 
 
@@ -221,34 +235,39 @@ def edge(nodes: list[Node], i: int) -> tuple[str, str]:
 _PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li".split())
 
 
-#: From so many siblings of one kind on, they count as so many together: they aren't independent.
+#: From so many siblings of one kind (tag and names) on, they speak to their parent as so many together: they aren't independent.
 ALIKE = 6
 
 
+def alike(nodes: list[Node]) -> list[float]:
+    """By which power a node's message to its parent counts."""
+    kinds = [(n.parent, n.tag, n.names if n.tag != "#text" else ("",)) for n in nodes]
+    many: dict[tuple, int] = {}
+    for k in kinds:
+        many[k] = many.get(k, 0) + 1
+    return [min(1.0, ALIKE / many[k]) for k in kinds]
+
+
 def odds(model: Model, nodes: list[Node]) -> list[float]:
     """Each node's own potential, on to off."""
-    alike: dict[tuple[int, str], int] = {}
-    for n in nodes:
-        alike[n.parent, n.tag] = alike.get((n.parent, n.tag), 0) + 1
     out = []
     for i, n in enumerate(nodes):
         x = model.bias + sum([model.weights.get(f, 0.0) for f in features(nodes, i)])
         if n.tag == "#text" and nodes[n.parent].runs == 1:  # what an only run shows, its element has shown already
-            x *= 0.3 * min(1.0, ALIKE / alike[nodes[n.parent].parent, nodes[n.parent].tag])
-        x *= min(1.0, ALIKE / alike[n.parent, n.tag])
+            x *= 0.3
         out.append(math.exp(max(-12.0, min(12.0, x))))
     return out
 
 
 def marginals(model: Model, nodes: list[Node]) -> list[float]:
     """Each node's probability to be on, by messages to the root and back (of odds, on to off)."""
-    own = odds(model, nodes)
+    own, power = odds(model, nodes), alike(nodes)
     up, belief = [1.0] * len(nodes), own[:]
     pairs = [_EVEN, *(model.pairs.get(edge(nodes, i), _EVEN) for i in range(1, len(nodes)))]
     for i in range(len(nodes) - 1, 0, -1):
         p00, p01, p10, p11 = pairs[i]
         b = belief[i]
-        up[i] = (p10 + p11 * b) / (p00 + p01 * b)
+        up[i] = ((p10 + p11 * b) / (p00 + p01 * b)) ** power[i]
         j = nodes[i].parent
         belief[j] = max(1e-100, min(1e100, belief[j] * up[i]))
     belief[0] = max(1e-100, min(1e100, belief[0] * model.prior))
@@ -291,7 +310,8 @@ def _prose(r: random.Random, most: int = 8) -> str:
 
 
 def _list(r: random.Random, n: int) -> str:
-    return "<ul>" + "".join(f'<li><a href="/{_words(r, 1)}">{_words(r, r.randint(1, 3))}</a></li>' for _ in range(n)) + "</ul>"
+    label = lambda: _words(r, r.randint(1, 3)) + r.choice(["", "", "", "", ".", ",", "!"])
+    return "<ul>" + "".join(f'<li><a href="/{_words(r, 1)}">{label()}</a></li>' for _ in range(n)) + "</ul>"
 
 
 def _block(r: random.Random, names: str, inner: str, tags: str = "div") -> str:
@@ -310,6 +330,7 @@ def _boilerplate(r: random.Random, where: str) -> str:
         lambda: _block(r, "breadcrumb breadcrumbs crumbs", " &gt; ".join(f'<a href="/">{_words(r, 1)}</a>' for _ in range(3)), "div nav"),
     )
     any_where = (
+        lambda: _block(r, "ad ads advert sponsored promo notice cookie-notice newsletter share", short, "p p div li"),
         lambda: _block(r, "ad ads advert advertisement ad-box banner sponsored sponsor promo promotion ad-slot", r.choice([short, prose, f"<p>{prose}</p>", f'<a href="/x">{short}</a>']), "div div aside section"),
         lambda: _block(r, "cookie cookie-notice notice consent gdpr alert cookie-banner site-notice message", r.choice([f"<p>{prose}</p>", short, prose]) + r.choice(["", f"<button>{_words(r, 1)}</button>"]), "div section aside"),
         lambda: _block(r, "popup modal overlay newsletter subscribe newsletter-signup signup", f"<h3>{_words(r, 3)}</h3><p>{prose}</p><form><input name=e><button>{_words(r, 1)}</button></form>"),
@@ -337,6 +358,10 @@ def _main(r: random.Random) -> str:
     for _ in range(r.choice([1, 1, 2, 3, 5, 8, 12])):
         kind = r.random()
         text = _words(r, r.choice([1, 20, 90, 300, 900])) if bare else _prose(r, r.choice([1, 2, 5, 8]))
+        if r.random() < 0.12:  # links, down to a paragraph of little else
+            text = r.choice([f'{text} <a href="/x">{_words(r, r.randint(1, 4))}</a> {_prose(r, 1)}', f'{_words(r, r.randint(1, 4))} <a href="/x">{_words(r, r.randint(1, 5))}</a>.', f'<a href="/x">{_sentence(r, r.randint(2, 9))}</a>'])
+        elif r.random() < 0.04:
+            text += r.choice([f" <math><mi>{_words(r, 1)}</mi><mo>=</mo></math> {_words(r, 3)}", f" <svg><text>{_words(r, 2)}</text></svg>", f" <object>{_words(r, 4)}</object>"])
         if kind < 0.7:
             parts.append(f"<p {mark}>{text}</p>")
         elif kind < 0.78:
@@ -381,7 +406,7 @@ def labelled_pages(n: int, seed: int = 7) -> Iterator[str]:
 
 
 @functools.lru_cache(1)
-def train(n: int = 600, seed: int = 7, steps: int = 12, ridge: float = 0.3) -> Model:
+def train(n: int = 900, seed: int = 7, steps: int = 12, ridge: float = 0.3) -> Model:
     """Node weights by regularised logistic regression, edge potentials by counted pairs."""
     rows: list[list[str]] = []
     y: list[int] = []
