@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import sql
 from .bpe import op10_bpe
 from .embedding_dedup import op6_embedding_dedup
 from .html_text import op2_html_text
@@ -14,4 +15,10 @@ from .toxicity import op9_toxicity
 from .warc import op4_SQL, op4_warc
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_html_text, op3_suffix_dedup, op4_warc, op5_quality_rules, op6_embedding_dedup, op7_jaccard_join, op8_best_fit_packing, op9_toxicity, op10_bpe)}
-ORACLES: dict[str, str] = {"op4_warc": op4_SQL}
+ORACLES: dict[str, str] = {
+    "op1_substring_dedup": sql.SUBSTRING_DEDUP,
+    "op3_suffix_dedup": sql.SUFFIX_DEDUP,
+    "op4_warc": op4_SQL,
+    "op6_embedding_dedup": sql.EMBEDDING_DEDUP,
+    "op7_jaccard_join": sql.JACCARD_JOIN,
+}

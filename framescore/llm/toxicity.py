@@ -1,11 +1,11 @@
 """Toxicity by a weighted lexicon, matched by Aho-Corasick on folded text.
 
-Folding lower-cases, maps homoglyphs to Latin letters and digits that stand for letters to
-those, drops invisible characters and turns all else but letters and marks into one space.  Lexicon
+Folding takes compatible forms of characters as one, lower-cases, maps homoglyphs to Latin letters and digits within words
+to the letters they stand for, drops invisible characters and turns all else but letters and marks into one space.  Lexicon
 entries are word beginnings or whole words (with the space after them).  They are learned from
 labelled rows: beginnings that many toxic and few other documents have, each with the log
-ratio of its rates.  Hits inside an exception phrase don't count; phrases are some fixed ones or a
-caller's own.  A document's weighted hits, per word and in all, go through a logistic
+ratio of its rates.  Hits inside an exception phrase don't count; phrases are pairs of words that clean labelled rows
+have and toxic ones never, and some fixed ones or a caller's own.  A document's weighted hits, per word and in all, go through a logistic
 curve fitted on the same rows.
 
 The fit takes at most ``SAMPLE`` labelled rows of each class, those with the smallest hashes.
@@ -18,6 +18,8 @@ from __future__ import annotations
 import functools
 import math
 import re
+import unicodedata
+import warnings
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,9 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Labelled rows of each class that the fit takes at most, candidates and entries of the lexicon at most.
+from . import chunks as C
+
+#: Labelled rows of each class that the fit takes at most; candidates and entries of the lexicon at most, with a warning when there are more.
 SAMPLE, CANDIDATES, ENTRIES = 3000, 20_000, 2000
+#: Letters of a word's beginning that can be an entry; whole words may be longer.
 SHORTEST, LONGEST = 3, 14
+#: Clean rows that a learned exception phrase is in at least; it is in no toxic one.
+CLEAN_ROWS = 2
+RESULTS = ("weight", "density", "n_hits", "score")
 #: Share of the toxic rows that an entry is in at least.
 SUPPORT = 0.02
 #: Log ratio of rates that an entry has at least.
@@ -41,34 +49,40 @@ LEAST_ERRORS = 2.0
 EXCEPTIONS = ("trash can", "trash bag", "trash bin", "trash collection", "class clown fish", "clown fish", "sore loser", "pond scum", "soap scum", "worthless currency")
 
 # fixed values: characters that look like Latin letters, and digits or signs that stand for one
-_LOOKALIKES = dict(zip("абвгдезіїјкмнорстухѕԁԛѡαβεηικνορτυχωɑɡıℓ０１３４５７", "abbrdeziijkmhopctyxsdqwabeniknoptuxwagiloieast", strict=False))
+_LOOKALIKES = dict(zip("абвгдезіїјкмнорстухѕԁԛѡαβεηικνορτυχωɑɡıℓ", "abbrdeziijkmhopctyxsdqwabeniknoptuxwagil", strict=False))
 _STANDS_FOR = dict(zip("013457@$", "oieasta" + "s", strict=True))
 _INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 
 
 class _Fold(dict):
-    """Translation table that finds out about a character when it first meets it."""
+    """Translation table that finds out about a character when it first meets it; digits and signs that may stand for letters stay."""
 
     def __missing__(self, code: int):
-        c = chr(code)
-        low = c.lower()
-        if c in _INVISIBLE:
-            out = None
-        elif low in _LOOKALIKES or low in _STANDS_FOR:
-            out = _LOOKALIKES.get(low) or _STANDS_FOR[low]
-        else:
-            out = low if low.isalpha() or not c.isascii() and low.isalnum() else " "
+        out = ""
+        for low in unicodedata.normalize("NFKC", chr(code)).lower():
+            if low in _INVISIBLE or unicodedata.combining(low) and not low.isalpha():
+                continue
+            out += _LOOKALIKES.get(low) or (low if low in _STANDS_FOR or low.isalpha() or not low.isascii() and low.isalnum() else " ")
         self[code] = out
         return out
 
 
 _FOLD = _Fold()
 _SPACES = re.compile(" {2,}")
+_MIXED = re.compile(r"[^ ]*[013457@$][^ ]*")
+_LETTERS = str.maketrans(_STANDS_FOR)
+_NUMBERS = str.maketrans(dict.fromkeys(_STANDS_FOR, " "))
+
+
+def _unmixed(m: re.Match) -> str:
+    """Digits and signs in a word with letters stand for letters; others are none."""
+    word = m[0]
+    return word.translate(_LETTERS if any(map(str.isalpha, word)) else _NUMBERS)
 
 
 def fold(text: str | None) -> str:
     """Folded text, a space before, between and after its words."""
-    return _SPACES.sub(" ", f" {(text or '').translate(_FOLD)} ")
+    return _SPACES.sub(" ", _MIXED.sub(_unmixed, f" {(text or '').translate(_FOLD)} "))
 
 
 @dataclass(frozen=True)
@@ -112,7 +126,7 @@ def _beginnings(texts: list[str | None]) -> Counter:
     seen: Counter = Counter()
     for t in texts:
         words = set(fold(t).split())
-        seen.update({w[:k] for w in words for k in range(SHORTEST, min(len(w), LONGEST) + 1)} | {w + " " for w in words if SHORTEST <= len(w) <= LONGEST})
+        seen.update({w[:k] for w in words for k in range(SHORTEST, min(len(w), LONGEST) + 1)} | {w + " " for w in words if SHORTEST <= len(w)})
     return seen
 
 
@@ -121,12 +135,13 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, per_class: int = SA
     usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).select("doc_id", F.col(label).alias("y"))
     usable = usable.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
     few = [usable.where(f"y = {c}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
-    return docs.select("doc_id", "text").join(F.broadcast(few[0].unionByName(few[1])), "doc_id")  # 2 * per_class rows at most
+    found = docs.select("doc_id", "text").join(F.broadcast(few[0].unionByName(few[1])), "doc_id")
+    return found.groupBy("doc_id", "y").agg(F.min("text").alias("text"))  # of rows that repeat an id, one: 2 * per_class rows at most
 
 
 def fit(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS, per_class: int = SAMPLE) -> Model:
     """Learns lexicon, exception phrases and curve from labelled rows that aren't held out."""
-    sample = labelled(docs, labels, "toxic", per_class)
+    sample = C.checkpoint(labelled(docs, labels, "toxic", per_class))  # documents are read once
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -141,6 +156,8 @@ def fit(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = EXCEPT
     counted = toxic.select("text").mapInArrow(count, "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
     frequent = counted.where(F.col("n") >= max(2, math.ceil(SUPPORT * n_toxic))).orderBy(F.desc("n"), "entry").limit(CANDIDATES)
     df = {r["entry"]: r["n"] for r in frequent.collect()}
+    if len(df) == CANDIDATES:
+        warnings.warn(f"only the {CANDIDATES} most frequent candidates of the lexicon are looked at", stacklevel=2)
     entries = tuple(sorted(df))
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,11 +199,33 @@ def fit(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = EXCEPT
         if len(chosen) < ENTRIES and e not in parts and not any(e[:k] in chosen for k in range(SHORTEST, len(e))):
             chosen[e] = gain[e][1]
             parts.update(e[:k] for k in range(SHORTEST, len(e) + 1))
-    phrases = tuple(exceptions)
+    if len(chosen) == ENTRIES:
+        warnings.warn(f"the lexicon is cut at {ENTRIES} entries", stacklevel=2)
+    phrases = tuple(dict.fromkeys([*exceptions, *_clean_phrases(sample, tuple(sorted(chosen)), exceptions)]))
     scored = _scored(sample.select("doc_id", "text", F.col("y").cast("int").alias("y")), chosen, phrases, ("y",)).select("y", "weight", "density").toPandas()  # 2 * per_class rows at most
     return Model(chosen, phrases, _logistic(scored[["density", "weight"]].to_numpy(), scored["y"].to_numpy()))
 
 
+def _clean_phrases(sample: DataFrame, entries: tuple[str, ...], exceptions: tuple[str, ...]) -> list[str]:
+    """Two words, one of them hit by an entry, that clean labelled rows have and toxic ones never."""
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            phrase, label = [], []
+            for text, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist(), strict=True):
+                text, found = fold(text), set()
+                for at, _ in hits(text, entries, exceptions):
+                    start, end = at + 1, text.index(" ", at + 1)
+                    word, before, after = text[start:end], text[:at].rpartition(" ")[2], text[end + 1 :].partition(" ")[0]
+                    found.update(x for x in (f"{before} {word}" if before else "", f"{word} {after}" if after else "") if x)
+                phrase += found
+                label += [y] * len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(phrase, pa.string()), pa.array(label, pa.int32())], ["phrase", "y"])
+
+    counted = sample.select("text", F.col("y").cast("int").alias("y")).mapInArrow(pairs, "phrase string, y int").groupBy("phrase").agg(F.count(F.when(F.col("y") == 0, 1)).alias("clean"), F.sum("y").alias("toxic"))
+    return [r["phrase"] for r in counted.where((F.col("clean") >= CLEAN_ROWS) & (F.col("toxic") == 0)).orderBy("phrase").collect()]  # words of at most 2 * per_class rows
+
+
 def _logistic(features: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, float, float]:
     """Coefficients of the logarithms of weighted hits per 100 words and of weighted hits, and the offset."""
     x = np.column_stack([np.log1p(features * [100, 1]), np.ones(len(y))])
@@ -202,6 +241,7 @@ def _logistic(features: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple
 
 
 def _scored(docs: DataFrame, weights: dict[str, float], exceptions: tuple[str, ...], keep: tuple[str, ...]) -> DataFrame:
+    keep = tuple(k for k in keep if k not in RESULTS)
     entries = tuple(sorted(weights))
     values = [weights[e] for e in entries]
 
@@ -221,7 +261,7 @@ def _scored(docs: DataFrame, weights: dict[str, float], exceptions: tuple[str, .
 
 
 def toxicity(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep``, ``score`` from 0 to 1 and ``n_hits`` of each row."""
+    """``keep``, ``score`` from 0 to 1 and ``n_hits`` of each row; a kept column of such a name is left out."""
     found = _scored(docs, model.weights, model.exceptions, keep)
     if not model.weights:
         return found.withColumn("score", F.lit(0.0)).drop("weight", "density")
