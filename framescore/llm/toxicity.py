@@ -215,8 +215,8 @@ def _clean_phrases(sample: DataFrame, entries: tuple[str, ...], exceptions: tupl
             for text, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist(), strict=True):
                 text, found = fold(text), set()
                 for at, _ in hits(text, entries, exceptions):
-                    start, end = at + 1, text.index(" ", at + 1)
-                    word, before, after = text[start:end], text[:at].rpartition(" ")[2], text[end + 1 :].partition(" ")[0]
+                    end = text.index(" ", at)
+                    word, before, after = text[at:end], text[: at - 1].rpartition(" ")[2], text[end + 1 :].partition(" ")[0]
                     found.update(x for x in (f"{before} {word}" if before else "", f"{word} {after}" if after else "") if x)
                 phrase += found
                 label += [y] * len(found)

@@ -8,9 +8,10 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from framescore.llm import embedding_dedup, html_text, jaccard, packing, quality, substring_dedup, suffix_dedup, toxicity, warc
+from framescore.llm import embedding_dedup, html_text, jaccard, packing, quality, queries, substring_dedup, suffix_dedup, toxicity, warc
 from framescore.llm import bpe as B
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -262,3 +263,264 @@ def test_toxicity_learns_and_folds(spark):
     test = [(0, "so w0rthleѕs and STUPIDLY said"), (1, words(30)), (2, None), (3, "a worthless currency " + words(20))]
     got = {x.doc_id: x.score for x in toxicity.toxicity(spark.createDataFrame(test, "doc_id long, text string"), model).collect()}
     assert got[0] >= 0.3 > max(got[1], got[2], got[3])
+
+
+# --- hot keys, large groups, odd rows ---
+
+
+def _sets(rows, k):
+    fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = {i: WORD.findall(t.translate(fold)) for i, t in rows}
+    return {i: {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set() for i, w in words.items()}
+
+
+def _reached(ids, links):
+    low = {i: i for i in ids}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            m = min(low[a], low[b])
+            changed |= low[a] != m or low[b] != m
+            low[a] = low[b] = m
+    return low
+
+
+def test_near_copies_with_a_hot_passage(spark):
+    """A third of all rows near copies of one text, a third with one passage: blocks and groups of every size give the same."""
+    base, passage = _text(50).split(), _text(70)
+    near = lambda i: " ".join(f"x{i}" if k == i % 45 else w for k, w in enumerate(base))
+    texts = [near(i) for i in range(40)] + [f"{_text(30)} {passage} {_text(30)}" for _ in range(40)] + [_text(40) for _ in range(40)]
+    rows = list(enumerate(texts))
+    sets = _sets(rows, 5)
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    low = _reached(sets, links)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for few, block in ((10**6, 2048), (0, 4)):
+        got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(docs, 5, 80, 100, few=few, block=block).collect()}
+        assert got == low
+    for width, op in ((35, substring_dedup.substring_dedup(docs)), (200, suffix_dedup.suffix_dedup(docs, hot=3))):
+        items = [(i, WORD.findall(t) if width == 35 else t.encode()) for i, t in rows]
+        seen = collections.Counter(tuple(w[j : j + width]) for _, w in items for j in range(len(w) - width + 1))
+        want = {i: sum(_cover(list(w), width, lambda x: seen[tuple(x)] > 1)) for i, w in items}
+        assert {r.doc_id: r.n_removed for r in op.collect()} == want and sum(want.values())
+
+
+def test_components_of_a_long_path_and_a_star(spark):
+    from framescore.llm.components import components
+
+    path = [(i, i + 1) for i in range(1, 200)]
+    star = [(1000, i) for i in range(1001, 3000)]
+    links = spark.createDataFrame(path + star + [(7, 7)], "u long, v long").repartition(16)
+    got = {r.node: r.component for r in components(links).collect()}
+    assert got == {i: 1 for i in range(2, 201)} | {i: 1000 for i in range(1001, 3000)}
+
+
+def _unit(x):
+    return x / np.linalg.norm(x, axis=-1, keepdims=True)
+
+
+def test_embeddings_near_the_threshold_and_in_crowds(spark):
+    """Recall of pairs at 0.9 to 0.93 and of two crowds of near copies; no link is counted twice."""
+    r = np.random.default_rng(8)
+    x = _unit(r.standard_normal((4000, 48)))
+    y = r.standard_normal((4000, 48))
+    y = _unit(y - (x * y).sum(1, keepdims=True) * x)
+    c = r.uniform(0.9001, 0.93, (4000, 1))
+    crowds = [_unit(_unit(r.standard_normal(48)) + 0.03 * r.standard_normal((150, 48))) for _ in range(2)]
+    crowds.append(_unit(crowds[0][:30] + 0.04 * r.standard_normal((30, 48))))
+    v = np.concatenate([x, c * x + np.sqrt(1 - c * c) * y, *crowds])
+    rows = [(i, row) for i, row in enumerate(v.tolist())]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = embedding_dedup.near_duplicates(frame).toPandas().set_index("vec_id").sort_index()
+    unit = _unit(v)
+    links = np.concatenate([(unit[i : i + 1000] @ unit.T >= 0.9).sum(1) - 1 for i in range(0, len(v), 1000)])
+    assert (got.n_links <= links).all()
+    assert got.n_links[:8000].sum() >= 0.93 * links[:8000].sum() and got.n_links[8000:].sum() >= 0.99 * links[8000:].sum()
+
+
+def test_odd_embeddings(spark):
+    odd = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.001]), (3, [1e300, 0.0]), (4, [1.0]), (5, [1.0, 0.0, 0.0]), (None, None), (6, [float("inf"), 1.0])]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame([(*x, "other") for x in odd], "vec_id long, embedding array<double>, head string")).collect()
+    assert sorted(((r.vec_id, r.n_links, r.component_id) for r in got), key=str) == sorted([(1, 2, 1), (1, 0, 1), (2, 2, 1), (3, 2, 1), (4, 0, 4), (5, 0, 5), (None, 0, None), (6, 0, 6)], key=str)
+
+
+def test_warc_with_many_equal_pages(spark):
+    rows = [(i % 90, None, None if i % 3 == 0 else f"p{i % 7}", "x") for i in range(120)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, sha1 string")
+    folder = warc.folder_of(spark)
+    got = warc.read_warc(warc.write_warc(pages, folder), folder).collect()
+    low = {}
+    for i, _, h, _ in rows:
+        low[h or ""] = min(low.get(h or "", i), i)
+    want = collections.Counter((i, len((h or "").encode()), "response" if i == low[h or ""] else "revisit", None if i == low[h or ""] else low[h or ""]) for i, _, h, _ in rows)
+    assert collections.Counter((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in got) == want
+
+
+def test_html_as_a_table(spark):
+    page = "<body><nav><a href=/>Home</a></nav><article><p>Some words of an article, here.</p></article></body>"
+    rows = [(1, "u", page, "t"), (1, "u", page, "t"), (2, None, None, "t"), (None, "v", "", "t"), (3, "w", page * 200, "t")]
+    got = html_text.html_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
+    assert [(r.page_id, r.text[:31], r.n_chars == len(r.text)) for r in got[:4]] == [(1, "Some words of an article, here.", True)] * 2 + [(2, "", True), (None, "", True)]
+    assert got[4].n_chars and html_text.html_text(spark.createDataFrame(rows[:0], "page_id long, url string, html string")).count() == 0
+
+
+def test_html_keeps_what_stands_in_the_article():
+    model = html_text.train()
+    text = lambda page: html_text.main_text(model, page)
+    assert text("<body><nav><a href=/>Home</a></nav><article><p>First words of it, here.</p><p>x<math><mi>E</mi></math> equals words follow here in this sentence.</p></article></body>") == "First words of it, here.\nxE equals words follow here in this sentence."
+    assert text("<body><article><p>Only a <a href=/x>link</a>.</p></article></body>") == "Only a link."
+    assert text("<article><p>One <svg><style>i<n '</style><text>label</text></svg> two.</p><p>three words, here.</p></article>") == "One label two.\nthree words, here."
+    assert "the fallback words and" in text("<body><article><h1>Head line</h1><p>A chart: <object data=x>the fallback words</object> and more text, after it.</p></article></body>")
+    many = [f"<p>Block number {i}, with some words in it.</p>" for i in range(60)]
+    assert text("<body><div class=content>" + "".join([*many, "<p class=ad>Buy our things now, they are cheap.</p>", *many]) + "</div></body>").count("\n") == 119
+    deep = "<div>" * 50_000 + "<article><p>Words at the end, after all.</p>"
+    assert text(deep) in ("Words at the end, after all.", "") and len(html_text.parse(deep)) == 50_004
+
+
+#: Layouts by hand, of another make than the generated ones, and their main text.
+LAYOUTS = [
+    ("<!doctype html><html><body><div id=top><b>Daily Planet</b> | <a href=1>World</a> | <a href=2>Sport</a></div><div id=story><h2>Bridge reopens</h2><p>The old bridge was opened again on Monday, after three years of work.</p><p>Officials said the cost had doubled.</p></div><div id=footer>Copyright 2024 Daily Planet. All rights reserved.</div></body></html>", "Bridge reopens|The old bridge was opened again on Monday, after three years of work.|Officials said the cost had doubled."),
+    ("<html><body><header><h1>My blog</h1><nav><a href=a>About</a><a href=b>Posts</a></nav></header><section class=post><h1>On tea</h1><p>Tea is a drink that I like very much, and here is why.</p><ul><li>It is warm.</li><li>It is cheap, too.</li></ul><blockquote>Tea is calm in a cup.</blockquote></section><section class=comments><h2>3 comments</h2><p>Nice post, thank you for it!</p></section></body></html>", "On tea|Tea is a drink that I like very much, and here is why.|It is warm.|It is cheap, too.|Tea is calm in a cup."),
+    ("<html><body><table><tr><td class=sidebar><a href=1>One</a><br><a href=2>Two</a></td><td class=main><h1>Old page</h1><p>This is a page from long ago, laid out by a table.</p></td></tr></table></body></html>", "Old page|This is a page from long ago, laid out by a table."),
+]
+
+
+def test_html_of_other_layouts():
+    model = html_text.train()
+    for page, want in LAYOUTS:
+        assert html_text.main_text(model, page) == want.replace("|", "\n")
+
+
+def _spark_hash(*values):
+    """Spark's xxhash64 of strings and longs; nulls leave the seed as it is."""
+    seed = 42
+    for v in values:
+        if v is not None:
+            seed = xxhash.xxh64(v.encode() if isinstance(v, str) else v.to_bytes(8, "little", signed=True), seed=seed).intdigest()
+            seed -= (seed >> 63) << 64
+            seed, signed = seed % (1 << 64), seed
+    return signed
+
+
+def test_quality_against_a_plain_version(spark):
+    """Counts, scores, threshold and verdict in plain Python; lines and symbols too."""
+    r = np.random.default_rng(6)
+    good, bad = ["rain", "sun", "hill", "tree", "wind", "lake", "stone", "cloud"], ["buy", "now", "cheap", "$$$", "#win", "click", "tree"]
+    make = lambda ws, n: " ".join(r.choice(ws) + str(r.integers(40)) for _ in range(n)) + "\n" + "same line\nsame line\n \n"
+    rows = [(i, make(bad if i % 5 == 0 else good, int(r.integers(45, 90)))) for i in range(200)] + [(None, make(good, 60)), (900, None), (901, "")]
+    labels = [(i, int(i % 5 > 0)) for i in range(120)]
+    got = {x.doc_id: x for x in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    buckets = quality.buckets_of(sum(len((t or "").encode()) for _, t in rows))
+
+    def grams(t):
+        h = [_spark_hash(w) for w in WORD.findall(t or "")]
+        return [x & (buckets - 1) for x in h + [_spark_hash(a, b) for a, b in zip(h, [*h[1:], None], strict=True)]] if h else []
+
+    half = {i: _spark_hash(i) % 2 if i is not None else 0 for i, _ in rows}
+    raw, target, label = np.zeros(buckets), np.zeros((2, buckets)), dict(labels)
+    for i, t in rows:
+        np.add.at(raw, grams(t), 1)
+        if label.get(i) == 1:
+            np.add.at(target[1 - half[i]], grams(t), 1)
+    ratio = np.log((target + quality.PRIOR) / (raw * (target.sum(1, keepdims=True) / raw.sum()) + quality.PRIOR))
+    score = {i: ratio[half[i]][grams(t)].mean() if grams(t) else 0.0 for i, t in rows}
+    of = lambda y, q: np.quantile([score[i] for i, k in labels if k == y], q)
+    low, high = of(1, 1 - quality.KEEP), of(0, 0.9)
+    cut = (low + high) / 2 if high < low else low
+    for i, t in rows:
+        lines = [x for x in (t or "").split("\n") if WORD.search(x)]
+        assert got[i].score == pytest.approx(score[i], abs=1e-5) and (got[i].n_symbols, got[i].n_dup_lines) == (len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)))
+        assert got[i].kept == (not got[i].base_failed and score[i] >= cut) or abs(score[i] - cut) < 1e-5
+    assert 100 < sum(x.kept for x in got.values()) < 180
+
+
+def test_repeats_in_a_very_long_text(spark):
+    """A million different words and one repeated window: hashes alone are too short to tell them apart."""
+    n = 1_000_000
+    words = [f"w{i}" for i in range(n)]
+    words[n - 3 :] = words[10:13]
+    docs = spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")
+    got = quality.base_columns(quality.worded(docs)).select("n_words", "n_repeat_words").first()
+    assert tuple(got) == (n, 6)
+
+
+def test_names_that_clash(spark):
+    docs = spark.createDataFrame([(i, _text(60), "a", "b", "c", 1.0) for i in range(6)], "doc_id long, text string, w string, g string, half string, score double")
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(6)], "doc_id long, quality int, toxic int")
+    for got in (quality.quality_rules(docs, labels, ("doc_id", "w", "g", "half", "score")), toxicity.toxicity(docs, toxicity.fit(docs, labels), ("doc_id", "w", "g", "half", "score"))):
+        row = got.first()
+        assert (row.w, row.g, row.half) == ("a", "b", "c") and got.columns.count("score") == 1
+
+
+def test_folding():
+    assert [toxicity.fold(t) for t in ("ａbc", "in 2013 we paid 45", "so w0rthleѕs 5tupid", "x\u200by É")] == [" abc ", " in we paid ", " so worthless stupid ", " xy é "]
+
+
+def test_learned_exceptions_and_held_out_rows(spark, tmp_path):
+    r = np.random.default_rng(9)
+    words = lambda n: " ".join("".join(r.choice(list("aeioulmnrst"), 5)) for _ in range(n))
+    kind = lambda i: f"{words(20)} {'grubbish' if i % 4 == 0 else 'grubbish heap' if i % 40 == 1 else words(1)} {words(20)}"
+    rows = [(i, kind(i)) for i in range(800)] + [(5, None), (5, "x" * 100_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(800)] + [(3, 0), (None, 1)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert "grubbish heap" in model.exceptions and any("grubbish".startswith(x.strip()) for x in model.weights)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    got = queries.QUERIES["op9_toxicity"](spark, str(tmp_path)).collect()
+    assert len(got) == 802
+    for x in got:
+        assert x.held_out == (zlib.crc32(str(x.doc_id).encode()) % 4 == 2) and 0 <= x.score <= 1 and x.predicted == int(x.score >= 0.3)
+    right = [x.predicted == int(x.doc_id % 4 == 0) for x in got if x.held_out and x.doc_id != 5]
+    assert sum(right) >= 0.97 * len(right)
+
+
+def test_empty_tables_and_queries(spark, tmp_path):
+    """Every query on empty tables."""
+    for name, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("embeddings", "vec_id long, embedding array<float>, label int"), ("pages", "page_id long, url string, html string"), ("labels", "doc_id long, quality int, toxic int")):
+        spark.createDataFrame([], schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    for name, f in queries.QUERIES.items():
+        assert f(spark, str(tmp_path)).count() == 0, name
+
+
+def test_pipeline(spark, tmp_path):
+    """Each stage does its work on what the one before kept; other columns, repeated ids and nulls get through."""
+    import corpus_pipeline as P
+
+    r = np.random.default_rng(12)
+    plain = lambda n: " ".join("".join(r.choice(list("aeioulmnrst"), 6)) for _ in range(n))
+    junk = lambda: " ".join(r.choice(["###", "buy$", "now%", "x|y", "<<>>", "&&"]) + str(r.integers(9)) for _ in range(80))
+    passage = plain(60)
+    texts = {i: plain(90) for i in range(60)}
+    for i in range(60, 80):
+        texts[i] = junk()
+    for i in range(80, 100):
+        texts[i] = f"{plain(45)} dreadfully vile {plain(45)} dreadfully vile"
+    texts[100] = texts[3]
+    texts[101] = texts[4] + " more"
+    texts[102], texts[103] = f"{plain(50)} {passage} {plain(50)}", f"{plain(50)} {passage} {plain(50)}"
+    rows = [(i, t, "en", "s", len(t), f"extra{i}") for i, t in texts.items()] + [(104, None, "en", "s", 0, "n"), (5, texts[5], "en", "s", 1, "again"), (105, plain(90), "en", "s", 1, "a"), (105, plain(91), "en", "s", 1, "b"), (None, plain(90), "en", "s", 1, "no id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, int(not 60 <= i < 80), int(80 <= i < 100)) for i in range(100)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    d, kept = spark.read.parquet(str(tmp_path / "documents.parquet")), {}
+    for name, stage in P.STAGES[:-1]:
+        d = stage(spark, d, str(tmp_path))
+        kept[name] = d.collect()
+        d = spark.createDataFrame(kept[name], docs.schema)
+    ids = lambda name: {x.doc_id for x in kept[name]}
+    assert d.columns == docs.columns and all(x.score == f"extra{x.doc_id}" for x in kept["toxicity"] if x.doc_id is not None and x.doc_id not in (5, 105))
+    assert not ids("quality_rules") & {*range(60, 80), 104} and ids("quality_rules") >= {*range(60), *range(80, 104)}
+    assert not ids("toxicity") & set(range(80, 100)) and ids("toxicity") >= {*range(60), *range(100, 104)}
+    assert ids("near_duplicates") == {*range(60), 102, 103, 105, None}
+    assert sum(x.doc_id == 105 for x in kept["near_duplicates"]) == 2 and sum(x.doc_id == 5 for x in kept["near_duplicates"]) == 1
+    cut = {x.doc_id: x for x in kept["suffix_array_dedup"]}
+    assert passage not in cut[102].text and cut[102].n_chars == len(cut[102].text) and cut[0].text == texts[0]
+    pieces = P.run(spark, str(tmp_path)).collect()
+    assert {x.doc_id for x in pieces} == ids("suffix_array_dedup")
+    bins = collections.defaultdict(list)
+    for x in pieces:
+        bins[x.sequence_id].append((x.offset, x.length))
+    for b in bins.values():
+        assert [o for o, _ in sorted(b)] == list(np.cumsum([0, *(n for _, n in sorted(b))])[:-1]) and sum(n for _, n in b) <= 4096
