@@ -239,7 +239,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     home = C.checkpoint(home)
     members = home.groupBy("home").agg(F.count("*").alias("members"))
     block = max(1, BLOCK_BYTES // (8 * max(1, width or 1)))
-    members = members.withColumn("blocks", F.ceil(F.col("members") / block).cast("int"))
+    # some blocks for every crowd, and none larger than that
+    members = members.withColumn("blocks", F.ceil(F.col("members") / F.least(F.lit(block), F.greatest(F.lit(LIGHT), F.ceil(F.col("members") / 16)))).cast("int"))
     met = stand.join(home, "node").select("line", "home").distinct()
     beside = met.withColumnRenamed("home", "a").join(met.withColumnRenamed("home", "b"), "line").where("a <= b").select("a", "b").distinct()
     beside = C.checkpoint(beside)

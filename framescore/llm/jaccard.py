@@ -211,7 +211,7 @@ def near_pairs(ids, comp, n, known, side, sketches: list[bytes], p: int, q: int)
 
 
 #: Rows of a key that are compared in one group, at most (of two blocks, twice as many).
-BLOCK = 2048
+BLOCK = 512
 
 
 def across(rows: DataFrame, shape: DataFrame, p: int, q: int, block: int = BLOCK) -> DataFrame:
