@@ -3,8 +3,8 @@
 The symbols of many distinct words lie in one flat array.  A round looks up every pair of
 neighbours by binary search over the sorted pair keys, takes each word's lowest rank and
 merges all its places at once (in a run such as ``a a a``, every other from the left);
-words with no pair left are done.  Words are kept for later texts of the same task, up to
-``CACHE`` of them.
+words with no pair left are done.  Words and their pieces are kept for later texts of the same task: the
+last ``CACHE`` of each, and those met since.
 
 A null text is encoded as an empty one: no ids, and an empty text decoded from them.
 """
@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-#: Distinct words whose ids a task keeps; and new words merged at a time.
-CACHE = 150_000
+#: Distinct words, and pieces, whose ids a task keeps (twice as many at most, with those before them); and new words merged at a time.
+CACHE = 250_000
 BATCH = 30_000
 _NONE = np.int64(1 << 40)
 
@@ -62,9 +62,12 @@ class WordBpe:
         self.keys, self.rank, self.made = keys[order], order.astype(np.int64), made
         library = Tokenizer.from_file(path)
         self.normal, self.rule = library.normalizer, library.pre_tokenizer
-        self.pieces = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        rule = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.pieces, self.lined = regex.compile(rule), regex.compile(rf"\n|{rule}")
         self.split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = (a << 20) | b
@@ -119,42 +122,54 @@ class WordBpe:
             rank[before] = self.ranks(sym[before], sym[before + 1])
         return out
 
-    def _pieces(self, part: str) -> list[bytes]:
-        if part.isascii():
-            part = part.lower()
-            return [part.encode()] if part.isalpha() else [p.encode() for p in self.pieces.findall(part)]
-        if max(part) > "\u024f":  # where Unicode tables of other versions can differ, the library's own
+    def _pieces(self, part: str) -> list[str]:
+        if max(part, default="") > "\u024f":  # where Unicode tables of other versions can differ, the library's own
             part = self.normal.normalize_str(part)
-            return [part[i:j].encode() for _, (i, j) in self.rule.pre_tokenize_str(part)]
-        return [p.encode() for p in self.pieces.findall(unicodedata.normalize("NFC", part).lower())]
+            return [part[i:j] for _, (i, j) in self.rule.pre_tokenize_str(part)]
+        return self.pieces.findall(unicodedata.normalize("NFC", part).lower())
 
     def learn(self, words: list[str]) -> None:
         """Adds the ids of new words without white space."""
         special = {k: v.to_bytes(4, "little") for k, v in self.special.items()}
         for i in range(0, len(words), BATCH):
-            plan, todo = [], {}
-            for w in words[i : i + BATCH]:
-                parts = self._pieces(w) if "<|" not in w else [x for p in self.split.split(w) for x in ([p] if p in special else self._pieces(p))]
-                plan.append(parts)
-                for p in parts:
-                    todo[p] = None
-            new = [p for p in todo if isinstance(p, bytes)]
-            ids = special | dict(zip(new, self.merge(new), strict=True))
-            for w, parts in zip(words[i : i + BATCH], plan, strict=True):
-                self.known[w] = ids[parts[0]] if len(parts) == 1 else b"".join([ids[p] for p in parts])
+            # plain words are split as one text, a word a line; those for the library or with special tokens each for itself
+            batch, hard = words[i : i + BATCH], {}
+            lines = "\n".join([*batch, ""])
+            if _HARD.search(lines):
+                hard = {w: [special.get(x) or self._pieces(x) for x in self.split.split(w)] for w in batch if _HARD.search(w)}
+                batch = [w for w in batch if w not in hard]
+                lines = "\n".join([*batch, ""])
+            found = self.lined.findall((lines if lines.isascii() else unicodedata.normalize("NFC", lines)).lower())
+            if len(self.parts) > CACHE:
+                self.parts = {}
+            have = self.parts
+            have["\n"] = b""
+            new = list(set(found).union(*(x for parts in hard.values() for x in parts if isinstance(x, list))).difference(have))
+            if new:
+                have.update(zip(new, self.merge([p.encode() for p in new]), strict=True))
+            ids = [have[p] for p in found]
+            cut = np.cumsum([len(x) for x in ids])[[k for k, p in enumerate(found) if p == "\n"]].tolist()
+            flat = b"".join(ids)
+            self.known.update(zip(batch, (flat[i:j] for i, j in zip([0, *cut], cut, strict=False)), strict=True))
+            for w, parts in hard.items():
+                self.known[w] = b"".join([x if isinstance(x, bytes) else b"".join([have[p] for p in x]) for x in parts])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit numbers."""
         split = [_split(t) for t in texts]
-        known = self.known
-        if len(known) > CACHE:
-            known.clear()
-        new = {w: None for words in split for w in words if w not in known}
+        if len(self.known) > CACHE:
+            self.known, self.before = {}, self.known
+        known, before = self.known, self.before
+        unknown = set().union(*split).difference(known)
+        known.update([(w, before[w]) for w in unknown if w in before])
+        new = unknown.difference(before)
         if new:
             self.learn(list(new))
-        return [b"".join([known[w] for w in words]) for words in split]
+        return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
+#: Characters of words that ``learn`` splits one by one.
+_HARD = re.compile("[^\0-\u024f]|<\\|")
 _ODD = re.compile("[\x1c-\x1f]")
 _WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
