@@ -403,6 +403,18 @@ def _spark_hash(*values):
     return signed
 
 
+def test_quality_words_at_both_ends(spark):
+    """Each white-space character, each other ASCII character and some beyond at both ends of a text."""
+    ends = [*map(chr, range(1, 128)), "\x85", "\xa0", "\u2003", "\u3000", "é", ""]
+    texts = [f"{a}{middle}{a}" for a in ends for middle in ("x", " of the f f of ", "\nof\n\nof\f", "")] + ["first of all stuff of", "\f\f", "\x0bff x ff\x0b"]
+    got = {r.doc_id: r for r in quality.base_columns(quality.worded(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).selectExpr("row.doc_id", "w", "n_words", "word_chars", "n_symbols", "n_dup_lines").collect()}
+    for i, t in enumerate(texts):
+        w, lines = WORD.findall(t), [x for x in t.split("\n") if WORD.search(x)]
+        assert got[i].w == w, repr(t)
+        assert (got[i].n_words, got[i].word_chars) == (len(w), sum(map(len, w)))
+        assert (got[i].n_symbols, got[i].n_dup_lines) == (len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)))
+
+
 def test_quality_against_a_plain_version(spark):
     """Counts, scores, threshold and verdict in plain Python; lines and symbols too."""
     r = np.random.default_rng(6)
