@@ -1 +1 @@
-"""Training-data operators: ten large-scale text, page and vector operators and their queries."""
+"""Training-data operators: large-scale text, page and vector operators and their queries."""

@@ -50,3 +50,26 @@ links AS (SELECT u, v FROM common JOIN n p ON p.doc_id = u JOIN n q ON q.doc_id
 both_ways AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links), {_REACHED}
 SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, coalesce(low, doc_id) AS component_id FROM n LEFT JOIN lowest ON doc_id = u
 """
+
+#: The table of crc32 (a byte to eight steps of its polynomial), and the checksum of a list of bytes with that table.
+_CRC_TABLE = "crc AS (SELECT list_transform(range(0, 256), lambda b: list_reduce(range(0, 8), lambda a, i: xor(a >> 1, 3988292384 * (a & 1)), b)) AS crc)"
+_CRC = "xor(4294967295, list_reduce({bytes}, lambda a, c: xor(a >> 8, crc[(xor(a, c) & 255) + 1]), 4294967295))"
+_DIGITS = "list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(unicode(c) AS BIGINT))"
+
+#: Equal words q apart as islands for each q; of those with the same ends, the smallest q.
+PERIODIC_RUNS = f"""
+WITH {_CRC_TABLE}, o AS (SELECT doc_id, {_WORDS.format(text="coalesce(text, '')")} AS w, {_CRC.format(bytes=_DIGITS)} AS h FROM documents, crc),
+s AS (SELECT *, CAST(len(w) AS BIGINT) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM o),
+d AS (SELECT doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(0, n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) + 1] END) END AS w FROM s),
+x AS (SELECT doc_id, n, unnest(w) AS word, unnest(range(0, n)) AS i FROM d),
+m AS (SELECT a.doc_id, a.i, b.i - a.i AS q FROM x a JOIN x b ON a.doc_id = b.doc_id AND a.word = b.word AND b.i > a.i AND 3 * (b.i - a.i) <= a.n),
+g AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM m),
+l AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM g GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(24, 3 * q)),
+r AS (SELECT doc_id, start, length, min(q) AS period FROM l GROUP BY doc_id, start, length),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length::DOUBLE / period DESC, start, period) AS k FROM r),
+e AS (SELECT doc_id, count(*) AS n_runs, string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS lines FROM r GROUP BY doc_id),
+c AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r),
+k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM x ANTI JOIN c USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, b.start, b.length, b.period, 1000 * b.length // b.period AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN e ON d.doc_id = e.doc_id LEFT JOIN k ON d.doc_id = k.doc_id LEFT JOIN b ON d.doc_id = b.doc_id AND b.k = 1
+"""
