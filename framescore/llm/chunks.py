@@ -53,7 +53,26 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """The rows, written once as a table in the shared folder and read from there; the lineage ends there."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found._written = path
+    return found
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table that ``checkpoint`` wrote and nothing reads any more."""
+    jvm, session = df.sparkSession._jvm, df.sparkSession._jsparkSession
+    path = jvm.org.apache.hadoop.fs.Path(df._written)
+    path.getFileSystem(session.sessionState().newHadoopConf()).delete(path, True)
+
+
+def slices(batch: pa.RecordBatch, most: int, col: str = "text"):
+    """The rows of a batch, as many at a time as have ``most`` bytes of text together, one at least."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(col)), 0).to_numpy(zero_copy_only=False))
+    i = 0
+    while i < batch.num_rows:
+        j = max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + most, "right")))
+        yield batch.slice(i, j - i)
+        i = j
 
 
 #: Keys that are broadcast by ``heavy_join`` at most.

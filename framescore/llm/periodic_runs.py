@@ -25,6 +25,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import chunks as C
+
 #: Words and periods that a run has at least.
 LEAST, EXPONENT = 24, 3
 #: Bytes of text that are looked at together; one longer text is a slice of its own.
@@ -140,16 +142,6 @@ def maximal_runs(words: np.ndarray, off: np.ndarray, least: int = LEAST, exponen
     return rows[row], s - start[row], length, q
 
 
-def _slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Rows of some ``SLICE`` bytes of text at a time."""
-    size = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False))
-    i = 0
-    while i < b.num_rows:
-        j = max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + SLICE, "right")))
-        yield b.slice(i, j - i)
-        i = j
-
-
 def periodic_runs(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), least: int = LEAST, exponent: int = EXPONENT) -> DataFrame:
     """``keep``, ``n_words``, ``runs`` (start, length and period, by start, then period) and ``collapsed`` of each row.
 
@@ -159,7 +151,7 @@ def periodic_runs(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), least: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in _slices(batch):
+            for b in C.slices(batch, SLICE):
                 words, off, by_number = words_of(b.column("text"))
                 row, start, length, period = maximal_runs(words, off, least, exponent)
                 edge = np.zeros(len(words) + 1, np.int64)

@@ -73,3 +73,27 @@ k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM x ANTI JOIN c
 SELECT d.doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, b.start, b.length, b.period, 1000 * b.length // b.period AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
 FROM d LEFT JOIN e ON d.doc_id = e.doc_id LEFT JOIN k ON d.doc_id = k.doc_id LEFT JOIN b ON d.doc_id = b.doc_id AND b.k = 1
 """
+
+_LETTERS = "list_transform(string_split({text}, ''), lambda c: unicode(c))"
+#: UTF-8 bytes of digits, a colon and Latin letters.
+_RUN_BYTES = f"flatten(list_transform({_LETTERS.format(text='concat(doc_id, chr(58), word)')}, lambda c: CASE WHEN c < 128 THEN [CAST(c AS BIGINT)] ELSE [CAST(195 AS BIGINT), c - 64] END))"
+
+#: Pairs of near words by their common rest, as plain joins.
+SPELLING_VARIANTS = f"""
+WITH RECURSIVE {_CRC_TABLE},
+t AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\\x{{00C0}}-\\x{{00FF}}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS word FROM documents),
+u AS (SELECT doc_id, word, count(*) AS c FROM t WHERE length(word) >= 7 GROUP BY doc_id, word),
+h AS (SELECT word, c, {_CRC.format(bytes=_RUN_BYTES)} AS h FROM u, crc),
+x AS (SELECT CASE WHEN h % 31 = 0 THEN concat(substr(word, 1, h % length(word)), substr(word, h % length(word) + 2)) ELSE word END AS word, c FROM h),
+v AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM x WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
+p AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v),
+w AS (SELECT word, n, concat(substr(word, 1, i - 1), '*', substr(word, i + 1)) AS key FROM p),
+d AS (SELECT DISTINCT word, n, concat(substr(word, 1, i - 1), substr(word, i + 1)) AS rest FROM p),
+near AS (SELECT a.word, b.word AS other, b.n FROM w a JOIN w b ON a.key = b.key AND a.word <> b.word
+UNION ALL SELECT d.word, v.word, v.n FROM d JOIN v ON d.rest = v.word UNION ALL SELECT v.word, d.word, d.n FROM d JOIN v ON d.rest = v.word),
+k AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY n DESC, other) AS k, count(*) OVER (PARTITION BY word) AS n_near FROM near),
+f AS (SELECT v.word, v.n, coalesce(k.n_near, 0) AS n_near, CASE WHEN k.n >= 10 * v.n THEN k.other END AS form, CASE WHEN k.n >= 10 * v.n THEN k.n END AS form_n FROM v LEFT JOIN k ON v.word = k.word AND k.k = 1),
+up AS (SELECT word, word AS root, 0 AS steps FROM f UNION ALL SELECT up.word, f.form, steps + 1 FROM up JOIN f ON up.root = f.word WHERE f.form IS NOT NULL),
+r AS (SELECT word, arg_max(root, steps) AS root FROM up GROUP BY word)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN r ON f.word = r.word
+"""
