@@ -7,6 +7,7 @@ from .bpe import op10_bpe
 from .embedding_dedup import op6_embedding_dedup
 from .html_text import op2_html_text
 from .jaccard import op7_jaccard_join
+from .language import op11_language_id
 from .packing import op8_best_fit_packing
 from .periodic_runs import op13_periodic_runs
 from .quality import op5_quality_rules
@@ -16,7 +17,7 @@ from .suffix_dedup import op3_suffix_dedup
 from .toxicity import op9_toxicity
 from .warc import op4_SQL, op4_warc
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_html_text, op3_suffix_dedup, op4_warc, op5_quality_rules, op6_embedding_dedup, op7_jaccard_join, op8_best_fit_packing, op9_toxicity, op10_bpe, op12_spelling_variants, op13_periodic_runs)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_html_text, op3_suffix_dedup, op4_warc, op5_quality_rules, op6_embedding_dedup, op7_jaccard_join, op8_best_fit_packing, op9_toxicity, op10_bpe, op11_language_id, op12_spelling_variants, op13_periodic_runs)}
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": sql.SUBSTRING_DEDUP,
     "op3_suffix_dedup": sql.SUFFIX_DEDUP,
