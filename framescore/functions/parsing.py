@@ -124,6 +124,9 @@ def base_id(c: Column) -> Column:
 
 # --- prompts, in our own words ---
 
+#: What a trained model is asked about a clip.
+PROMPT = "Look for an anomaly in this traffic clip. Name what hampers the view and how, reason about what happens, conclude, and answer with its type, interval and cause."
+
 
 def influence_prompt(profile: Column) -> Column:
     return F.concat(F.lit("These factors make a traffic clip hard to observe: "), factor_phrase(profile), F.lit(". Say briefly how they weaken the visual evidence and which other cues can stand in."))

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.alignment import align, keys_of
 from ..functions.parsing import interval, let, ngrams, parse_response, tokens
 from ..functions.scoring import bleu_of, clipped_counts, exact_match, rouge_l, tiou
 from ..functions.stems import stem
@@ -36,46 +37,17 @@ def cider(pairs: DataFrame, most: int = 4) -> DataFrame:
     return each.agg((F.coalesce(F.sum("cosine"), F.lit(0.0)) / most / F.greatest(n_pairs, F.lit(1))).alias("cider"))
 
 
-# --- METEOR with exact and stemmed matches ---
-
-
-def _runs(h: list[str], r: list[str], match: dict[int, int]) -> None:
-    """Matches equal keys that are still free, from the left, each time with the place that goes on longest, so that few chunks come about."""
-    at: dict[str, list[int]] = {}
-    taken = set(match.values())
-    for j, w in enumerate(r):
-        if j not in taken:
-            at.setdefault(w, []).append(j)
-
-    def run(i: int, j: int) -> int:
-        n = 0
-        while i + n < len(h) and j + n < len(r) and h[i + n] == r[j + n] and i + n not in match and j + n not in taken:
-            n += 1
-        return n
-
-    for i, w in enumerate(h):
-        free = [j for j in at.get(w, ()) if j not in taken]
-        if i in match or not free:
-            continue
-        before = match.get(i - 1, -2)
-        j = max(free, key=lambda j: (run(i, j) + (j == before + 1), -abs(j - i)))
-        for k in range(run(i, j)):
-            match[i + k] = j + k
-            taken.add(j + k)
-
-
-def meteor_of(hyp: str | None, ref: str | None, alpha: float = 0.9, beta: float = 3.0, gamma: float = 0.5) -> float:
-    h, r = (hyp or "").lower().split(), (ref or "").lower().split()
-    match: dict[int, int] = {}
-    _runs(h, r, match)
-    _runs([stem(w) for w in h], [stem(w) for w in r], match)
-    if not match:
+# --- METEOR ---
+
+
+def meteor_of(hyp: str | None, ref: str | None, synonyms: dict[str, str] | None = None, alpha: float = 0.9, beta: float = 3.0, gamma: float = 0.5) -> float:
+    """Weighted harmonic mean of the shares of matched words, less for many chunks; ``synonyms`` has the group of each stem that is in one."""
+    h, r = (keys_of((t or "").lower().split(), stem, synonyms) for t in (hyp, ref))
+    matches, chunks, _ = align(h, r)
+    if not matches:
         return 0.0
-    p, q = len(match) / len(h), len(match) / len(r)
-    mean = p * q / (alpha * p + (1 - alpha) * q)
-    order = sorted(match.items())
-    chunks = 1 + sum(b != (a[0] + 1, a[1] + 1) for a, b in zip(order, order[1:], strict=False))
-    return mean * (1 - gamma * (chunks / len(match)) ** beta)
+    p, q = matches / len(h), matches / len(r)
+    return p * q / (alpha * p + (1 - alpha) * q) * (1 - gamma * (chunks / matches) ** beta)
 
 
 @F.pandas_udf(T.DoubleType())
@@ -83,6 +55,37 @@ def meteor(hyp: pd.Series, ref: pd.Series) -> pd.Series:
     return pd.Series([meteor_of(h, r) for h, r in zip(hyp, ref, strict=True)], dtype="float64")
 
 
+@F.pandas_udf(T.DoubleType())
+def meteor_with_groups(hyp: pd.Series, ref: pd.Series, groups: pd.Series) -> pd.Series:
+    """``groups`` has (stem, group) of the words of either text."""
+    held = [None if g is None else {x["stem"]: x["name"] for x in g} for g in groups]
+    return pd.Series([meteor_of(h, r, g or {}) for h, r, g in zip(hyp, ref, held, strict=True)], dtype="float64")
+
+
+@F.pandas_udf(T.StringType())
+def stems(words: pd.Series) -> pd.Series:
+    """The stem of each word."""
+    return words.map(stem, na_action="ignore")
+
+
+def meteor_scores(pairs: DataFrame, synonyms: DataFrame | None = None) -> DataFrame:
+    """``pairs`` (id, hyp, ref, others) with ``meteor``, where words match exactly, by stem, or by a synonym.
+
+    ``synonyms`` has rows (word, name), the name of a group of words; a stem that is in several groups goes by the smallest name.  Each pair
+    gets the groups of its own words by a join on stems, so the table may be of any size and is never held whole.
+    """
+    if synonyms is None:
+        return pairs.withColumn("meteor", meteor("hyp", "ref"))
+    group = synonyms.where("word IS NOT NULL AND name IS NOT NULL").groupBy(stems(F.lower("word")).alias("stem")).agg(F.min("name").alias("name"))
+    both = F.array_distinct(F.concat(tokens(F.coalesce("hyp", F.lit(""))), tokens(F.coalesce("ref", F.lit("")))))
+    words = pairs.select("id", F.explode(both).alias("word"))
+    # each distinct word is stemmed and looked up once, however many pairs have it
+    known = words.select("word").distinct().withColumn("stem", stems("word")).join(group, "stem")
+    held = words.join(known, "word").groupBy("id").agg(F.collect_set(F.struct("stem", "name")).alias("groups"))
+    none = F.array().cast("array<struct<stem:string,name:string>>")
+    return pairs.join(held, "id", "left").withColumn("meteor", meteor_with_groups("hyp", "ref", F.coalesce("groups", none))).drop("groups")
+
+
 def mean(c: Column) -> Column:
     """Mean that is 0 over no rows."""
     return F.coalesce(F.avg(c), F.lit(0.0))

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import parsing as P
-from ..sources import samples as R
-from ..sources.samples import TEXTS
+from ..sources.samples import SPLITS, TEXTS
+from ..sources.stages import Stages
 from . import frames as V
 
 # fixed values: families of observation factors and the levels of difficulty
@@ -61,20 +63,34 @@ def quarantine(rows: DataFrame, ok: Column, strict: bool = False) -> tuple[DataF
     return rows.where(ok), rows.where(~ok)
 
 
-def annotate(clips: DataFrame, generate: Callable[[Column], Column]) -> DataFrame:
-    """Annotations of degraded clips by a chain of calls of ``generate`` (a UDF from prompt to text)."""
-    p = F.col("degradation_profile")
-    out = clips.withColumn("influence_annotation", generate(P.influence_prompt(p)))
-    out = out.withColumn("reasoning_annotation", generate(P.reasoning_prompt(p, F.col("influence_annotation"))))
-    out = out.withColumn("conclusion_annotation", generate(P.conclusion_prompt(F.col("reasoning_annotation"))))
-    out = out.withColumn("answer_annotation", generate(P.answer_prompt(F.col("conclusion_annotation"))))
-    out = out.withColumn("reasoning_annotation", generate(P.compactness_prompt(F.col("reasoning_annotation"), P.mean_severity(p))))
+def asked(rows: DataFrame, name: str, said: Column) -> DataFrame:
+    """Adds ``name``, a generator's text; where it gives (text, error), the first error of a row stays in ``error``."""
+    out = rows if "error" in rows.columns else rows.withColumn("error", F.lit(None).cast("string"))
+    out = out.withColumn("__said", said)
+    if not isinstance(out.schema["__said"].dataType, T.StructType):
+        return out.withColumn(name, F.col("__said")).drop("__said")
+    return out.withColumns({name: F.col("__said.text"), "error": F.coalesce("error", "__said.error")}).drop("__said")
+
+
+def annotate(clips: DataFrame, generate: Callable[..., Column], frames: str | None = None) -> DataFrame:
+    """Annotations of degraded clips by a chain of calls of ``generate``, a UDF from prompt to text.
+
+    With ``frames``, the name of a column, it gets that too; rewriting is done without any.  After a failure a row's further prompts are null.
+    """
+    p, none = F.col("degradation_profile"), F.array().cast("array<binary>")
+    call = (lambda prompt, seen: generate(prompt)) if frames is None else generate
+    seen = None if frames is None else F.col(frames)
+    out = asked(clips, "influence_annotation", call(P.influence_prompt(p), seen))
+    out = asked(out, "reasoning_annotation", call(P.reasoning_prompt(p, F.col("influence_annotation")), seen))
+    out = asked(out, "conclusion_annotation", call(P.conclusion_prompt(F.col("reasoning_annotation")), seen))
+    out = asked(out, "answer_annotation", call(P.answer_prompt(F.col("conclusion_annotation")), seen))
+    out = asked(out, "reasoning_annotation", call(P.compactness_prompt(F.col("reasoning_annotation"), P.mean_severity(p)), none))
     return out.withColumn("type_annotation", P.profile_text(p))
 
 
 def sample_group(prompts: DataFrame, generate: Callable[[Column], Column], n: int = 4) -> DataFrame:
     """``n`` responses of each prompt."""
-    return prompts.withColumn("member", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("response", generate(F.col("prompt")))
+    return asked(prompts.withColumn("member", F.explode(F.sequence(F.lit(1), F.lit(n)))), "response", generate(F.col("prompt")))
 
 
 def split_dataset(samples: DataFrame, seed: int = 42) -> DataFrame:
@@ -103,43 +119,102 @@ def split_dataset(samples: DataFrame, seed: int = 42) -> DataFrame:
     return samples.drop("split").withColumn("base", P.base_id(F.col("video_id"))).join(named, "base").drop("base")
 
 
-def by_row(f: Callable[[str], str]) -> Callable[[Column], Column]:
-    """``f`` as a generator of texts for ``annotate`` and the like; a prompt that makes it fail gives null."""
+def by_row(f: Callable[..., str]) -> Callable[..., Column]:
+    """``f``, of a prompt and what else a generator gets, as a generator of (text, error).
+
+    What it raises is the row's error, not the job's; a null prompt isn't asked.  It counts as nondeterministic, as models are, so Spark
+    calls it once a row and never moves it.
+    """
 
-    def one(prompt: str | None) -> str | None:
+    def one(prompt: str | None, *more) -> tuple[str | None, str | None]:
+        if prompt is None:
+            return None, None
         try:
-            return None if prompt is None else f(prompt)
-        except Exception:  # whatever a model raises; a row's failure is data here, not the job's
-            return None
+            return f(prompt, *more), None
+        except Exception as e:  # whatever a model raises; a row's failure is data here, not the job's
+            return None, str(e) or type(e).__name__
 
-    @F.pandas_udf("string")
-    def generate(prompts: pd.Series) -> pd.Series:
-        return prompts.map(one)
+    def generate(*cols: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(*x) for x in zip(*cols, strict=True)], columns=["text", "error"], dtype=object)
 
-    return generate
+    return F.pandas_udf(generate, "text string, error string").asNondeterministic()
 
 
 def generate_and_parse(rows: DataFrame, generate: Callable[[Column], Column], prompt: str = "prompt") -> DataFrame:
     """``response`` to each prompt and its ``blocks``, null if it can't be parsed."""
-    return rows.withColumn("response", generate(F.col(prompt))).withColumn("blocks", P.let(P.parse_response, F.col("response")))
+    return asked(rows, "response", generate(F.col(prompt))).withColumn("blocks", P.let(P.parse_response, F.col("response")))
 
 
-def collect_clips(videos: DataFrame, annotations: DataFrame, decoder: Callable[[bytes], list[bytes]], height: int, width: int, channels: int = 3) -> tuple[DataFrame, DataFrame]:
-    """Clips of ``videos`` (see ``list_videos``) with frames and ranges, and the rows that couldn't be decoded or whose range doesn't run forward."""
-    read = R.decode_videos(videos, decoder).withColumn("n_frames", F.size("frames"))
-    ranged = clip_defaults(read, annotations).withColumns({"height": F.lit(height), "width": F.lit(width), "channels": F.lit(channels)})
-    ok = F.col("error").isNull() & (F.col("start_frame") < F.col("end_frame"))
-    return quarantine(ranged.withColumn("error", F.when(F.coalesce(ok, F.lit(False)), None).otherwise(F.coalesce("error", F.lit("the range doesn't run forward")))), F.col("error").isNull())
+@dataclass(frozen=True)
+class Build:
+    """What a build wrote: ``samples`` without pixels by split, ``failures`` (video_id, path, difficulty_level, error), and the degraded
+    ``frames`` (video_id, path, difficulty_level, frame_idx, given, height, width, channels, px)."""
+
+    samples: DataFrame
+    failures: DataFrame
+    frames: DataFrame
+
+
+def collect_clips(decoded: DataFrame, annotations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Clips of rows of frames (see ``videos.FRAME``) with their ranges, without pixels, and those with an ``error``.
+
+    A clip is left out if any of its frames couldn't be read or its range doesn't run forward.
+    """
+    broken = decoded.where("error IS NOT NULL").groupBy("path").agg(F.min("video_id").alias("video_id"), F.min("error").alias("error"))
+    heads = decoded.where("error IS NULL AND frame_idx = 0").select("video_id", "path", "given", "n_frames", "height", "width", "channels")
+    ranged = clip_defaults(heads.join(broken.select("path"), "path", "left_anti"), annotations)
+    good, bad = quarantine(ranged, F.coalesce(F.col("start_frame") < F.col("end_frame"), F.lit(False)))
+    return good, broken.select("video_id", "path", "error").unionByName(bad.select("video_id", "path", F.lit("the range doesn't run forward").alias("error")))
 
 
-def build_dataset(videos: DataFrame, annotations: DataFrame, decoder: Callable[[bytes], list[bytes]], generate: Callable[[Column], Column], height: int, width: int, channels: int = 3, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+def build_dataset(videos: DataFrame, annotations: DataFrame, generate: Callable[..., Column], folder: str, seed: int = 42, see: int = 0) -> Build:
     """The whole build: clips, four degraded variants of each, annotated, validated and split by source video.
 
-    Returns the samples with their ``split``, and the rows that failed somewhere, with an ``error``.
+    ``videos`` are rows of frames (``videos.read_frames`` or ``samples.decode_videos``).  Each stage is written once to ``folder`` and read by all
+    that needs it: frames as decoded, the frames of each variant, annotated rows, samples by split.  So codec and
+    model run once a row, whatever is asked of the result, and a build that broke off goes on with the stage it was in.
+    Only the first two stages have pixels, and none of them is in a shuffle, but for the ``see`` evenly spread frames of each variant that the model is given with
+    its prompts, if any.
     """
-    clips, bad = collect_clips(videos, annotations, decoder, height, width, channels)
-    made = annotate(V.degrade_clips(fan_out(clips.drop("error"))), generate)
-    made = made.withColumn("gt_interval", F.struct("start_sec", "end_sec"))
-    good, failed = quarantine(made, F.col("error").isNull() & valid_sample())
-    failed = failed.withColumn("error", F.coalesce("error", F.lit("the sample isn't valid")))
-    return split_dataset(good.drop("error"), seed), bad.select("video_id", "error").unionByName(failed.select("video_id", "error"))
+    stages = Stages(videos.sparkSession, folder)
+    decoded = stages.put("decoded", lambda: videos)
+    clips, bad = collect_clips(decoded, annotations)
+    shape = ("video_id", "path", "frame_idx", "given", "height", "width", "channels", "px")
+    frames = stages.put("frames", lambda: V.degrade(fan_out(decoded.where("error IS NULL").select(*shape))).select(*shape, "difficulty_level"))
+    lost = frames.where("px IS NULL").select("path", "difficulty_level").distinct()
+
+    def annotated() -> DataFrame:
+        text = fan_out(clips).join(lost, ["path", "difficulty_level"], "left_anti")
+        if see:
+            text = text.join(shown(frames, see), ["path", "difficulty_level"], "left")
+        made = annotate(text, generate, "frames" if see else None).drop("frames")
+        made = made.withColumns({"gt_interval": F.struct("start_sec", "end_sec"), "prompt": F.lit(P.PROMPT)})
+        return made.withColumn("error", F.coalesce("error", F.when(~valid_sample(), "the sample isn't valid")))
+
+    made = stages.put("annotated", annotated)
+    samples = stages.put("samples", lambda: split_dataset(made.where("error IS NULL").drop("error"), seed), ("split",))
+    level = F.lit(None).cast("double").alias("difficulty_level")
+    failures = bad.select("video_id", "path", level, "error").unionByName(made.where("error IS NOT NULL").select("video_id", "path", "difficulty_level", "error"))
+    torn = lost.join(clips.select("path", "video_id"), "path").select("video_id", "path", "difficulty_level", F.lit("a frame can't be degraded").alias("error"))
+    return Build(samples, failures.unionByName(torn), frames)
+
+
+def shown(frames: DataFrame, n: int) -> DataFrame:
+    """``path``, ``difficulty_level`` and ``frames``, the pixels of ``n`` evenly spread frames of each variant in their order."""
+    at = F.lit(0) if n == 1 else F.explode(F.array_distinct(V.frame_indices(F.col("given"), n)))
+    chosen = frames.select("path", "difficulty_level", "frame_idx", "px", at.alias("at")).where("frame_idx = at")
+    held = chosen.groupBy("path", "difficulty_level").agg(F.sort_array(F.collect_list(F.struct("frame_idx", "px"))).alias("f"))  # n frames
+    return held.select("path", "difficulty_level", F.col("f.px").alias("frames"))
+
+
+def load_built(spark: SparkSession, folder: str, split: str) -> DataFrame:
+    """Samples of one split of a build; the files of others aren't opened."""
+    if split not in SPLITS:
+        raise ValueError(f"no split {split!r}; there are {SPLITS}")
+    return spark.read.parquet(f"{folder.rstrip('/')}/samples").where(F.col("split") == split)
+
+
+def with_pixels(samples: DataFrame, frames: DataFrame) -> DataFrame:
+    """Samples with ``frames``, all those of their variant in order, ready to be sampled or made tensors of.  The one join that moves pixels."""
+    held = frames.join(samples.select("path", "difficulty_level"), ["path", "difficulty_level"], "left_semi").groupBy("path", "difficulty_level")
+    return samples.join(held.agg(F.sort_array(F.collect_list(F.struct("frame_idx", "px"))).alias("f")).select("path", "difficulty_level", F.col("f.px").alias("frames")), ["path", "difficulty_level"])

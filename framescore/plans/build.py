@@ -8,6 +8,8 @@ from ..functions import parsing as P
 from ..operators import dataset as D
 from ..operators import frames as V
 from ..sources import samples as R
+from ..sources import videos as S
+from ..sources.stages import new_folder
 from . import fixtures as X
 
 QUERIES: dict = {}
@@ -97,13 +99,14 @@ def quarantine_counts(spark, sf_dir):
     return both.groupBy("difficulty_level").agg(F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("bad"))
 
 
-_BASE = "SELECT DISTINCT split_part(video_id, '_diff', 1) AS base FROM clips"
-_SPLITS = (
-    f"r AS (SELECT base, row_number() OVER (ORDER BY md5('42:' || base), base) AS k, count(*) OVER () AS n FROM ({_BASE})), "
+_BASE = "SELECT DISTINCT split_part(video_id, '_diff', 1) AS base FROM "
+_SPLIT = (
+    "r AS (SELECT base, row_number() OVER (ORDER BY md5('42:' || base), base) AS k, count(*) OVER () AS n FROM ({base})), "
     "p AS (SELECT base, CASE WHEN k <= floor(n * 0.70::DOUBLE) THEN 'train' WHEN k <= floor(n * 0.70::DOUBLE) + floor(n * 0.15::DOUBLE) THEN 'val' ELSE 'test' END AS split FROM r), "
     "q AS (SELECT base, row_number() OVER (ORDER BY md5('42:sft:' || base), base) AS k, count(*) OVER () AS n FROM p WHERE split = 'train'), "
     "s AS (SELECT base, CASE WHEN k <= floor(n * 0.30::DOUBLE) THEN 'sft_train' ELSE 'rl_train' END AS split FROM q UNION ALL SELECT base, split FROM p WHERE split <> 'train')"
 )
+_SPLITS = _SPLIT.format(base=_BASE + "clips")
 
 
 @query("split_assign", f"{_CLIPS}, {_SPLITS} SELECT d, split FROM clips JOIN s ON split_part(video_id, '_diff', 1) = base")
@@ -190,40 +193,106 @@ def fog(spark, sf_dir):
     return _summed(X.pixels(spark, sf_dir), V.fog(F.col("px"), F.col("s")))
 
 
-_H = "CAST(floor(8 * s * 0.5::DOUBLE) AS INT)"
+_H, _W = "CAST(floor((len(px) // 8) * s * 0.5::DOUBLE) AS INT)", "CAST(floor(8 * s * 0.5::DOUBLE) AS INT)"
 
 
 def _box_sql(corner: bool) -> str:
-    top = "0" if corner else f"(8 - {_H}) // 2"
-    inside = f"(i - 1) // 8 >= {top} AND (i - 1) // 8 < {top} + {_H} AND (i - 1) % 8 >= {top} AND (i - 1) % 8 < {top} + {_H}"
-    return f"list_transform(px, lambda x, i: CASE WHEN {_H} >= 1 AND {inside} THEN 0 ELSE x END)"
+    top, left = ("0", "0") if corner else (f"(len(px) // 8 - {_H}) // 2", f"(8 - {_W}) // 2")
+    inside = f"(i - 1) // 8 >= {top} AND (i - 1) // 8 < {top} + {_H} AND (i - 1) % 8 >= {left} AND (i - 1) % 8 < {left} + {_W}"
+    return f"list_transform(px, lambda x, i: CASE WHEN {_H} >= 1 AND {_W} >= 1 AND {inside} THEN 0 ELSE x END)"
 
 
 @query("occlusion_centre", _summed_sql(_box_sql(False)))
 def occlusion_centre(spark, sf_dir):
-    return _summed(X.pixels(spark, sf_dir), V.occlusion(F.col("px"), F.col("s"), 8, 8))
+    return _summed(X.pixels(spark, sf_dir), V.occlusion(F.col("px"), F.col("s"), F.floor(F.size("px") / 8).cast("int"), 8))
 
 
 @query("occlusion_corner", _summed_sql(_box_sql(True)))
 def occlusion_corner(spark, sf_dir):
-    return _summed(X.pixels(spark, sf_dir), V.occlusion(F.col("px"), F.col("s"), 8, 8, True))
+    return _summed(X.pixels(spark, sf_dir), V.occlusion(F.col("px"), F.col("s"), F.floor(F.size("px") / 8).cast("int"), 8, True))
 
 
+#: ``{k}`` places around each pixel of a row of eight, mirrored at both ends as often as need be.
 _MIRROR = "(CASE WHEN (((i - 1) % 8 + d) % 14 + 14) % 14 < 8 THEN (((i - 1) % 8 + d) % 14 + 14) % 14 ELSE 14 - (((i - 1) % 8 + d) % 14 + 14) % 14 END)"
 
 
-@query("motion_blur", _summed_sql(f"list_transform(px, lambda x, i: CAST(round_even(list_sum(list_transform(range(-3, 4), lambda d: px[(i - 1) // 8 * 8 + {_MIRROR} + 1])) / 7.0::DOUBLE, 0) AS INT))"))
+def _blur_sql(k: str) -> str:
+    return f"list_transform(px, lambda x, i: CAST(round_even(list_sum(list_transform(range(-({k} // 2), {k} // 2 + 1), lambda d: px[(i - 1) // 8 * 8 + {_MIRROR} + 1])) / {k}::DOUBLE, 0) AS INT))"
+
+
+@query("motion_blur", _summed_sql(_blur_sql("7")))
 def motion_blur(spark, sf_dir):
     return _summed(X.pixels(spark, sf_dir), V.motion_blur(F.col("px"), 0.2, 8, 8))
 
 
 def _degraded(spark, sf_dir, name: str):
     p = X.pixels(spark, sf_dir)
-    hexed = F.unhex(F.array_join(F.transform("px", lambda x: F.lpad(F.hex(x), 2, "0")), ""))
+    height = F.floor(F.size("px") / 8).cast("int")
     one = F.array(F.struct(F.lit(name).alias("name"), F.col("s").alias("severity")))
-    rows = p.select(F.col("vec_id").cast("string").alias("video_id"), F.lit(0).alias("frame_idx"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("channels"), hexed.alias("px"), one.alias("degradation_profile"))
+    rows = p.select(F.col("vec_id").cast("string").alias("video_id"), F.lit(0).alias("frame_idx"), height.alias("height"), F.lit(8).alias("width"), F.lit(1).alias("channels"), X.binary(F.col("px")).alias("px"), one.alias("degradation_profile"))
     return V.degrade(rows).select(F.col("video_id").cast("long").alias("vec_id"), F.sha2("px", 256).alias("px_sha256"), F.length("px").alias("n"))
 
 
 for _name in ("sensor_noise", "rain_snow", "lens_flare"):
     QUERIES[_name] = lambda spark, sf_dir, n=_name: _degraded(spark, sf_dir, n)
+
+
+# --- from files ---
+
+#: The sum of all pixels of each frame of each variant; ``k`` numbers frames.
+_VARIANTS = (
+    f"raw AS (SELECT vec_id, k, list_transform(px, lambda x: CAST((x + 3 * k) % 256 AS INT)) AS px FROM (SELECT *, unnest(range(0, n)) AS k FROM videos)), "
+    f"blurred AS (SELECT vec_id, k, level, {_blur_sql('w')} AS px, level AS s FROM raw, (VALUES (0.2::DOUBLE, 7), (0.4::DOUBLE, 13), (0.8::DOUBLE, 25)) AS v(level, w)), "
+    "frames AS (SELECT vec_id, k, level, CAST(list_sum(list_transform(px, lambda x: CAST(floor(x * (1.0::DOUBLE - s * 0.8::DOUBLE)) AS INT))) AS BIGINT) AS px_total FROM blurred "
+    "UNION ALL SELECT vec_id, k, 0.0::DOUBLE, CAST(list_sum(px) AS BIGINT) FROM raw)"
+)
+
+
+def _byte_sum(px):
+    """The sum of the bytes of a binary."""
+    hexed = F.hex(px)
+    return F.aggregate(F.sequence(F.lit(1), F.length(px)), F.lit(0).cast("long"), lambda a, i: a + F.conv(F.substring(hexed, 2 * i - 1, F.lit(2)), 16, 10).cast("long"))
+
+
+@query("video_scan", f"""WITH {X.CLIPS_SQL}, {X.VIDEOS_SQL}, i AS (SELECT *, unnest(range(0, 25)) AS i FROM videos WHERE flaw IS NULL), p AS (SELECT *, i * (n - 1) // 24 AS k FROM i)
+SELECT video_id, CAST(i AS INT) AS frame_idx, CAST(k AS INT) AS place, CAST(n AS INT) AS n_frames, CAST(list_sum(list_transform(px, lambda x: (x + 3 * k) % 256)) AS BIGINT) AS px_total, NULL::VARCHAR AS error FROM p
+UNION ALL SELECT video_id, -1, NULL, NULL, NULL, flaw FROM videos WHERE flaw IS NOT NULL""")
+def video_scan(spark, sf_dir):
+    """25 evenly spread frames of each file; those of damaged and short files as rows with their error."""
+    found = S.read_frames(spark, [X.video_files(spark, sf_dir)], frames=25)
+    return found.select("video_id", "frame_idx", "place", "n_frames", _byte_sum(F.col("px")).alias("px_total"), "error")
+
+
+def _stand_in(prompt: str, frames) -> str:
+    """Says how long the prompt is and how bright what it is shown; some sums are too much for it."""
+    total = sum(sum(f) for f in frames)
+    if total % 11 == 3:
+        raise ValueError(f"{total} is too much")
+    return f"{len(prompt)} {total}"
+
+
+_SAID = "length({prompt}) || ' ' || {seen}"
+_NOTE = lambda sql, note: sql.replace("note", note)
+_BUILD_SQL = f"""WITH {X.CLIPS_SQL}, {X.VIDEOS_SQL}, {_VARIANTS},
+c AS (SELECT v.vec_id, v.video_id, n, flaw, coalesce(start_frame, 0) AS first, coalesce(end_frame, n - 1) AS last, coalesce(start_sec, 0.0::DOUBLE) AS start_sec, coalesce(end_sec, n / 30.0::DOUBLE) AS end_sec FROM videos v LEFT JOIN ranges r ON v.vec_id = r.d),
+t AS (SELECT c.*, level AS difficulty_level, sum(px_total) AS px_total, sum(px_total) FILTER (WHERE k IN (0, n - 1)) AS seen FROM c JOIN frames f ON c.vec_id = f.vec_id WHERE flaw IS NULL AND first < last GROUP BY ALL),
+a1 AS (SELECT *, {_SAID.format(prompt=_INFLUENCE, seen='seen')} AS influence FROM t),
+a2 AS (SELECT *, {_SAID.format(prompt=_NOTE(_REASON, 'influence'), seen='seen')} AS reasoning FROM a1),
+a3 AS (SELECT *, {_SAID.format(prompt="'State in one short judgment what event this reasoning shows:' || chr(10) || reasoning", seen='seen')} AS conclusion FROM a2),
+a4 AS (SELECT *, {_SAID.format(prompt="'Give the anomaly''s type, its interval as [start_sec, end_sec] and a brief cause.' || chr(10) || 'Conclusion: ' || conclusion", seen='seen')} AS answer, {_SAID.format(prompt=_NOTE(_REWRITE, 'reasoning'), seen="'0'")} AS rewritten FROM a3),
+m AS (SELECT *, CASE WHEN seen % 11 = 3 THEN seen || ' is too much' WHEN start_sec >= end_sec THEN 'the sample isn''t valid' END AS error FROM a4),
+good AS (SELECT * FROM m WHERE error IS NULL), {_SPLIT.format(base=_BASE + 'good')}
+SELECT video_id, difficulty_level, split, CAST(n AS INT) AS n_frames, round(start_sec, 6) AS start_sec, round(end_sec, 6) AS end_sec, {_TEXT} AS type_annotation, rewritten AS reasoning_annotation, answer AS answer_annotation, CAST(px_total AS BIGINT) AS px_total, NULL::VARCHAR AS error FROM good JOIN s ON split_part(video_id, '_diff', 1) = base
+UNION ALL SELECT video_id, difficulty_level, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, error FROM m WHERE error IS NOT NULL
+UNION ALL SELECT video_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, coalesce(flaw, 'the range doesn''t run forward') FROM c WHERE flaw IS NOT NULL OR first >= last"""
+
+
+@query("dataset_build", _BUILD_SQL)
+def dataset_build(spark, sf_dir):
+    """From files to split samples with the pixels of their variants, and all that failed on the way; the model is shown two frames of each variant."""
+    folder = new_folder(spark, "build")
+    built = D.build_dataset(S.read_frames(spark, [X.video_files(spark, sf_dir)]), X.ranges(spark, sf_dir), D.by_row(_stand_in), folder, see=2)
+    lit = built.frames.groupBy("path", "difficulty_level").agg(F.sum(_byte_sum(F.col("px"))).alias("px_total"))
+    shown = built.samples.join(lit, ["path", "difficulty_level"])
+    kept = shown.select("video_id", "difficulty_level", "split", "n_frames", F.round("start_sec", 6).alias("start_sec"), F.round("end_sec", 6).alias("end_sec"), "type_annotation", "reasoning_annotation", "answer_annotation", "px_total", F.lit(None).cast("string").alias("error"))
+    return kept.unionByName(built.failures.select("video_id", "difficulty_level", "error"), allowMissingColumns=True)

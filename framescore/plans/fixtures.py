@@ -6,7 +6,7 @@ a fraction.  Each fixture is a list of steps; a step adds columns.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -72,11 +72,51 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 RESPONSES_SQL = sql("(SELECT event_id FROM events)", RESPONSES, "responses")
 CLIPS_SQL = sql("(SELECT doc_id, n_chars FROM documents)", CLIPS, "clips")
 PAIRS_SQL = "pairs AS (SELECT conv_id * 1000 + turn AS id, hyp, ref FROM (SELECT conv_id, turn, text AS hyp, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS ref FROM conversations) WHERE ref IS NOT NULL)"
-#: 8 x 8 frames from the first 64 components of a vector.
-PIXELS_SQL = "pixels AS (SELECT vec_id, list_transform(list_slice(embedding, 1, 64), lambda x: CAST(least(255, floor(abs(CAST(x AS DOUBLE)) * 255)) AS INT)) AS px, [0.2, 0.4, 0.8][vec_id % 3 + 1]::DOUBLE AS s FROM embeddings)"
+#: Frames 8 pixels wide from the components of a vector, as many rows as they fill.
+PIXELS_SQL = "pixels AS (SELECT vec_id, list_transform(list_slice(embedding, 1, len(embedding) - len(embedding) % 8), lambda x: CAST(least(255, floor(abs(CAST(x AS DOUBLE)) * 255)) AS INT)) AS px, [0.2, 0.4, 0.8][vec_id % 3 + 1]::DOUBLE AS s FROM embeddings)"
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    px = F.transform(F.slice("embedding", 1, 64), lambda x: F.least(F.lit(255), F.floor(F.abs(x.cast("double")) * 255)).cast("int"))
+    whole = F.slice("embedding", F.lit(1), F.size("embedding") - F.size("embedding") % 8)
+    px = F.transform(whole, lambda x: F.least(F.lit(255), F.floor(F.abs(x.cast("double")) * 255)).cast("int"))
     s = F.element_at(F.array(F.lit(0.2), F.lit(0.4), F.lit(0.8)), (F.col("vec_id") % 3 + 1).cast("int"))
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", px.alias("px"), s.alias("s"))
+
+
+def binary(px: Column) -> Column:
+    """Pixels as bytes."""
+    return F.unhex(F.array_join(F.transform(px, lambda x: F.lpad(F.hex(x), 2, "0")), ""))
+
+
+#: A video a vector, two to a base id: frame k has all pixels 3 k higher, around 256.  Some are short, of some the last frame breaks off.
+VIDEOS = [
+    {"video_id": "concat('vid_', CAST(CAST(floor(vec_id / 2) AS BIGINT) AS STRING), '_diff', CAST(vec_id % 2 AS STRING))", "n": "CASE WHEN vec_id % 13 = 5 THEN 10 ELSE 25 + vec_id % 7 END"},
+    {"flaw": "CASE WHEN vec_id % 13 = 5 THEN '10 frames, 25 are needed' WHEN vec_id % 29 = 7 THEN concat('frame ', CAST(n - 1 AS STRING), ' breaks off') END"},
+]
+#: Ranges of two thirds of the videos; some run backward in frames, some in seconds.
+RANGES = [{"start_frame": "3", "end_frame": "CASE WHEN d % 17 = 4 THEN 2 ELSE 20 END", "start_sec": "CAST(ss AS DOUBLE) / 10", "end_sec": "CAST(se AS DOUBLE) / 10"}]
+
+
+def videos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return steps(pixels(spark, sf_dir).select("vec_id", "px"), VIDEOS)
+
+
+def video_files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of its own with the videos as files."""
+    from ..sources.stages import new_folder
+    from ..sources.videos import write_clips
+
+    frames = F.transform(F.sequence(F.lit(0), (F.col("n") - 1).cast("int")), lambda k: binary(F.transform("px", lambda x: (x + 3 * k) % 256)))
+    cut = F.when(F.col("flaw").startswith("frame"), F.transform("f", lambda b, k: F.when(k == F.col("n") - 1, F.substring(b, F.lit(1), F.lit(3))).otherwise(b))).otherwise(F.col("f"))
+    rows = videos(spark, sf_dir).withColumn("f", frames)
+    folder = new_folder(spark, "videos")
+    write_clips(rows.select("video_id", cut.alias("frames"), F.floor(F.size("px") / 8).cast("int").alias("height"), F.lit(8).alias("width"), F.lit(1).alias("channels")), folder)
+    return folder
+
+
+def ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = steps(clips(spark, sf_dir).where("d % 3 != 0").withColumnRenamed("d", "vec_id").drop("video_id", "n"), [{"video_id": VIDEOS[0]["video_id"], "d": "vec_id"}, *RANGES])
+    return c.select("video_id", F.col("start_frame").cast("int"), F.col("end_frame").cast("int"), "start_sec", "end_sec")
+
+
+VIDEOS_SQL = f"{PIXELS_SQL}, {sql('pixels', VIDEOS, 'videos')}, " + sql("(SELECT * FROM clips WHERE d % 3 <> 0)", RANGES, "ranges")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,9 +62,18 @@ def load_samples(spark: SparkSession, folder: str, split: str) -> DataFrame:
 
 
 def list_videos(spark: SparkSession, folders: list[str]) -> DataFrame:
-    """``video_id``, ``path`` and ``content`` of the .mp4 files right in some folders, by path."""
+    """``video_id``, ``path`` and ``length`` of the .mp4 files right in some folders, by path; their bytes aren't read."""
+    return _video_files(spark, folders).select("video_id", "path", "length").orderBy("path")
+
+
+def video_bytes(spark: SparkSession, folders: list[str]) -> DataFrame:
+    """``video_id``, ``path`` and ``content`` of the same files, in no order: for stores that only Spark reads, and codecs that take whole files."""
+    return _video_files(spark, folders).select("video_id", "path", "content")
+
+
+def _video_files(spark: SparkSession, folders: list[str]) -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.mp4").load(folders)
-    return files.select(F.regexp_extract("path", r"([^/]+)\.mp4$", 1).alias("video_id"), "path", "content").orderBy("path")
+    return files.withColumn("video_id", F.regexp_extract("path", r"([^/]+)\.mp4$", 1))
 
 
 def read_clip_annotations(spark: SparkSession, path: str) -> DataFrame:
@@ -73,27 +82,32 @@ def read_clip_annotations(spark: SparkSession, path: str) -> DataFrame:
     return found.select("video_id", "a.*")
 
 
-def decode_videos(videos: DataFrame, decoder: Callable[[bytes], list[bytes]], least: int = 25) -> DataFrame:
-    """Frames of each video by a given codec; an ``error`` instead where it can't be read or is too short."""
+def decode_videos(videos: DataFrame, decoder: Callable[[bytes], list[bytes]], height: int, width: int, channels: int = 3, least: int = 25) -> DataFrame:
+    """Rows of ``videos.FRAME`` of whole files (see ``video_bytes``) by a given codec, a video at a time; an ``error`` instead where one can't be read or is too short."""
+    from .videos import _TYPES, BATCH_BYTES, FRAME, _batch
+
+    def rows(name: str, path: str, content: bytes) -> list[tuple]:
+        try:
+            frames = decoder(content)
+            if len(frames) < least:
+                raise ValueError(f"{len(frames)} frames, {least} are needed")
+        except Exception as e:  # whatever a codec raises; a row's failure is data here, not the job's
+            return [(name, path, -1, *[None] * (len(_TYPES) - 4), str(e) or type(e).__name__)]
+        return [(name, path, i, len(frames), i, len(frames), height, width, channels, px, None) for i, px in enumerate(frames)]
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = []
-            for v, p, c in zip(part["video_id"], part["path"], part["content"], strict=True):
-                try:
-                    frames, error = decoder(bytes(c)), None
-                    if len(frames) < least:
-                        frames, error = None, f"{len(frames)} frames, {least} are needed"
-                except Exception as e:  # a row's failure is data here, not the job's
-                    frames, error = None, str(e) or type(e).__name__
-                rows.append((v, p, frames, error))
-            yield pd.DataFrame(rows, columns=["video_id", "path", "frames", "error"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                made = rows(*(b.column(c)[i].as_py() for c in ("video_id", "path", "content")))
+                step = max(1, BATCH_BYTES // (len(made[0][-2] or b"") + 1))
+                for j in range(0, len(made), step):
+                    yield _batch(made[j : j + step])
 
-    return videos.mapInPandas(run, "video_id string, path string, frames array<binary>, error string")
+    return videos.select("video_id", "path", "content").mapInArrow(run, FRAME)
 
 
 def with_frames(samples: DataFrame, frames: DataFrame, n: int = 25, size: int = 448) -> DataFrame:
-    """Samples with their frames; black ones where there is no video."""
+    """Samples with their ``frames`` (of rows (video_id, frames), one a video); black ones where there is no video."""
     black = F.array_repeat(F.unhex(F.repeat(F.lit("00"), size * size * 3)), n)
     return samples.join(frames.select("video_id", "frames"), "video_id", "left").withColumn("frames", F.coalesce("frames", black))
 

@@ -156,34 +156,14 @@ def test_flare_and_rain():
     assert (frames.degrade_frame(f, [("lens_flare", 0.0), ("rain_snow", 0.0)], 1) == f).all()
 
 
-def test_build_of_a_dataset(spark, tmp_path):
-    """From files to split samples; what fails on the way comes out with its error."""
-    for i in range(6):
-        (tmp_path / f"v{i}.mp4").write_bytes(bytes([i]) * (3 if i == 5 else 30))
-    (tmp_path / "clips.json").write_text(json.dumps({"v0": {"start_frame": 9, "end_frame": 2}, "v1": {"start_sec": 0.5, "end_sec": 1.5}}))
-
-    def decode(raw: bytes) -> list[bytes]:
-        return [bytes([b] * 12) for b in raw]
-
-    def answer(prompt: str) -> str:
-        if len(prompt) == 0:
-            raise RuntimeError("nothing to say")
-        return "  " if "low_light (severity=0.8)" in prompt and "Effect" in prompt else "fine"
-
-    videos = samples.list_videos(spark, [str(tmp_path)])
-    assert [r.video_id for r in videos.select("video_id").collect()] == [f"v{i}" for i in range(6)]
-    notes = samples.read_clip_annotations(spark, str(tmp_path / "clips.json"))
+def test_strict_quarantine_and_result_files(spark, tmp_path):
+    rows = spark.createDataFrame([("v", 0.2, (0.0, 1.0), *["x"] * 5)], f"video_id string, difficulty_level double, gt_interval {P.INTERVAL_TYPE}, {', '.join(f'{t} string' for t in samples.TEXTS)}")
     assert samples.read_clip_annotations(spark, str(tmp_path / "none.json")).count() == 0
-    good, bad = dataset.build_dataset(videos, notes, decode, dataset.by_row(answer), 2, 2)
-    rows = good.collect()
-    assert {(r.video_id, r.difficulty_level) for r in rows} == {(f"v{i}", v) for i in range(1, 5) for v in dataset.LEVELS}
-    assert all(len(r.frames) == 30 and r.split in samples.SPLITS and r.reasoning_annotation == "fine" for r in rows)
-    assert {r.gt_interval.end_sec for r in rows if r.video_id == "v1"} == {1.5}
-    assert sorted(r.video_id for r in bad.collect()) == ["v0", "v5"]
-    strict, _ = dataset.quarantine(good.withColumn("answer_annotation", F.lit("")), dataset.valid_sample(), strict=True)
+    assert dataset.quarantine(rows, dataset.valid_sample(), strict=True)[0].count() == 1
+    strict, _ = dataset.quarantine(rows.withColumn("answer_annotation", F.lit("")), dataset.valid_sample(), strict=True)
     with pytest.raises(Exception, match="isn't valid"):
         strict.collect()
-    samples.write_results(good.select("video_id", F.lit(None).cast("string").alias("note")).limit(1), str(tmp_path / "out"))
+    samples.write_results(rows.select("video_id", F.lit(None).cast("string").alias("note")), str(tmp_path / "out"))
     assert '"note":null' in "".join(p.read_text() for p in (tmp_path / "out").glob("part*"))
 
 
@@ -196,6 +176,9 @@ def test_frames_of_clips(spark):
     assert len(a.frames) == 25 and len(a.frames[0]) == 48 and a.height == 4 and b.frames is None
     t = frames.tensor_clips(clips.where("video_id = 'a'")).first()
     assert t.shape == [26, 3, 2, 2] and len(t.tensor) == 312 and t.tensor[1] == pytest.approx(3 / 255)
+    back = frames.bytes_of_tensors(frames.tensor_clips(clips).select("video_id", "tensor", "shape")).orderBy("video_id").collect()
+    assert (back[0].height, back[0].width, back[0].channels) == (2, 2, 3) and back[0].frames == [frames.from_tensor(frames.to_tensor(np.arange(12, dtype=np.uint8).reshape(1, 2, 2, 3)))[0].tobytes()] * 26
+    assert back[1].frames is None and back[1].error
 
 
 def test_meteor_takes_few_chunks_and_pairs_go_by_place(spark):
