@@ -17,7 +17,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 
 #: Steps of the search, besides one for each word.
-BUDGET = 10_000
+BUDGET = 3000
 #: Free places that are compared before the rest is taken in order, by so many words at most.
 NEXT, FAR = 12, 16
 

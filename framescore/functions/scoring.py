@@ -10,6 +10,7 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .matching import matched_distance
 from .parsing import let, strip, tokens
 
 
@@ -17,6 +18,7 @@ from .parsing import let, strip, tokens
 class RewardWeights:
     """Shares of the three rewards and penalties of the first."""
 
+    # fixed values: the default weights
     alpha: float = 0.4
     beta: float = 0.4
     gamma: float = 0.2
@@ -113,41 +115,65 @@ def exact_match(p: Column, g: Column) -> Column:
     return (F.lower(strip(p)) == F.lower(strip(g))).cast("int")
 
 
-def _least_distance(p: Column, g: Column) -> Column:
-    """Least sum of distances when the shorter of two sorted arrays is matched into the longer in order."""
-    return let(_matched, F.when(F.size(p) <= F.size(g), p).otherwise(g), F.when(F.size(p) <= F.size(g), g).otherwise(p))
+def _severities(profile: Column, name: Column) -> Column:
+    return F.array_sort(F.transform(F.filter(profile, lambda e: e["name"] == name), lambda e: e["severity"]))
 
 
-def _matched(short: Column, long: Column) -> Column:
-    def row(prev: Column, x: Column) -> Column:
-        def cell(cur: Column, j: Column) -> Column:
-            return F.array_append(cur, F.least(F.element_at(cur, -1), F.element_at(prev, j) + F.abs(x - F.element_at(long, j))))
+def _shared(pred: Column, gt: Column) -> Column:
+    """The sorted severities ``p`` and ``g`` of each name that both profiles have."""
+    names = F.array_intersect(F.transform(pred, lambda e: e["name"]), F.transform(gt, lambda e: e["name"]))
+    return F.transform(names, lambda x: F.struct(_severities(pred, x).alias("p"), _severities(gt, x).alias("g")))
 
-        return F.aggregate(F.sequence(F.lit(1), F.size(long)), F.array(F.lit(float("inf"))), cell)
 
-    table = F.aggregate(short, F.array_repeat(F.lit(0.0), F.size(long) + 1), row)
-    return F.element_at(table, -1)
+def _repeats(pred: Column, gt: Column) -> Column:
+    """Both profiles have a name more than once; in all others a name stands once on one side at least."""
+    more = lambda p: F.size(F.array_distinct(p["name"])) < F.size(p)
+    return more(pred) & more(gt)
 
 
-def reward_observation(pred: Column, gt: Column, w: RewardWeights = RewardWeights()) -> Column:
-    """Reward of a predicted difficulty profile.
+def _distance(e: Column) -> Column:
+    """Distance of the nearest two of one name's severities, of which one side has one."""
+    one, many = (F.when(F.size(e["p"]) == 1, e[a]).otherwise(e[b]) for a, b in (("p", "g"), ("g", "p")))
+    return F.array_min(F.transform(many, lambda x: F.abs(x - F.get(one, 0))))
 
-    Factors of one name are matched one to one at the least total distance of severities.
-    These lie on a line, so an order-preserving matching of the sorted ones is optimal.
-    """
-    return let(lambda p, g: _observation(p, g, w), pred, gt)
 
+def _table_distance(e: Column) -> Column:
+    """The same for any two numbers, by a table of matching the shorter array into the longer one in order."""
 
-def _observation(pred: Column, gt: Column, w: RewardWeights) -> Column:
-    names = F.array_intersect(F.transform(pred, lambda e: e["name"]), F.transform(gt, lambda e: e["name"]))
-    of = lambda profile, name: F.array_sort(F.transform(F.filter(profile, lambda e: e["name"] == name), lambda e: e["severity"]))
-    each = F.transform(names, lambda x: F.struct(of(pred, x).alias("p"), of(gt, x).alias("g")))
-    return let(lambda e: _rewarded(e, pred, gt, w), each)
+    def table(short: Column, long: Column) -> Column:
+        def row(prev: Column, x: Column) -> Column:
+            def cell(cur: Column, j: Column) -> Column:
+                return F.array_append(cur, F.least(F.element_at(cur, -1), F.element_at(prev, j) + F.abs(x - F.element_at(long, j))))
+
+            return F.aggregate(F.sequence(F.lit(1), F.size(long)), F.array(F.lit(float("inf"))), cell)
 
+        return F.element_at(F.aggregate(short, F.array_repeat(F.lit(0.0), F.size(long) + 1), row), -1)
 
-def _rewarded(each: Column, pred: Column, gt: Column, w: RewardWeights) -> Column:
+    p, g = e["p"], e["g"]
+    return let(table, F.when(F.size(p) <= F.size(g), p).otherwise(g), F.when(F.size(p) <= F.size(g), g).otherwise(p))
+
+
+def reward_observation(pred: Column, gt: Column, w: RewardWeights = RewardWeights(), heaps: bool = True) -> Column:
+    """Reward of a predicted difficulty profile.
+
+    Factors of one name are matched one to one at the least total distance of severities, which is plain where one side has a single one.
+    Rows where both sides repeat names, and only those, go to ``matched_distance``, an Arrow function that takes n log n steps; without
+    ``heaps`` they stay in the expression, which is quadratic and worse, for a few severities a name.
+    """
+    table = None if heaps else _table_distance
+    plain = let(lambda p, g: let(lambda e: _rewarded(e, p, g, w, table), _shared(p, g)), pred, gt)
+    if not heaps:
+        return plain
+    some = _repeats(pred, gt)
+    # nulls for all other rows; it stands apart, as Arrow functions can't be within array functions
+    return plain - w.severity * F.coalesce(matched_distance(F.when(some, pred), F.when(some, gt)), F.lit(0.0))
+
+
+def _rewarded(each: Column, pred: Column, gt: Column, w: RewardWeights, table) -> Column:
+    """Without distances where both sides repeat names, unless ``table`` gives them."""
+    total = F.aggregate(each, F.lit(0.0), lambda a, e: a + (table or _distance)(e))
+    distance = total if table else F.when(_repeats(pred, gt), 0.0).otherwise(total)
     count = F.aggregate(each, F.lit(0), lambda a, e: a + F.least(F.size(e["p"]), F.size(e["g"])))
-    distance = F.aggregate(each, F.lit(0.0), lambda a, e: a + _least_distance(e["p"], e["g"]))
     score = (count - w.severity * distance) / F.greatest(F.lit(1), count)
     out = score - w.false_positive * (F.size(pred) - count) - w.false_negative * (F.size(gt) - count)
     return F.when((F.size(pred) == 0) & (F.size(gt) == 0), 1.0).otherwise(out)

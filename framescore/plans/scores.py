@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import parsing as P
@@ -28,6 +28,7 @@ def query(name: str, oracle: str | None = None):
 
 # --- SQL of the parts that several oracles share ---
 
+# fixed values: tags and the ways to write an interval, as in ``functions/parsing.py``
 _TAGS = ("TYPE", "INFLUENCE", "REASONING", "CONCLUSION", "ANSWER")
 _BLOCK = "trim(regexp_extract(text, '<{t}>(.*?)<{t}_END>', 1, 'si'), ' ' || chr(9) || chr(10) || chr(13))"
 _FOUND = " AND ".join(f"regexp_matches(text, '<{t}>.*?<{t}_END>', 'si')" for t in _TAGS)
@@ -268,6 +269,32 @@ def ro_reward(spark, sf_dir):
     return r.select("e", F.round(S.reward_observation(F.col("p"), F.col("g")), 6).alias("ro"))
 
 
+# names that both sides have several times, unequally often; all ways to match the fewer in order are tried
+_MANY = (
+    "many AS (SELECT event_id AS e, list_transform(range(0, event_id % 4 + 1), lambda k: (event_id * 7 + k * 13 + event_id // 11) % 21 / 20.0::DOUBLE) AS pf, list_transform(range(0, event_id // 4 % 5 + 1), lambda k: (event_id * 3 + k * 8 + event_id // 7) % 21 / 20.0::DOUBLE) AS gf, "
+    "list_transform(range(0, event_id // 3 % 3), lambda k: (event_id * 5 + k * 11) % 21 / 20.0::DOUBLE) AS pb, list_transform(range(0, event_id // 5 % 4), lambda k: (event_id * 11 + k * 6) % 21 / 20.0::DOUBLE) AS gb FROM events)"
+)
+_REPEATS = f"""WITH RECURSIVE {_MANY}, sides AS (SELECT e, 'f' AS name, pf AS p, gf AS g FROM many UNION ALL SELECT e, 'b', pb, gb FROM many),
+t AS (SELECT e, name, list_sort(CASE WHEN len(p) <= len(g) THEN p ELSE g END) AS a, list_sort(CASE WHEN len(p) <= len(g) THEN g ELSE p END) AS b FROM sides),
+s AS (SELECT e, name, a, b, 0 AS i, CAST(0 AS BIGINT) AS j, 0.0::DOUBLE AS d FROM t UNION ALL SELECT e, name, a, b, i + 1, x + 1, d + abs(a[i + 1] - b[x + 1]) FROM (SELECT *, unnest(range(j, len(b))) AS x FROM s WHERE i < len(a))),
+m AS (SELECT e, name, len(a) AS n, min(d) AS d FROM s WHERE i = len(a) GROUP BY e, name, n),
+r AS (SELECT e, sum(n) AS n, sum(d) AS d FROM m GROUP BY e)
+SELECT e, round((n - 0.5::DOUBLE * d) / greatest(1, n) - 0.3::DOUBLE * (len(pf) + len(pb) - n) - 0.3::DOUBLE * (len(gf) + len(gb) - n), 6) AS ro FROM r JOIN many USING (e)"""
+
+
+@query("ro_reward_repeats", _REPEATS)
+def ro_reward_repeats(spark, sf_dir):
+    def entries(name: str, last: str, tenths) -> Column:
+        made = F.transform(F.expr(f"IF({last} < 0, array(), sequence(0, {last}))"), lambda k: F.struct(F.lit(name).alias("name"), (tenths(F.col("event_id"), k) % 21 / F.lit(20.0)).alias("severity")))
+        return made.cast(P.PROFILE_TYPE)
+
+    div = lambda x, n: F.floor(x / n)
+    pred = F.concat(entries("fog", "event_id % 4", lambda e, k: e * 7 + k * 13 + div(e, 11)), entries("motion_blur", "event_id div 3 % 3 - 1", lambda e, k: e * 5 + k * 11))
+    gt = F.concat(entries("motion_blur", "event_id div 5 % 4 - 1", lambda e, k: e * 11 + k * 6), entries("fog", "event_id div 4 % 5", lambda e, k: e * 3 + k * 8 + div(e, 7)))
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("e"), pred.alias("p"), gt.alias("g"))
+    return rows.select("e", F.round(S.reward_observation(F.col("p"), F.col("g")), 6).alias("ro"))
+
+
 def _rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = X.responses(spark, sf_dir).select("e", "text", _gt_profile().alias("gt_profile"), F.struct((F.col("gs") / 10.0).alias("start_sec"), (F.col("ge") / 10.0).alias("end_sec")).alias("gt"), F.lit("step one. step two").alias("gt_reasoning"))
     return score_responses(r)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from framescore.functions import parsing as P
 from framescore.functions import scoring as S
+from framescore.functions.matching import least_distance
 from framescore.operators import corpus, dataset, frames, lengths
 from framescore.sources import samples
 from framescore.streaming.scoring import stream_advantages
@@ -57,6 +58,8 @@ def test_observation_reward_is_the_best_assignment(spark):
     rows = spark.createDataFrame(cases, f"i int, p {P.PROFILE_TYPE}, g {P.PROFILE_TYPE}").select("i", S.reward_observation(F.col("p"), F.col("g")).alias("r")).collect()
     for row in rows:
         assert row.r == pytest.approx(_best(cases[row.i][1], cases[row.i][2], 0.5))
+    table = spark.createDataFrame(cases, f"i int, p {P.PROFILE_TYPE}, g {P.PROFILE_TYPE}").select("i", S.reward_observation(F.col("p"), F.col("g"), heaps=False).alias("r"))
+    assert {x.i: pytest.approx(x.r) for x in table.collect()} == {x.i: x.r for x in rows} and "Python" not in table._jdf.queryExecution().executedPlan().toString()
     with pytest.raises(ValueError):
         S.RewardWeights(severity=-1)
 
@@ -189,3 +192,18 @@ def test_meteor_takes_few_chunks_and_pairs_go_by_place(spark):
     assert sorted((r.sample_id, r.p, r.r) for r in got) == [(i, i, 100 + i) for i in range(30)]
     corpus.register(spark)
     assert spark.sql("SELECT lcs(array('a', 'b', 'c'), array('b', 'x', 'c')) AS n, effective_length('one two') AS e").first() == (2, 2)
+
+
+def test_matching_on_a_line(spark):
+    r = random.Random(1)
+    for _ in range(2000):
+        a, b = ([r.randint(0, 9) / 10 for _ in range(r.randint(0, 6))] for _ in range(2))
+        short, long = sorted((a, b), key=len)
+        assert least_distance(a, b) == pytest.approx(min(sum(abs(x - y) for x, y in zip(short, q, strict=True)) for q in itertools.permutations(long, len(short))))
+    # ten thousand of one name, against the table row by row
+    p, g = sorted(r.random() for _ in range(10_000)), sorted(r.random() for _ in range(12_000))
+    row = np.zeros(2001)
+    for i, x in enumerate(p):
+        row = np.minimum.accumulate(row) + np.abs(x - np.array(g[i : i + 2001]))
+    one = spark.createDataFrame([([("fog", x) for x in p], [("fog", x) for x in g])], f"p {P.PROFILE_TYPE}, g {P.PROFILE_TYPE}")
+    assert one.select(S.reward_observation(F.col("p"), F.col("g")).alias("r")).first().r == pytest.approx((10_000 - 0.5 * row.min()) / 10_000 - 0.3 * 2000)
