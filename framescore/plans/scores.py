@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import parsing as P
 from ..functions import scoring as S
+from ..functions import sql as functions
 from ..operators import corpus, lengths
 from ..operators import dataset as D
 from ..streaming.scoring import score_responses
@@ -310,6 +311,18 @@ def total_reward(spark, sf_dir):
     return _rewards(spark, sf_dir).select("e", F.round("reward", 6).alias("reward"))
 
 
+@query("sql_rewards", f"{_REWARD} SELECT e, round(reward, 6) AS reward FROM rewards")
+def sql_rewards(spark, sf_dir):
+    """The same rewards, said in SQL alone by functions that Catalyst puts in place; no Python in the plan."""
+    functions.register(spark)
+    r = X.responses(spark, sf_dir).select("e", "text", _gt_profile().alias("truth"), F.struct((F.col("gs") / 10.0).alias("start_sec"), (F.col("ge") / 10.0).alias("end_sec")).alias("span"))
+    return spark.sql(
+        """SELECT e, round(CASE WHEN b IS NULL THEN 0D ELSE total_reward(observation_reward(profile_of(b.type_block), truth), tiou(interval_of(b.answer_block), span),
+        length_reward(effective_words(b.reasoning_block), effective_words('step one. step two'))) END, 6) AS reward FROM (SELECT *, parse_response(text) AS b FROM {responses})""",
+        responses=r,
+    )
+
+
 @query("total_reward_advantages", f"{_REWARD}, a AS (SELECT e, e // 4 AS grp, reward, {_ADVANTAGE} AS advantage FROM rewards WINDOW g AS (PARTITION BY e // 4)) SELECT grp, count(*) AS n, round(avg(reward), 6) AS mean_reward, round(max(advantage), 3) + 0.0 AS top_advantage FROM a GROUP BY grp")
 def total_reward_advantages(spark, sf_dir):
     r = _rewards(spark, sf_dir).withColumn("grp", F.floor(F.col("e") / 4)).withColumn("advantage", S.advantage(F.col("reward"), "grp"))
