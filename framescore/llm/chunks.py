@@ -232,18 +232,19 @@ CENSUS = "chunk int, bucket int, keys binary, more binary, twice binary"
 REPLY = "chunk int, bucket int, bits binary"
 
 
-def _cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
-    edges = np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64)
-    return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]]).astype(int)
+def spread(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets that sorted keys fall in, and where each one's keys begin, with their number at the end: as many as there are keys at most."""
+    of = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    starts = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.zeros(0, np.int64)
+    return of[starts].astype(np.int64), np.append(starts, len(keys))
 
 
 def census_rows(chunk: int, keys: np.ndarray, more: np.ndarray | None, twice: np.ndarray, buckets: int) -> pa.Table:
-    """A chunk's distinct keys as one row a bucket."""
-    cut, rows = _cuts(keys, buckets), []
-    for b in range(buckets):
-        i, j = cut[b], cut[b + 1]
-        if i < j:
-            rows.append((chunk, b, keys[i:j].tobytes(), b"" if more is None else more[i:j].tobytes(), np.packbits(twice[i:j]).tobytes()))
+    """A chunk's distinct keys as one row for each bucket that they fall in, however many buckets there are."""
+    found, cut = spread(keys, buckets)
+    rows = []
+    for b, i, j in zip(found.tolist(), cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        rows.append((chunk, b, keys[i:j].tobytes(), b"" if more is None else more[i:j].tobytes(), np.packbits(twice[i:j]).tobytes()))
     cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
     types = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
     return pa.table({n: pa.array(c, t) for n, c, t in zip(("chunk", "bucket", "keys", "more", "twice"), cols, types, strict=True)})
@@ -298,9 +299,10 @@ def first_census(rows: DataFrame) -> DataFrame:
 
 def replied(reply: pa.Table, keys: np.ndarray, buckets: int) -> np.ndarray:
     """The bits of a chunk's distinct keys, in their order."""
-    cut, out = _cuts(keys, buckets), np.zeros(len(keys), bool)
-    for b, bits in zip(reply.column("bucket").to_pylist(), reply.column("bits").to_pylist(), strict=True):
-        out[cut[b] : cut[b + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=cut[b + 1] - cut[b]).astype(bool)
+    (found, cut), out = spread(keys, buckets), np.zeros(len(keys), bool)
+    at = np.searchsorted(found, reply.column("bucket").to_numpy())
+    for k, bits in zip(at.tolist(), reply.column("bits").to_pylist(), strict=True):
+        out[cut[k] : cut[k + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=cut[k + 1] - cut[k]).astype(bool)
     return out
 
 

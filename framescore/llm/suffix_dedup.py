@@ -365,12 +365,10 @@ def suffix_dedup(docs: DataFrame, width: int = 200, id_col: str = "doc_id", with
             for r in C.census_rows(chunk, uniq, more, twice, buckets).to_pylist():
                 rows.append((chunk, r["bucket"], True, r["keys"], r["more"], r["twice"]))
             start, size = chosen(first, last, place, ship)
-            cut = C._cuts(keys[ship], shards)
-            for b in range(shards):
-                i, j = cut[b], cut[b + 1]
-                if i < j:
-                    text = b"".join([data[s : s + k].tobytes() for s, k in zip(start[i:j].tolist(), size[i:j].tolist(), strict=True)])
-                    rows.append((chunk, b, False, size[i:j].astype(np.int32).tobytes(), text, None))
+            found, cut = C.spread(keys[ship], shards)
+            for b, i, j in zip(found.tolist(), cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                text = b"".join([data[s : s + k].tobytes() for s, k in zip(start[i:j].tolist(), size[i:j].tolist(), strict=True)])
+                rows.append((chunk, b, False, size[i:j].astype(np.int32).tobytes(), text, None))
         cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
         types = (pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary())
         return pa.table({c: pa.array(x, t) for c, x, t in zip(("chunk", "bucket", "hot", "a", "b", "twice"), cols, types, strict=True)})
@@ -387,8 +385,8 @@ def suffix_dedup(docs: DataFrame, width: int = 200, id_col: str = "doc_id", with
         np.add.at(flag, last[full] + 1, -1)
         flag = np.cumsum(flag[:-1]) > 0
         start, size = chosen(first, last, place, ship)
-        cut = C._cuts(keys[ship], shards)
-        for b, bits in zip(two.column("bucket").to_pylist(), two.column("bits").to_pylist(), strict=True):
+        found, cut = C.spread(keys[ship], shards)
+        for b, bits in zip(np.searchsorted(found, two.column("bucket").to_numpy()).tolist(), two.column("bits").to_pylist(), strict=True):
             s, k = start[cut[b] : cut[b + 1]], size[cut[b] : cut[b + 1]] - width + 1
             at = np.repeat(s, k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
             flag[at[np.unpackbits(np.frombuffer(bits, np.uint8), count=len(at)).astype(bool)]] = True
