@@ -179,8 +179,11 @@ def _summed(rows, px):
     return held.select("vec_id", plain.alias("total"), placed.alias("weighted"))
 
 
+_SUMS = "SELECT vec_id, CAST(list_sum(q) AS BIGINT) AS total, CAST(list_sum(list_transform(q, lambda x, i: CAST(x AS BIGINT) * i)) AS BIGINT) AS weighted FROM f"
+
+
 def _summed_sql(expr: str) -> str:
-    return f"WITH {X.PIXELS_SQL}, f AS (SELECT vec_id, {expr} AS q FROM pixels) SELECT vec_id, CAST(list_sum(q) AS BIGINT) AS total, CAST(list_sum(list_transform(q, lambda x, i: CAST(x AS BIGINT) * i)) AS BIGINT) AS weighted FROM f"
+    return f"WITH {X.PIXELS_SQL}, f AS (SELECT vec_id, {expr} AS q FROM pixels) {_SUMS}"
 
 
 @query("low_light", _summed_sql("list_transform(px, lambda x: CAST(floor(x * (1.0::DOUBLE - s * 0.8::DOUBLE)) AS INT))"))
@@ -233,8 +236,56 @@ def _degraded(spark, sf_dir, name: str):
     return V.degrade(rows).select(F.col("video_id").cast("long").alias("vec_id"), F.sha2("px", 256).alias("px_sha256"), F.length("px").alias("n"))
 
 
-for _name in ("sensor_noise", "rain_snow", "lens_flare"):
-    QUERIES[_name] = lambda spark, sf_dir, n=_name: _degraded(spark, sf_dir, n)
+def _mixed_sql(x: str) -> str:
+    """The mixture of ``operators/frames.py`` in SQL; lists of one hold what is used twice."""
+    a = f"list_transform([{x}], lambda v: (xor(v, v >> 16) * 739982445) & 4294967295)"
+    b = f"list_transform({a}, lambda v: (xor(v, v >> 12) * 695872825) & 4294967295)"
+    return f"list_transform({b}, lambda v: xor(v, v >> 15))[1]"
+
+
+def _uniform_sql(n: str) -> str:
+    inner = _mixed_sql(f"(key + ({n}) * 2654435769) & 4294967295")
+    return f"(({_mixed_sql(f'xor({inner}, key)')}) + 0.5::DOUBLE) / 4294967296.0::DOUBLE"
+
+
+#: Pixels with the key of their frame, of which the factor is the first.
+_KEYED = f"{X.PIXELS_SQL}, seeded AS (SELECT *, CAST(('0x' || substr(md5(vec_id || ':0'), 1, 8)) AS BIGINT) AS seed FROM pixels), keyed AS (SELECT vec_id, px, s, len(px) // 8 AS h, {_mixed_sql('seed')} AS key FROM seeded)"
+_HASHED = "sha256(unhex(array_to_string(list_transform(q, lambda x: printf('%02X', x)), ''))) AS px_sha256, CAST(len(q) AS INT) AS n"
+_NOISY = f"list_transform(px, lambda x, i: CAST(trunc(least(255.0::DOUBLE, greatest(0.0::DOUBLE, x + s * 50.0::DOUBLE * sqrt(-2.0::DOUBLE * ln({_uniform_sql('2 * (i - 1)')})) * cos(2 * pi() * {_uniform_sql('2 * (i - 1) + 1')})))) AS INT))"
+_AWAY = "((i - 1) // 8 - CAST(floor(h * 0.3::DOUBLE) AS BIGINT)) * ((i - 1) // 8 - CAST(floor(h * 0.3::DOUBLE) AS BIGINT)) + ((i - 1) % 8 - 5) * ((i - 1) % 8 - 5)"
+_RADIUS = f"(reach - (reach - greatest(CAST(ceil(sqrt({_AWAY})) AS BIGINT), 1 + (reach - 1) % ring)) // ring * ring)"
+_FLARED = f"CASE WHEN reach < 1 THEN px ELSE list_transform(px, lambda x, i: CASE WHEN {_AWAY} <= reach * reach THEN CAST(trunc(s * 200 * (1 - {_RADIUS}::DOUBLE / reach)) AS INT) ELSE x END) END"
+_DROP = lambda k, m, c: f"CAST(floor({_uniform_sql(f'5 * j + {k}')} * {m} + {c}) AS BIGINT)"
+_RAINED = f"""WITH {_KEYED}, j AS (SELECT *, unnest(range(0, CAST(floor(s * 300) AS BIGINT))) AS j FROM keyed),
+d AS (SELECT vec_id, j, h, {_DROP(0, 'h', 0)} AS y, {_DROP(1, 8, 0)} AS x, {_DROP(2, 15, 5)} AS n, ({_uniform_sql('5 * j + 3')} * 40 - 20) * (pi() / 180) AS lean, {_DROP(4, 75, 180)} AS light FROM j),
+e AS (SELECT *, CAST(floor(n * cos(lean) + 0.5::DOUBLE) AS BIGINT) AS dy, CAST(floor(n * sin(lean) + 0.5::DOUBLE) AS BIGINT) AS dx FROM d),
+t AS (SELECT *, unnest(range(0, dy + 1)) AS t FROM e),
+p AS (SELECT vec_id, j, light, y + t AS y, x + CASE WHEN dx < 0 THEN -1 ELSE 1 END * ((2 * abs(dx) * t + dy) // (2 * dy)) AS x, h FROM t),
+l AS (SELECT vec_id, 8 * y + x AS i, arg_max(light, j) AS light FROM p WHERE y < h AND x BETWEEN 0 AND 7 GROUP BY vec_id, y, x),
+m AS (SELECT vec_id, list(i) AS spots, list(light) AS lights FROM l GROUP BY vec_id),
+q AS (SELECT k.vec_id, list_transform(px, lambda x, i: coalesce(lights[list_position(spots, i - 1)], x)) AS q FROM keyed k LEFT JOIN m USING (vec_id)) SELECT vec_id, {_HASHED} FROM q"""
+
+
+@query("sensor_noise", f"WITH {_KEYED}, q AS (SELECT vec_id, {_NOISY} AS q FROM keyed) SELECT vec_id, {_HASHED} FROM q")
+def sensor_noise(spark, sf_dir):
+    return _degraded(spark, sf_dir, "sensor_noise")
+
+
+@query("rain_snow", _RAINED)
+def rain_snow(spark, sf_dir):
+    return _degraded(spark, sf_dir, "rain_snow")
+
+
+@query("lens_flare", f"WITH {_KEYED}, f AS (SELECT *, CAST(floor(least(h, 8) * s * 0.4::DOUBLE) AS BIGINT) AS reach FROM keyed), g AS (SELECT *, greatest(1, reach // 5) AS ring FROM f), q AS (SELECT vec_id, {_FLARED} AS q FROM g) SELECT vec_id, {_HASHED} FROM q")
+def lens_flare(spark, sf_dir):
+    return _degraded(spark, sf_dir, "lens_flare")
+
+
+@query("sensor_noise_column", f"WITH {_KEYED}, f AS (SELECT vec_id, {_NOISY} AS q FROM keyed) {_SUMS}")
+def sensor_noise_column(spark, sf_dir):
+    """The same numbers as an expression, without Python."""
+    key = V.frame_key(F.col("vec_id"), F.lit(0))
+    return _summed(X.pixels(spark, sf_dir), V.sensor_noise(F.col("px"), F.col("s"), key))
 
 
 # --- from files ---
