@@ -118,9 +118,14 @@ def evaluate(rows: DataFrame, with_meteor: bool = False, with_cider: bool = Fals
 def numbered(rows: DataFrame, name: str = "position") -> DataFrame:
     """Rows with their place, from 0, in the order they are read.
 
-    A row's id holds its partition and its number there, so only the partitions' counts are summed, one row each.
+    They are evaluated once, and written with their partition and their number there; the partitions' counts, one row each, come from what was written,
+    so places are right even where another evaluation would give another order or other partitions.
     """
-    held = rows.withColumn("__id", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__id", 33))
+    from ..sources.stages import new_folder
+
+    spark, path = rows.sparkSession, new_folder(rows.sparkSession, "numbered")
+    rows.withColumn("__id", F.monotonically_increasing_id()).write.parquet(path)
+    held = spark.read.parquet(path).withColumn("__part", F.shiftright("__id", 33))
     counts = held.groupBy("__part").agg(F.count("*").alias("__n"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     shift = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))

@@ -9,7 +9,7 @@ from ..operators import dataset as D
 from ..operators import frames as V
 from ..sources import samples as R
 from ..sources import videos as S
-from ..sources.stages import new_folder
+from ..sources.stages import Stages, new_folder
 from . import fixtures as X
 
 QUERIES: dict = {}
@@ -145,9 +145,14 @@ def sample_defaults(spark, sf_dir):
     return R.with_defaults(raw).select(F.col("split").cast("long").alias("d"), "reasoning_annotation", "gt_interval.end_sec", F.size("degradation_profile").alias("factors"))
 
 
-@query("factor_counts", "SELECT family, count(*) AS n FROM (VALUES ('blur'), ('blur'), ('blur'), ('environment'), ('environment'), ('environment'), ('environment'), ('occlusion'), ('occlusion')) AS f(family) GROUP BY family")
+_FAMILY = "(VALUES ('motion_blur', 'blur'), ('lens_flare', 'blur'), ('sensor_noise', 'blur'), ('low_light', 'environment'), ('rain_snow', 'environment'), ('fog', 'environment'), ('tunnel_low_light', 'environment'), ('vehicle_mask', 'occlusion'), ('interaction_area_mask', 'occlusion')) AS f(name, family)"
+
+
+@query("factor_counts", f"WITH {X.RESPONSES_SQL}, e AS (SELECT unnest(string_split(kind, ';')) AS entry FROM responses WHERE kind <> 'none'), n AS (SELECT trim(string_split(entry, ':')[1]) AS name, CAST(string_split(entry, ':')[2] AS DOUBLE) AS severity FROM e) SELECT family, count(*) AS n, round(avg(severity), 6) AS severity FROM n JOIN {_FAMILY} USING (name) GROUP BY family")
 def factor_counts(spark, sf_dir):
-    return D.factor_dim(spark).groupBy("family").agg(F.count("*").alias("n"))
+    """Factors of predicted profiles by family."""
+    entries = X.responses(spark, sf_dir).select(F.explode(P.parse_profile(F.col("kind"))).alias("e")).select("e.name", "e.severity")
+    return entries.join(F.broadcast(D.factor_dim(spark)), "name").groupBy("family").agg(F.count("*").alias("n"), F.round(F.avg("severity"), 6).alias("severity"))  # nine rows
 
 
 @query("batch_sizes", f"{_CLIPS}, b AS (SELECT unnest(range(0, CAST(ceil(count(*) / 16) AS BIGINT))) AS batch, count(*) AS n FROM clips) SELECT batch, least(16, n - 16 * batch) AS size FROM b")
@@ -228,10 +233,10 @@ def motion_blur(spark, sf_dir):
     return _summed(X.pixels(spark, sf_dir), V.motion_blur(F.col("px"), 0.2, 8, 8))
 
 
-def _degraded(spark, sf_dir, name: str):
+def _degraded(spark, sf_dir, *names: str):
     p = X.pixels(spark, sf_dir)
     height = F.floor(F.size("px") / 8).cast("int")
-    one = F.array(F.struct(F.lit(name).alias("name"), F.col("s").alias("severity")))
+    one = F.array(*(F.struct(F.lit(name).alias("name"), F.col("s").alias("severity")) for name in names))
     rows = p.select(F.col("vec_id").cast("string").alias("video_id"), F.lit(0).alias("frame_idx"), height.alias("height"), F.lit(8).alias("width"), F.lit(1).alias("channels"), X.binary(F.col("px")).alias("px"), one.alias("degradation_profile"))
     return V.degrade(rows).select(F.col("video_id").cast("long").alias("vec_id"), F.sha2("px", 256).alias("px_sha256"), F.length("px").alias("n"))
 
@@ -288,6 +293,17 @@ def sensor_noise_column(spark, sf_dir):
     return _summed(X.pixels(spark, sf_dir), V.sensor_noise(F.col("px"), F.col("s"), key))
 
 
+_CHAIN = "list_transform({px}, lambda x, i: {then})"
+_DARKENED = _CHAIN.format(px="px", then="CAST(floor(x * (1.0::DOUBLE - s * 0.8::DOUBLE)) AS INT)")
+_FOGGED = _CHAIN.format(px=_DARKENED, then="CAST(round_even(x * (1 - s * 0.7::DOUBLE) + s * 0.7::DOUBLE * 220.0::DOUBLE, 0) AS INT)")
+
+
+@query("effect_chain", f"WITH {X.PIXELS_SQL}, f AS (SELECT vec_id, s, px AS old, {_FOGGED} AS px FROM pixels), q AS (SELECT vec_id, {_box_sql(False)} AS q FROM f) SELECT vec_id, {_HASHED} FROM q")
+def effect_chain(spark, sf_dir):
+    """Several factors in their order; one that isn't known changes nothing."""
+    return _degraded(spark, sf_dir, "low_light", "unheard_of", "fog", "vehicle_mask")
+
+
 # --- from files ---
 
 #: The sum of all pixels of each frame of each variant; ``k`` numbers frames.
@@ -347,3 +363,50 @@ def dataset_build(spark, sf_dir):
     shown = built.samples.join(lit, ["path", "difficulty_level"])
     kept = shown.select("video_id", "difficulty_level", "split", "n_frames", F.round("start_sec", 6).alias("start_sec"), F.round("end_sec", 6).alias("end_sec"), "type_annotation", "reasoning_annotation", "answer_annotation", "px_total", F.lit(None).cast("string").alias("error"))
     return kept.unionByName(built.failures.select("video_id", "difficulty_level", "error"), allowMissingColumns=True)
+
+
+#: Places and shares of bilinear resizing of n pixels to four, by pixel centres.
+_AT4 = "greatest(0.0::DOUBLE, least({n} - 1.0::DOUBLE, ({i} + 0.5::DOUBLE) * {n} / 4 - 0.5::DOUBLE))"
+_Y, _X = _AT4.format(n="h", i="(i // 4)"), _AT4.format(n="8", i="(i % 4)")
+_PX = lambda y, x: f"px[CAST(least(h - 1, floor({_Y}) + {y}) * 8 + least(7, floor({_X}) + {x}) + 1 AS BIGINT)]"
+_FX, _FY = f"({_X} - floor({_X}))", f"({_Y} - floor({_Y}))"
+_ROW = lambda y: f"({_PX(y, 0)} * (1 - {_FX}) + {_PX(y, 1)} * {_FX})"
+_SMALL = f"list_transform(range(0, 16), lambda i: CAST(round_even({_ROW(0)} * (1 - {_FY}) + {_ROW(1)} * {_FY}, 0) AS INT))"
+
+
+@query("clip_tensors", f"""WITH {X.CLIPS_SQL}, {X.VIDEOS_SQL}, i AS (SELECT *, unnest(range(0, 25)) AS i, len(px) // 8 AS h FROM videos WHERE flaw IS NULL), k AS (SELECT video_id, i AS k, h, list_transform(px, lambda x: CAST((x + 3 * (i * (n - 1) // 24)) % 256 AS INT)) AS px FROM i),
+f AS (SELECT video_id, k, {_SMALL} AS f FROM k)
+SELECT video_id, 400 AS n, CAST(sum(list_sum(f)) AS BIGINT) AS total, CAST(sum(k * list_sum(list_transform(f, lambda x, i: x * i))) AS BIGINT) AS weighted FROM f GROUP BY video_id""")
+def clip_tensors(spark, sf_dir):
+    """25 frames of each file, resized to 4 by 4, as floats in the order (T, C, H, W)."""
+    frames = S.read_frames(spark, [X.video_files(spark, sf_dir)], frames=25).where("error IS NULL")
+    clips = frames.groupBy("video_id", "height", "width", "channels").agg(F.sort_array(F.collect_list(F.struct("frame_idx", "px"))).alias("f")).withColumn("frames", F.col("f.px")).drop("f")  # 25 frames
+    t = V.tensor_clips(V.sample_clips(clips, 25, 4)).select("video_id", "tensor", "shape")
+    level = F.transform("tensor", lambda x: F.round(x.cast("double") * 255).cast("long"))
+    add = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, v: a + v)
+    by_place = F.transform("level", lambda x, i: x * F.floor(i / 16) * (i % 16 + 1))
+    return t.withColumn("level", level).select("video_id", F.aggregate("shape", F.lit(1), lambda a, n: a * n).alias("n"), add(F.col("level")).alias("total"), add(by_place).alias("weighted"))
+
+
+_FILED = "CASE WHEN d % 3 = 0 THEN 'test' WHEN d % 3 = 1 THEN 'val' END"
+
+
+@query("samples_from_files", f"{_CLIPS} SELECT video_id, note AS prompt, '' AS influence_annotation, CASE WHEN d % 4 = 0 THEN 0.0 ELSE level END AS difficulty_level, CASE WHEN d % 5 = 0 THEN 1.0 ELSE se / 10.0::DOUBLE END AS end_sec, CASE WHEN d % 2 = 0 THEN 0 ELSE 1 END AS factors, 'val' AS split FROM clips WHERE {_FILED} = 'val'")
+def samples_from_files(spark, sf_dir):
+    """Samples written as JSON lines with fields left out, and one split of them read with its defaults."""
+    c = X.clips(spark, sf_dir)
+    span = F.when(F.col("d") % 5 != 0, F.array(F.col("ss") / 10.0, F.col("se") / 10.0))
+    profile = F.when(F.col("d") % 2 != 0, F.array(F.array(F.lit("fog"), F.lit("0.4"))))
+    level = F.when(F.col("d") % 4 != 0, F.col("level"))
+    folder = new_folder(spark, "samples")
+    c.select("video_id", F.col("note").alias("prompt"), level.alias("difficulty_level"), span.alias("gt_interval"), profile.alias("degradation_profile"), F.expr(_FILED).alias("split")).write.json(f"{folder}/annotations.jsonl")
+    found = R.load_samples(spark, folder, "val")
+    return found.select("video_id", "prompt", "influence_annotation", "difficulty_level", "gt_interval.end_sec", F.size("degradation_profile").alias("factors"), "split")
+
+
+@query("split_files", f"{_CLIPS}, {_SPLITS} SELECT d, split FROM clips JOIN s ON split_part(video_id, '_diff', 1) = base WHERE split = 'rl_train'")
+def split_files(spark, sf_dir):
+    """Split samples written by split; only the files of the one asked for are read."""
+    stages = Stages(spark, new_folder(spark, "split"))
+    stages.put("samples", lambda: D.split_dataset(X.clips(spark, sf_dir).select("d", "video_id")), ("split",))
+    return D.load_built(spark, stages.folder, "rl_train").select("d", "split")

@@ -207,3 +207,13 @@ def test_matching_on_a_line(spark):
         row = np.minimum.accumulate(row) + np.abs(x - np.array(g[i : i + 2001]))
     one = spark.createDataFrame([([("fog", x) for x in p], [("fog", x) for x in g])], f"p {P.PROFILE_TYPE}, g {P.PROFILE_TYPE}")
     assert one.select(S.reward_observation(F.col("p"), F.col("g")).alias("r")).first().r == pytest.approx((10_000 - 0.5 * row.min()) / 10_000 - 0.3 * 2000)
+
+
+def test_places_come_from_one_evaluation(spark):
+    """Another order and other partitions each time that the rows are evaluated."""
+    rows = spark.range(0, 3000, 1, 9).orderBy(F.rand()).coalesce(3).withColumn("drawn", F.rand())
+    got = corpus.numbered(rows, "at").collect()
+    assert sorted(r.at for r in got) == list(range(3000)) and sorted(r.id for r in got) == list(range(3000))
+    assert corpus.numbered(spark.range(0)).count() == 0
+    pairs = corpus.paired(rows.select(F.col("id").alias("p")), rows.select(F.col("id").alias("r"))).collect()
+    assert sorted(x.sample_id for x in pairs) == list(range(3000)) and len({x.p for x in pairs}) == len({x.r for x in pairs}) == 3000
