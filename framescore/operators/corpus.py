@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,17 +25,50 @@ def ngram_counts(texts: DataFrame, text: str, keys: list[str], most: int = 4) ->
     return each.groupBy(*keys, "n", "gram").agg(F.count("*").alias("count"))
 
 
+def _gram_rows(pairs: DataFrame, sides: tuple[str, ...], most: int) -> DataFrame:
+    """Rows (id, n, gram, h, r) with how often each n-gram of an id stands on either side; 0 for a side that isn't in ``sides``.
+
+    Rows of one id are brought together as texts, and their n-grams counted there, so no n-gram is shuffled to be counted.
+    """
+    texts = pairs.select("id", *(tokens(F.col(c)).alias(c[0]) for c in sides)).groupBy("id").agg(F.collect_list(F.struct(*(c[0] for c in sides))).alias("texts"))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["id", "n", "gram", "h", "r"]
+        for b in batches:
+            kind, rows = b.schema.field("id").type, []
+
+            def out(rows: list) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (kind, pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], names)  # noqa: B023
+
+            for id_, held in zip(b.column("id").to_pylist(), b.column("texts"), strict=True):
+                held = held.as_py()
+                for n in range(1, most + 1):
+                    h, r = Counter(), Counter()
+                    for x in held:
+                        for side, c in (("h", h), ("r", r)):
+                            w = x.get(side) or ()
+                            c.update(map("\x01".join, zip(*(w[i:] for i in range(n)), strict=False)))
+                    rows += [(id_, n, g, h[g], r[g]) for g in h.keys() | r.keys()]
+                if len(rows) >= 50_000:
+                    yield out(rows)
+                    rows = []
+            if rows:
+                yield out(rows)
+
+    kinds = T.StructType([T.StructField("id", pairs.schema["id"].dataType), T.StructField("n", T.IntegerType()), T.StructField("gram", T.StringType()), T.StructField("h", T.LongType()), T.StructField("r", T.LongType())])
+    return texts.mapInArrow(counted, kinds)
+
+
 def cider(pairs: DataFrame, most: int = 4) -> DataFrame:
-    """One row: mean TF-IDF n-gram cosine of ``hyp`` and ``ref`` over pairs with an ``id``; 0 without pairs."""
-    both = pairs.select("id", F.lit("h").alias("side"), F.col("hyp").alias("text")).unionByName(pairs.select("id", F.lit("r").alias("side"), F.col("ref").alias("text")))
-    counts = ngram_counts(both, "text", ["id", "side"], most)
-    one = lambda side: F.sum(F.when(F.col("side") == side, F.col("count")).otherwise(0))
-    met = counts.groupBy("id", "n", "gram").agg(one("h").alias("h"), one("r").alias("r"))
-    df = met.where("r > 0").groupBy("n", "gram").agg(F.count("*").alias("df"))
-    total = pairs.agg(F.count("*").alias("pairs"))
-    n_pairs = total.scalar()
+    """One row: mean TF-IDF n-gram cosine of ``hyp`` and ``ref`` over pairs with an ``id``; 0 without pairs.
+
+    Tables of n-grams are far larger than the files they come from, by which Spark would take that of document frequencies for a small one
+    and broadcast it; so its join is by a shuffle, in which Spark splits n-grams that very many pairs have.
+    """
+    df = _gram_rows(pairs, ("ref",), most).groupBy("n", "gram").agg(F.count("*").alias("df")).hint("merge")
+    n_pairs = pairs.agg(F.count("*").alias("pairs")).scalar()
     idf = F.log((n_pairs + 1) / (F.coalesce("df", F.lit(0)) + 1))
-    weighed = met.join(df, ["n", "gram"], "left").select("id", "n", (F.col("h") * idf).alias("h"), (F.col("r") * idf).alias("r"))
+    weighed = _gram_rows(pairs, ("hyp", "ref"), most).join(df, ["n", "gram"], "left").select("id", "n", (F.col("h") * idf).alias("h"), (F.col("r") * idf).alias("r"))
     cosine = F.sum(F.col("h") * F.col("r")) / ((F.sqrt(F.sum(F.col("h") * F.col("h"))) + 1e-9) * (F.sqrt(F.sum(F.col("r") * F.col("r"))) + 1e-9))
     each = weighed.groupBy("id", "n").agg(cosine.alias("cosine"))
     return each.agg((F.coalesce(F.sum("cosine"), F.lit(0.0)) / most / F.greatest(n_pairs, F.lit(1))).alias("cider"))

@@ -4,6 +4,7 @@ import itertools
 import json
 import random
 import time
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -104,6 +105,30 @@ def test_meteor_and_cider(spark):
     assert corpus.cider(one).first()[0] == 0 and corpus.cider(one.limit(0)).first()[0] == 0
 
 
+def test_cider_broadcasts_no_ngrams(spark, tmp_path):
+    """Against a plain version, ids that repeat and null texts too; n-grams are joined by a shuffle, however small the files."""
+    r = random.Random(3)
+    text = lambda: " ".join(r.choice("abcdefg") for _ in range(r.randrange(12)))
+    rows = [(i // 2 if i < 8 else i, text(), text()) for i in range(60)] + [(70, None, "a b"), (71, "a b", None), (None, "a c d", "a c")]
+    spark.createDataFrame(rows, "id long, hyp string, ref string").coalesce(1).write.parquet(f"{tmp_path}/pairs")
+    pairs = spark.read.parquet(f"{tmp_path}/pairs")
+    met = {}
+    for i, h, t in rows:
+        for side, x in enumerate((h, t)):
+            w = (x or "").split()
+            for n in range(1, 5):
+                for k in range(len(w) - n + 1):
+                    met.setdefault((i, n), {}).setdefault(tuple(w[k : k + n]), [0, 0])[side] += 1
+    df = Counter(g for c in met.values() for g, x in c.items() if x[1])
+    total = 0
+    for c in met.values():
+        v = np.array([np.array(x) * np.log((len(rows) + 1) / (df[g] + 1)) for g, x in c.items()])
+        total += (v[:, 0] * v[:, 1]).sum() / ((np.sqrt((v[:, 0] ** 2).sum()) + 1e-9) * (np.sqrt((v[:, 1] ** 2).sum()) + 1e-9))
+    found = corpus.cider(pairs)
+    assert found.first()[0] == pytest.approx(total / 4 / len(rows))
+    assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_splits_keep_videos_together(spark):
     rows = spark.createDataFrame([(f"vid_{i // 4:03d}_diff{i % 4}",) for i in range(400)], "video_id string")
     s = dataset.split_dataset(rows).withColumn("base", P.base_id(F.col("video_id")))
