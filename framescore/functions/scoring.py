@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
@@ -102,9 +103,9 @@ def rouge_l(hyp: Column, ref: Column) -> Column:
     return F.when((F.size(h) == 0) | (F.size(r) == 0), 0.0).otherwise(2.0 * lcs(h, r) / (F.size(h) + F.size(r)))
 
 
-def jaccard(a: Column, b: Column) -> Column:
-    """Of two texts' lower-cased words: both empty 1, one empty 0."""
-    return let(_jaccard, F.array_distinct(tokens(a)), F.array_distinct(tokens(b)))
+def jaccard(a: Column, b: Column, words: Callable[[Column], Column] = tokens) -> Column:
+    """Of two texts' ``words``, lower-cased ones between white space: both empty 1, one empty 0."""
+    return let(_jaccard, F.array_distinct(words(a)), F.array_distinct(words(b)))
 
 
 def _jaccard(x: Column, y: Column) -> Column:

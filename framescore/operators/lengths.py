@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.parsing import tokens
 from ..functions.scoring import jaccard
 
 #: Sizes of the windows whose repeats go, in their order; clauses that count; percent of words that near-equal ones share.
@@ -89,6 +91,6 @@ def without_repeats_column(t: Column, n: int) -> Column:
     return F.aggregate(places, start, step)["out"]
 
 
-def distinct_clauses_column(clauses: Column, near: float = NEAR / 100) -> Column:
-    """Clauses that share less than ``near`` of their words with each one kept before, as a fold."""
-    return F.aggregate(clauses, F.array().cast("array<string>"), lambda kept, c: F.when(F.exists(kept, lambda k: jaccard(k, c) >= near), kept).otherwise(F.array_append(kept, c)))
+def distinct_clauses_column(clauses: Column, near: float = NEAR / 100, words: Callable[[Column], Column] = tokens) -> Column:
+    """Clauses that share less than ``near`` of their ``words`` with each one kept before, as a fold."""
+    return F.aggregate(clauses, F.array().cast("array<string>"), lambda kept, c: F.when(F.exists(kept, lambda k: jaccard(k, c, words) >= near), kept).otherwise(F.array_append(kept, c)))

@@ -37,3 +37,14 @@ def test_query(spark, duck, name):
         names = [x[0] for x in cur.description]
         assert sorted(names) == cols
         assert got == sorted(tuple(_plain(dict(zip(names, r, strict=True))[c]) for c in cols) for r in cur.fetchall())
+
+
+def test_clauses_on_new_lines(spark, tmp_path):
+    """A line end before, after or alone in a clause, as the SQL has it."""
+    texts = ["a b c d.\na b c d. a b c d", "a. \n. \t\nb;\n", " a  b!\n\na b\n?a b.\x0b", "A b c d e f g.\na B c d e f g", "x. And.\nAnd. x 1.1 x", ""]
+    rows = [(1, i, t) for i, t in enumerate([*texts, "end"])]
+    spark.createDataFrame(rows, "conv_id long, turn int, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = sorted(tuple(r) for r in registry.QUERIES["clause_dedup"](spark, str(tmp_path)).select("id", "clauses", "kept").collect())
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    assert got == sorted(c.execute(f"SELECT id, clauses, kept FROM ({registry.ORACLES['clause_dedup']})").fetchall()) and len(got) == len(texts)
