@@ -13,8 +13,8 @@ so labelled documents score as unlabelled ones do, and the threshold from the fo
 All of it is DataFrame expressions: words, counts within a text and scores are array
 functions within the row, so no word is ever shuffled; only bucket counts are.
 
-The threshold is the quantiles of at most ``SAMPLE`` good and bad rows each, those with the smallest
-hashes of their ids.  Null and empty texts have no words and fail; rows without an id are scored but
+The threshold is made of quantiles over all labelled rows: scores are written once, and sorted over all tasks to find
+those at the wanted places.  Null and empty texts have no words and fail; rows without an id are scored but
 never learned from; repeated rows count each; without labels of both kinds the threshold is minus
 infinity and only the base rules reject.  Kept columns may have any name; one that a result has too is left out.
 """
@@ -30,8 +30,6 @@ from pyspark.sql import functions as F
 
 from . import chunks as C
 
-#: Labelled rows of a kind that the threshold's quantiles are taken from at most.
-SAMPLE = 10_000
 #: Buckets for each root of a byte of the corpus, at least, and at most (two tables of 256 MB; 70 TB of text).
 GROWTH, LEAST, MOST = 8, 8192, 1 << 26
 #: Added to each bucket's count of the target, and to what it would be if the target were like the corpus.
@@ -53,8 +51,8 @@ RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 
 
 def worded(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``row``, a struct of ``keep``, the ``half`` of a row, its ``text`` (null: empty) and ``w``, the words."""
-    row = F.struct(*(F.col(k).alias(k) for k in keep if k not in RESULTS), F.lit(0).alias("__none"))
+    """``row``, a struct of ``keep`` and of the id as ``__id``, the ``half`` of a row, its ``text`` (null: empty) and ``w``, the words."""
+    row = F.struct(*(F.col(k).alias(k) for k in keep if k not in RESULTS), F.col("doc_id").alias("__id"))
     half = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(2)), F.lit(0)).cast("int")
     held = docs.select(row.alias("row"), half.alias("half"), F.coalesce("text", F.lit("")).alias("text")).withColumn("w", F.expr(WORDS))
     return held.withColumn("w", F.expr("IF(w[0] = '', array(), w)"))
@@ -110,17 +108,16 @@ def _good(labels: DataFrame, good: int) -> DataFrame:
     return labels.where(F.col("doc_id").isNotNull() & (F.col("quality") == good)).select("doc_id").distinct()
 
 
-def _few(labels: DataFrame, good: int) -> DataFrame:
-    return F.broadcast(_good(labels, good).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE))  # SAMPLE ids at most
+def _marked(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """``docs`` joined with ``ids``, which are broadcast unless they are very many."""
+    return docs.join(F.broadcast(ids) if ids.count() <= FEW else ids, "doc_id", how)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     """The log ratio of each bucket for documents of either half, from target counts of the other one."""
     buckets = buckets_of(C.text_bytes(docs))
-    good = _good(labels, 1).withColumn("good", F.lit(1))
-    good = F.broadcast(good) if good.count() <= FEW else good
     # the outer form, as for the other Spark makes the array twice, once to filter rows by its size
-    marked = docs.select("doc_id", "text").join(good, "doc_id", "left")
+    marked = _marked(docs.select("doc_id", "text"), _good(labels, 1).withColumn("good", F.lit(1)), "left")
     each = grams(worded(marked, ("good",))).select("half", "row.good", F.explode_outer("g").alias("g"))
     count = lambda half: F.count(F.when(F.col("half") == half, F.col("good"))).alias(f"t{half}")
     found = each.where("g IS NOT NULL").groupBy(F.expr(_bucket("g", buckets)).alias("g")).agg(F.count("*").alias("raw"), count(0), count(1)).toArrow()  # ``buckets`` rows at most
@@ -146,22 +143,45 @@ def scored(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     return held.withColumn("score", F.when(F.size("g") > 0, total / F.size("g")).otherwise(0.0)).drop("g", "ratio0", "ratio1")
 
 
-def threshold(docs: DataFrame, labels: DataFrame, weights: np.ndarray) -> float:
-    """Between the scores of labelled good and bad rows, and below ``KEEP`` of the good."""
-    few = _few(labels, 1).withColumn("good", F.lit(1)).unionByName(_few(labels, 0).withColumn("good", F.lit(0)))
-    found = scored(grams(worded(docs.select("doc_id", "text").join(F.broadcast(few), "doc_id"), ("good",))), weights)
-    cut = {r["good"]: r["q"] for r in found.groupBy("row.good").agg(F.percentile("score", F.array(F.lit(1 - KEEP), F.lit(0.9))).alias("q")).collect()}
-    if len(cut) < 2:
+def quantile(scores: DataFrame, at: float) -> float | None:
+    """The exact quantile of ``score``, between neighbours as ``percentile`` has it; null without rows.
+
+    The rows are sorted over all tasks and written with their places; of the tasks' counts and the one or two scores
+    wanted, nothing else comes to the driver.
+    """
+    placed = C.checkpoint(scores.select("score").orderBy("score").withColumn("place", F.monotonically_increasing_id()))
+    parts = sorted((r["part"], r["count"]) for r in placed.groupBy(F.shiftright("place", 33).alias("part")).count().collect())
+    rows = sum(n for _, n in parts)
+    if not rows:
+        return None
+
+    def place(k: int) -> int:
+        for part, n in parts:
+            if k < n:
+                return part << 33 | k
+            k -= n
+
+    where = at * (rows - 1)
+    low, high = math.floor(where), math.ceil(where)
+    found = {r["place"]: r["score"] for r in placed.where(F.col("place").isin(place(low), place(high))).collect()}
+    C.discard(placed)
+    a, b = found[place(low)], found[place(high)]
+    return a if a == b else (high - where) * a + (where - low) * b
+
+
+def threshold(scores: DataFrame, labels: DataFrame) -> float:
+    """Between the ``score`` by ``doc_id`` of labelled good and bad rows, and below ``KEEP`` of the good."""
+    good, bad = (quantile(_marked(scores, _good(labels, k), "inner"), at) for k, at in ((1, 1 - KEEP), (0, 0.9)))
+    if good is None or bad is None:
         return -math.inf
-    good, bad = cut[1][0], cut[0][1]
     return (good + bad) / 2 if bad < good else good
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Per row: ``keep``, base measures, ``base_failed``, ``score`` and ``kept``."""
-    weights = fit(docs, labels)
-    cut = threshold(docs, labels, weights)
-    found = scored(grams(base_columns(worded(docs, keep))), weights)
+    """Per row: ``keep``, base measures, ``base_failed``, ``score`` and ``kept``.  Rows are scored and written once; threshold and result read them."""
+    found = scored(grams(base_columns(worded(docs, keep))), fit(docs, labels)).drop("half", "text")
+    found = C.checkpoint(found)
+    cut = threshold(found.select(F.col("row.__id").alias("doc_id"), "score"), labels)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     found = found.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= F.lit(cut)))
     return found.select(*(F.col("row")[k].alias(k) for k in keep if k not in RESULTS), *RESULTS)

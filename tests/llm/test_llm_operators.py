@@ -447,6 +447,20 @@ def test_quality_against_a_plain_version(spark):
     assert 100 < sum(x.kept for x in got.values()) < 180
 
 
+def test_quality_threshold_of_all_labelled_rows(spark):
+    """Of 12,000 good and 11,000 bad rows none is left out; ties, one row, and none of a kind."""
+    r = np.random.default_rng(5)
+    score = np.concatenate([r.normal(1, 1, 12_000), r.normal(-1, 1, 11_000)])
+    score[:3000] = np.round(score[:3000], 1)
+    rows = spark.createDataFrame([(i, float(x)) for i, x in enumerate(score)], "doc_id long, score double").repartition(7)
+    labels = spark.createDataFrame([(i, int(i < 12_000)) for i in range(len(score))] + [(None, 1), (10**6, 0)], "doc_id long, quality int")
+    low, high = np.quantile(score[:12_000], 1 - quality.KEEP), np.quantile(score[12_000:], 0.9)
+    assert quality.threshold(rows, labels) == pytest.approx((low + high) / 2 if high < low else low, abs=1e-12)
+    assert quality.threshold(rows, labels.where("quality = 1")) == -np.inf
+    assert quality.quantile(rows.where("doc_id = 5"), 0.9) == score[5] and quality.quantile(rows.limit(0), 0.5) is None
+    assert quality.quantile(rows, 0.3) == rows.agg(F.percentile("score", F.lit(0.3))).first()[0]
+
+
 def test_repeats_in_a_very_long_text(spark):
     """A million different words and one repeated window: hashes alone are too short to tell them apart."""
     n = 1_000_000
