@@ -54,8 +54,14 @@ def sql(table: str, fixture: list[dict[str, str]], name: str) -> str:
     return ", ".join(out)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt out evenly, a few tasks a core.  A file of one number a row is small and read by few tasks, while what
+    a query makes of a row takes far longer than to send it."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return steps(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id"), RESPONSES)
+    return steps(spread(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id")), RESPONSES)
 
 
 def clips(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,3 +48,13 @@ def test_clauses_on_new_lines(spark, tmp_path):
     c = duckdb.connect()
     c.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
     assert got == sorted(c.execute(f"SELECT id, clauses, kept FROM ({registry.ORACLES['clause_dedup']})").fetchall()) and len(got) == len(texts)
+
+
+@pytest.mark.parametrize("name", ["ro_reward", "total_reward", "eval_bundle"])
+def test_rows_of_a_small_file_are_dealt_out(spark, name):
+    """A file that one task reads: what is made of its rows is done by several, and parsing once a row."""
+    df = registry.QUERIES[name](spark, SF)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobinPartitioning" in plan
+    if name == "ro_reward":
+        assert plan.count("regexp_extract_all") == 5
