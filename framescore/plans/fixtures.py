@@ -69,9 +69,11 @@ def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each turn of a conversation with the next one."""
+    """Each turn of a conversation with the next one.  Conversations are dealt out by as many tasks as ``spread`` has, for the same reason."""
     by = Window.partitionBy("conv_id").orderBy("turn")
-    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", F.col("text").alias("hyp"), F.lead("text").over(by).alias("ref"))
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "text")
+    c = c.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "conv_id")
+    c = c.select("conv_id", "turn", F.col("text").alias("hyp"), F.lead("text").over(by).alias("ref"))
     return c.where("ref IS NOT NULL").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "hyp", "ref")
 
 

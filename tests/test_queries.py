@@ -58,3 +58,13 @@ def test_rows_of_a_small_file_are_dealt_out(spark, name):
     assert "RoundRobinPartitioning" in plan
     if name == "ro_reward":
         assert plan.count("regexp_extract_all") == 5
+
+
+@pytest.mark.parametrize("name", ["meteor", "eval_bundle_full"])
+def test_few_conversations_are_dealt_out(spark, name):
+    """Neither the size of the file nor adaptive execution puts all pairs of a small table into one task; nothing but one exchange moves them."""
+    plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "Window" in plan
+    assert plan.split("Window", 1)[1].count("Exchange hashpartitioning(conv_id") >= 1
+    if name == "meteor":
+        assert plan.count("Exchange") == 1
