@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -87,16 +87,31 @@ def meteor_of(hyp: str | None, ref: str | None, synonyms: dict[str, str] | None
     return p * q / (alpha * p + (1 - alpha) * q) * (1 - gamma * (chunks / matches) ** beta)
 
 
+def _each_once(rows: Iterable[tuple], score: Callable[..., float]) -> pd.Series:
+    """``score`` of each row; equal rows of a batch are scored once."""
+    known: dict[tuple, float] = {}
+    return pd.Series([known[x] if x in known else known.setdefault(x, score(*x)) for x in rows], dtype="float64")
+
+
 @F.pandas_udf(T.DoubleType())
 def meteor(hyp: pd.Series, ref: pd.Series) -> pd.Series:
-    return pd.Series([meteor_of(h, r) for h, r in zip(hyp, ref, strict=True)], dtype="float64")
+    return _each_once(zip(hyp, ref, strict=True), meteor_of)
+
+
+def meteor_by(groups: dict[str, str]) -> Callable[..., Column]:
+    """METEOR with one table of synonyms, the group of each stem, for all pairs."""
+
+    def score(hyp: pd.Series, ref: pd.Series) -> pd.Series:
+        return _each_once(zip(hyp, ref, strict=True), lambda h, r: meteor_of(h, r, groups))
+
+    return F.pandas_udf(score, T.DoubleType())
 
 
 @F.pandas_udf(T.DoubleType())
 def meteor_with_groups(hyp: pd.Series, ref: pd.Series, groups: pd.Series) -> pd.Series:
     """``groups`` has (stem, group) of the words of either text."""
-    held = [None if g is None else {x["stem"]: x["name"] for x in g} for g in groups]
-    return pd.Series([meteor_of(h, r, g or {}) for h, r, g in zip(hyp, ref, held, strict=True)], dtype="float64")
+    held = [None if g is None else tuple(sorted((x["stem"], x["name"]) for x in g)) for g in groups]
+    return _each_once(zip(hyp, ref, held, strict=True), lambda h, r, g: meteor_of(h, r, dict(g or ())))
 
 
 @F.pandas_udf(T.StringType())
@@ -105,15 +120,23 @@ def stems(words: pd.Series) -> pd.Series:
     return words.map(stem, na_action="ignore")
 
 
-def meteor_scores(pairs: DataFrame, synonyms: DataFrame | None = None) -> DataFrame:
+#: Stems in groups that each task holds at most.
+FEW_STEMS = 10_000
+
+
+def meteor_scores(pairs: DataFrame, synonyms: DataFrame | None = None, few: int = FEW_STEMS) -> DataFrame:
     """``pairs`` (id, hyp, ref, others) with ``meteor``, where words match exactly, by stem, or by a synonym.
 
-    ``synonyms`` has rows (word, name), the name of a group of words; a stem that is in several groups goes by the smallest name.  Each pair
-    gets the groups of its own words by a join on stems, so the table may be of any size and is never held whole.
+    ``synonyms`` has rows (word, name), the name of a group of words; a stem that is in several groups goes by the smallest name.  A table of
+    up to ``few`` stems goes to each task, and pairs aren't moved; of a larger one each pair gets the groups of its own words by a join on stems, so it may be
+    of any size and is never held whole.
     """
     if synonyms is None:
         return pairs.withColumn("meteor", meteor("hyp", "ref"))
     group = synonyms.where("word IS NOT NULL AND name IS NOT NULL").groupBy(stems(F.lower("word")).alias("stem")).agg(F.min("name").alias("name"))
+    held = group.limit(few + 1).collect()
+    if len(held) <= few:
+        return pairs.withColumn("meteor", meteor_by({x["stem"]: x["name"] for x in held})("hyp", "ref"))
     both = F.array_distinct(F.concat(tokens(F.coalesce("hyp", F.lit(""))), tokens(F.coalesce("ref", F.lit("")))))
     words = pairs.select("id", F.explode(both).alias("word"))
     # each distinct word is stemmed and looked up once, however many pairs have it

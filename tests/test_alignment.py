@@ -83,3 +83,43 @@ def test_meteor_with_synonyms(spark):
     assert got[1] == pytest.approx(p * (1 - 0.5 * (1 / 2) ** 3)) and got[2] > 0 and got[3] == got[4] == 0
     plain = {r.id: r.meteor for r in corpus.meteor_scores(spark.createDataFrame(rows, "id long, hyp string, ref string")).collect()}
     assert plain[1] < got[1] and plain[5] == got[5]
+
+
+def test_long_states_cost_no_pass_over_the_text():
+    """What words have used up is one number, kept up to date; a state of 60 by 60 words holds no count a word and level."""
+    import sys
+
+    own = random.Random(1)
+    h, r = ([(w, w // 2) for w in (own.randint(0, 9) for _ in range(60))] for _ in range(2))
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += frame.f_code.co_filename == A.__file__
+
+    sys.setprofile(count)
+    try:
+        A.align(h, r)
+    finally:
+        sys.setprofile(None)
+    assert calls < 50 * A.BUDGET
+
+
+def test_equal_pairs_are_scored_once():
+    import pandas as pd
+
+    asked = []
+    got = corpus._each_once([("a", "b"), ("a", "b"), (None, "b"), ("a", "b"), (None, "b")], lambda h, r: asked.append((h, r)) or len(asked))
+    assert asked == [("a", "b"), (None, "b")] and got.tolist() == [1, 1, 2, 1, 2] and isinstance(got, pd.Series)
+
+
+def test_synonyms_of_a_small_table_move_no_pairs(spark):
+    """Up to ``few`` stems, pairs are neither shuffled nor joined; beyond, they are, with the same scores."""
+    same = spark.createDataFrame([("Autos", "car"), ("cars", "car"), ("stop", "b"), ("halted", "b"), ("stop", "a"), (None, "x")], "word string, name string")
+    rows = [(i, *t) for i, t in enumerate([("the car stopped", "the auto halts"), ("car car", "autos"), (None, "car"), ("", ""), ("fog stop", "fog halt"), ("stop", None)] * 3)]
+    pairs = spark.createDataFrame(rows, "id long, hyp string, ref string")
+    small, large = corpus.meteor_scores(pairs, same), corpus.meteor_scores(pairs, same, few=3)
+    assert "Join" in large._jdf.queryExecution().executedPlan().toString()
+    plan = small._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    assert sorted(small.select("id", "meteor").collect()) == sorted(large.select("id", "meteor").collect())
