@@ -19,6 +19,28 @@ WINDOWS, MOST_CLAUSES, NEAR = (3, 4, 5), 50, 85
 _ENDS = re.compile("[.!?;]")
 
 
+def _numbered(ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each window of ``n``, equal for equal windows, and how often each number stands.
+
+    A window is one integer, a digit for each of its ids; where it would outgrow 63 bits, what there is so far is numbered anew.
+    """
+    places = len(ids) - n + 1
+    base = int(ids.max()) + 1
+    window, most = ids[:places].astype(np.int64), base
+    for k in range(1, n):
+        if most * base >= 1 << 63:
+            window = np.unique(window, return_inverse=True)[1].ravel()
+            most = places
+        window = window * base + ids[k : k + places]
+        most *= base
+    order = np.argsort(window, kind="stable")
+    ordered = window[order]
+    first = np.append(True, ordered[1:] != ordered[:-1])
+    number = np.empty(places, np.int64)
+    number[order] = np.cumsum(first) - 1
+    return number, np.diff(np.append(np.flatnonzero(first), places))
+
+
 def _fresh(ids: np.ndarray, n: int) -> np.ndarray:
     """Which places of a row of word ids stay when repeats of windows of ``n`` are cut out.
 
@@ -27,8 +49,7 @@ def _fresh(ids: np.ndarray, n: int) -> np.ndarray:
     stays = np.ones(len(ids), bool)
     if len(ids) <= n:
         return stays
-    _, window, count = np.unique(np.lib.stride_tricks.sliding_window_view(ids, n), axis=0, return_inverse=True, return_counts=True)
-    window = window.ravel()
+    window, count = _numbered(ids, n)
     twice = np.flatnonzero(count[window] > 1)
     met, resume = np.zeros(len(count), bool), 0
     for at, w in zip(twice.tolist(), window[twice].tolist(), strict=True):
@@ -47,25 +68,33 @@ def _clause_words(text: str) -> int:
     for part in _ENDS.split(text):
         words = part.split()
         own = set(words)
-        if not own or any(100 * len(own & other) >= NEAR * len(own | other) for other in sets):
+        if not own:
             continue
-        total += len(words)
-        sets.append(own)
-        if len(sets) == MOST_CLAUSES:
-            break
+        # sets whose sizes differ too much can't be near; of others that share c words, 100 c >= NEAR (both sizes - c) is asked
+        n = len(own)
+        for other in sets:
+            m = len(other)
+            if 100 * (n if n < m else m) >= NEAR * (m if n < m else n) and (100 + NEAR) * len(own & other) >= NEAR * (n + m):
+                break
+        else:
+            total += len(words)
+            sets.append(own)
+            if len(sets) == MOST_CLAUSES:
+                break
     return total
 
 
 def _length(text: str | None) -> int:
-    words = np.array((text or "").lower().split(), dtype=object)
-    if not len(words):
+    words = (text or "").lower().split()
+    if not words:
         return 0
-    number = {w: i for i, w in enumerate(dict.fromkeys(words))}
-    ids, left = np.array([number[w] for w in words]), words
+    number: dict[str, int] = {}
+    ids = np.array([number.setdefault(w, len(number)) for w in words])
+    at = np.arange(len(words))
     for n in WINDOWS:
         keep = _fresh(ids, n)
-        ids, left = ids[keep], left[keep]
-    return min(len(words), _clause_words(" ".join(left)))
+        ids, at = ids[keep], at[keep]
+    return min(len(words), _clause_words(" ".join([words[i] for i in at.tolist()])))
 
 
 @F.pandas_udf(T.LongType())

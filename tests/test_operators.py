@@ -242,3 +242,21 @@ def test_places_come_from_one_evaluation(spark):
     assert corpus.numbered(spark.range(0)).count() == 0
     pairs = corpus.paired(rows.select(F.col("id").alias("p")), rows.select(F.col("id").alias("r"))).collect()
     assert sorted(x.sample_id for x in pairs) == list(range(3000)) and len({x.p for x in pairs}) == len({x.r for x in pairs}) == 3000
+
+
+def test_windows_as_single_integers():
+    """Windows are numbered without sorting rows of ids; equal windows have equal numbers, those too whose digits don't fit 63 bits."""
+    import random
+
+    import numpy as np
+
+    from framescore.operators import lengths
+
+    r = random.Random(3)
+    for n in (3, 4, 5):
+        for top in (3, 1 << 20):
+            ids = np.array([r.choice([0, 1, 2, top, r.randint(0, top)]) for _ in range(300)])
+            number, count = lengths._numbered(ids, n)
+            windows = [tuple(ids[i : i + n].tolist()) for i in range(len(ids) - n + 1)]
+            assert len(number) == len(windows) and len(set(zip(windows, number.tolist(), strict=True))) == len(set(windows)) == len(count)
+            assert all(count[k] == windows.count(w) for w, k in zip(windows, number.tolist(), strict=True))

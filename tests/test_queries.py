@@ -68,3 +68,9 @@ def test_few_conversations_are_dealt_out(spark, name):
     assert plan.split("Window", 1)[1].count("Exchange hashpartitioning(conv_id") >= 1
     if name == "meteor":
         assert plan.count("Exchange") == 1
+
+
+@pytest.mark.parametrize("name", ["meteor_alignment", "effective_length"])
+def test_events_and_documents_are_dealt_out(spark, name):
+    plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobinPartitioning" in plan and plan.count("Exchange") == 1
