@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import parsing as P
 from ..operators import dataset as D
@@ -315,10 +318,10 @@ _VARIANTS = (
 )
 
 
-def _byte_sum(px):
+@F.pandas_udf(T.LongType())
+def _byte_sum(px: pd.Series) -> pd.Series:
     """The sum of the bytes of a binary."""
-    hexed = F.hex(px)
-    return F.aggregate(F.sequence(F.lit(1), F.length(px)), F.lit(0).cast("long"), lambda a, i: a + F.conv(F.substring(hexed, 2 * i - 1, F.lit(2)), 16, 10).cast("long"))
+    return pd.Series([None if x is None else int(np.frombuffer(x, np.uint8).sum(dtype=np.int64)) for x in px], dtype="Int64")
 
 
 @query("video_scan", f"""WITH {X.CLIPS_SQL}, {X.VIDEOS_SQL}, i AS (SELECT *, unnest(range(0, 25)) AS i FROM videos WHERE flaw IS NULL), p AS (SELECT *, i * (n - 1) // 24 AS k FROM i)

@@ -88,7 +88,7 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = F.slice("embedding", F.lit(1), F.size("embedding") - F.size("embedding") % 8)
     px = F.transform(whole, lambda x: F.least(F.lit(255), F.floor(F.abs(x.cast("double")) * 255)).cast("int"))
     s = F.element_at(F.array(F.lit(0.2), F.lit(0.4), F.lit(0.8)), (F.col("vec_id") % 3 + 1).cast("int"))
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", px.alias("px"), s.alias("s"))
+    return spread(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")).select("vec_id", px.alias("px"), s.alias("s"))
 
 
 def binary(px: Column) -> Column:

@@ -27,8 +27,8 @@ _TYPES = [("video_id", pa.string()), ("path", pa.string()), *((c, pa.int32()) fo
 CLIP = "video_id string, frames array<binary>, height int, width int, channels int"
 #: Frames that a video has at least.
 LEAST = 25
-#: Bytes of files in a partition, of pixels in a batch.
-PARTITION_BYTES, BATCH_BYTES = 128 << 20, 8 << 20
+#: Bytes of files in a partition, of pixels in a batch; what opening a file counts as.
+PARTITION_BYTES, BATCH_BYTES, OPEN_BYTES = 128 << 20, 8 << 20, 256 << 10
 
 
 class RawCodec:
@@ -80,8 +80,8 @@ class Run(InputPartition):
 
 
 class FrameReader(DataSourceReader):
-    def __init__(self, codec, folders: list[str], suffix: str, frames: int | None, pixels: bool, least: int, partition_bytes: int) -> None:
-        self.codec, self.folders, self.suffix, self.frames, self.pixels, self.least, self.partition_bytes = codec, folders, suffix, frames, pixels, least, partition_bytes
+    def __init__(self, codec, folders: list[str], suffix: str, frames: int | None, pixels: bool, least: int, partition_bytes: int, tasks: int = 1) -> None:
+        self.codec, self.folders, self.suffix, self.frames, self.pixels, self.least, self.partition_bytes, self.tasks = codec, folders, suffix, frames, pixels, least, partition_bytes, tasks
         self.only: set[str] | None = None
 
     def listed(self) -> Iterator[tuple[str, int]]:
@@ -96,16 +96,24 @@ class FrameReader(DataSourceReader):
                     yield prefix + x.path, x.size or 0
 
     def partitions(self) -> list[Run]:
+        """Files are put together up to ``partition_bytes``, or less where there would be fewer than ``tasks`` partitions.
+
+        To open a file takes time too, so each counts as ``OPEN_BYTES`` more, and of very many small ones no task gets them all.
+        """
+        listed = list(self.listed())
+        cost = sum(n + OPEN_BYTES for _, n in listed)
+        room = min(self.partition_bytes, -(-cost // self.tasks)) if self.tasks > 1 else self.partition_bytes
         out, held, size = [], [], 0
-        for path, n in self.listed():
+        for path, n in listed:
             # what is sampled reads little of a file, however long
             runs = 1 if self.frames is not None or not self.pixels else max(1, -(-n // self.partition_bytes))
             for k in range(runs):
-                if held and size + n // runs > self.partition_bytes:
+                more = n // runs + OPEN_BYTES
+                if held and size + more > max(room, OPEN_BYTES):
                     out.append(Run(held))
                     held, size = [], 0
                 held.append((path, k, runs))
-                size += n // runs
+                size += more
         return [*out, Run(held)] if held or not out else out
 
     def read(self, partition: Run) -> Iterator[pa.RecordBatch]:
@@ -186,7 +194,7 @@ class ClipWriter(DataSourceArrowWriter):
 
 
 class Videos(DataSource):
-    """Options: ``path`` (a folder or a JSON list of some), ``suffix``, ``frames`` (how many, evenly spread; all if left out), ``pixels`` (false: one row a video, its head alone), ``least``, ``partitionBytes``."""
+    """Options: ``path`` (a folder or a JSON list of some), ``suffix``, ``frames`` (how many, evenly spread; all if left out), ``pixels`` (false: one row a video, its head alone), ``least``, ``partitionBytes``, ``tasks`` (partitions that many files are dealt out to at least)."""
 
     codec: object = RawCodec()
 
@@ -205,7 +213,7 @@ class Videos(DataSource):
         o = self.options
         frames = o.get("frames")
         kind = FilteringReader if o.get("filters", "false") == "true" else FrameReader
-        return kind(self.codec, self._folders(), o.get("suffix", ".mp4"), None if frames is None else int(frames), o.get("pixels", "true").lower() == "true", int(o.get("least", LEAST)), int(o.get("partitionBytes", PARTITION_BYTES)))
+        return kind(self.codec, self._folders(), o.get("suffix", ".mp4"), None if frames is None else int(frames), o.get("pixels", "true").lower() == "true", int(o.get("least", LEAST)), int(o.get("partitionBytes", PARTITION_BYTES)), int(o.get("tasks", 1)))
 
     def writer(self, schema, overwrite: bool) -> ClipWriter:
         return ClipWriter(self.codec, self._folders()[0], self.options.get("suffix", ".mp4"))
@@ -224,6 +232,7 @@ def read_frames(spark: SparkSession, folders: list[str], codec=None, frames: int
     ``frame_idx`` counts a video's rows, of which ``given`` there are, from 0; ``place`` is the frame's number in the video. With an ``error``, -1 and nulls.
     """
     found = spark.read.format(register(spark, codec)).option("path", json.dumps(folders)).option("pixels", str(pixels).lower())
+    found = found.option("tasks", 4 * spark.sparkContext.defaultParallelism)
     found = found.option("filters", spark.conf.get("spark.sql.python.filterPushdown.enabled", "false"))
     return (found if frames is None else found.option("frames", frames)).options(**options).load()
 

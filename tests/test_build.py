@@ -200,3 +200,23 @@ def test_only_one_split_is_read(spark, folder, notes, tmp_path):
         dataset.load_built(spark, f"file://{tmp_path}/out", "none")
     shown = dataset.with_pixels(one, built.frames).collect()
     assert shown and all(len(r.frames) == 25 and r.frames[0] == {(x.path, x.difficulty_level): x.px for x in built.frames.where("frame_idx = 0").collect()}[r.path, r.difficulty_level] for r in shown)
+
+
+def test_many_small_files_are_dealt_out(tmp_path):
+    """Each file counts for more than its bytes, so that no task opens very many; a few files too are read by several tasks."""
+    for i in range(1200):
+        (tmp_path / f"v{i:04d}.mp4").write_bytes(b"x" * 100)
+
+    def dealt(tasks):
+        return [len(p.files) for p in videos.FrameReader(None, [str(tmp_path)], ".mp4", 25, True, 25, videos.PARTITION_BYTES, tasks).partitions()]
+
+    assert sum(dealt(1)) == sum(dealt(24)) == 1200
+    assert len(dealt(1)) > 1 and len(dealt(24)) >= 24 and max(dealt(24)) <= 51
+
+
+def test_byte_sums(spark):
+    from framescore.plans.build import _byte_sum
+
+    rows = spark.createDataFrame([(0, b"\x00\xff\x01"), (1, b""), (2, None), (3, b"\xff" * 300)], "i int, px binary")
+    plan = rows.select("i", _byte_sum("px").alias("n"))
+    assert [r.n for r in plan.orderBy("i").collect()] == [256, 0, None, 76500]
