@@ -220,3 +220,10 @@ def test_byte_sums(spark):
     rows = spark.createDataFrame([(0, b"\x00\xff\x01"), (1, b""), (2, None), (3, b"\xff" * 300)], "i int, px binary")
     plan = rows.select("i", _byte_sum("px").alias("n"))
     assert [r.n for r in plan.orderBy("i").collect()] == [256, 0, None, 76500]
+
+
+def test_vectors_are_dealt_out(spark):
+    """A small file of vectors, of which videos and frames are made, isn't left to the one task that reads it."""
+    from framescore.plans import fixtures
+
+    assert "RoundRobinPartitioning" in fixtures.videos(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
