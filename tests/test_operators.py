@@ -260,3 +260,11 @@ def test_windows_as_single_integers():
             windows = [tuple(ids[i : i + n].tolist()) for i in range(len(ids) - n + 1)]
             assert len(number) == len(windows) and len(set(zip(windows, number.tolist(), strict=True))) == len(set(windows)) == len(count)
             assert all(count[k] == windows.count(w) for w, k in zip(windows, number.tolist(), strict=True))
+
+
+def test_bundle_broadcasts_no_ngrams(spark):
+    """The metric bundle takes CIDEr by its own step, in which n-grams aren't broadcast."""
+    from framescore.plans import registry
+
+    plan = registry.QUERIES["eval_bundle_full"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
