@@ -51,11 +51,11 @@ RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 
 
 def worded(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``row``, a struct of ``keep`` and of the id as ``__id``, the ``half`` of a row, its ``text`` (null: empty) and ``w``, the words."""
+    """``row``, a struct of ``keep`` and of the id as ``__id``, the ``half`` of a row, its ``text`` (null: empty), ``w``, the words, and ``h``, their hashes."""
     row = F.struct(*(F.col(k).alias(k) for k in keep if k not in RESULTS), F.col("doc_id").alias("__id"))
     half = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(2)), F.lit(0)).cast("int")
     held = docs.select(row.alias("row"), half.alias("half"), F.coalesce("text", F.lit("")).alias("text")).withColumn("w", F.expr(WORDS))
-    return held.withColumn("w", F.expr("IF(w[0] = '', array(), w)"))
+    return held.withColumn("w", F.expr("IF(w[0] = '', array(), w)")).withColumn("h", F.expr("transform(w, x -> xxhash64(x))"))
 
 
 def base_columns(docs: DataFrame) -> DataFrame:
@@ -65,7 +65,7 @@ def base_columns(docs: DataFrame) -> DataFrame:
     # equal neighbours are repeats, and their places, sorted again, give the words they cover.
     docs = docs.withColumn("n_words", F.size("w").cast("long"))
     docs = docs.withColumn("room", F.expr("shiftleft(1L, CAST(ceil(log2(n_words + 2)) AS int))"))
-    docs = docs.withColumn("s", F.expr("IF(n_words < 3, array(), sort_array(transform(sequence(0, CAST(n_words AS int) - 3), i -> xxhash64(w[i], w[i + 1], w[i + 2]) & -room | CAST(i AS bigint))))"))
+    docs = docs.withColumn("s", F.expr("IF(n_words < 3, array(), sort_array(transform(sequence(0, CAST(n_words AS int) - 3), i -> xxhash64(h[i], h[i + 1], h[i + 2]) & -room | CAST(i AS bigint))))"))
     docs = docs.withColumn("k", F.expr("IF(n_words < 4, array(), filter(sequence(0, CAST(n_words AS int) - 4), k -> (s[k] ^ s[k + 1]) BETWEEN 0 AND room - 1))"))
     docs = docs.withColumn("again", F.expr("array_distinct(flatten(transform(k, k -> array(s[k], s[k + 1]))))"))
     docs = docs.withColumn("s", F.expr("sort_array(transform(again, x -> struct(w[CAST(x & (room - 1) AS int)] AS a, w[CAST(x & (room - 1) AS int) + 1] AS b, w[CAST(x & (room - 1) AS int) + 2] AS c, x & (room - 1) AS i)))"))
@@ -79,6 +79,7 @@ def base_columns(docs: DataFrame) -> DataFrame:
         "half",
         "text",
         "w",
+        "h",
         "n_words",
         F.expr("CAST(char_length(concat_ws('', w)) AS bigint)").alias("word_chars"),
         F.expr("CAST(char_length(regexp_replace(text, '[^#*$%&|<>]+', '')) AS bigint)").alias("n_symbols"),
@@ -95,7 +96,7 @@ def buckets_of(n_bytes: int) -> int:
 def grams(docs: DataFrame) -> DataFrame:
     """Replaces ``w`` by ``g``, the hashes of a text's n-grams: its words, then pairs of neighbours."""
     split = f"flatten(transform(w, x -> IF(x RLIKE '{UNSPACED}', filter(split(x, ''), y -> y <> ''), array(x))))"
-    words = docs.withColumn("h", F.expr(f"transform(IF(octet_length(text) > char_length(text) AND text RLIKE '{UNSPACED}', {split}, w), x -> xxhash64(x))"))
+    words = docs.withColumn("h", F.expr(f"IF(octet_length(text) > char_length(text) AND text RLIKE '{UNSPACED}', transform({split}, x -> xxhash64(x)), h)"))
     # a last word pairs with nothing
     return words.withColumn("g", F.expr("concat(h, transform(h, (x, i) -> xxhash64(x, get(h, i + 1))))")).drop("h", "w")
 

@@ -550,3 +550,12 @@ def test_pipeline(spark, tmp_path):
         bins[x.sequence_id].append((x.offset, x.length))
     for b in bins.values():
         assert [o for o, _ in sorted(b)] == list(np.cumsum([0, *(n for _, n in sorted(b))])[:-1]) and sum(n for _, n in b) <= 4096
+
+
+def test_op5_hashes_each_word_once(spark):
+    """Windows of three are hashed from their words' hashes, which the n-grams use too; no window hashes words again."""
+    from framescore.llm import quality
+
+    docs = spark.createDataFrame([(1, "a b c a b c"), (2, None)], "doc_id long, text string")
+    plan = quality.grams(quality.base_columns(quality.worded(docs)))._jdf.queryExecution().analyzed().toString()
+    assert "xxhash64(w#" not in plan and plan.count("xxhash64(h#") >= 1
