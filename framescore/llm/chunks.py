@@ -75,22 +75,25 @@ def slices(batch: pa.RecordBatch, most: int, col: str = "text"):
         i = j
 
 
-#: Keys that are broadcast by ``heavy_join`` at most.
-HEAVY = 1000
+#: Keys that are broadcast by ``heavy_join`` at most; rows that a task takes of one key without any harm.
+HEAVY, LIGHT = 1000, 1000
 
 
 def heavy_join(rows: DataFrame, one: DataFrame, keys: list[str], count: str, total: int | None = None) -> DataFrame:
     """Inner join of ``rows`` with ``one``, which has a row for each of their keys and in ``count`` how many of ``rows`` have it.
 
-    A key with more than a ``HEAVY``-th of all rows, so one of ``HEAVY`` at most, is broadcast, and its rows
-    stay where they are; all others have too few rows to fill a task.
+    A key with more than a ``HEAVY``-th of all rows, so one of ``HEAVY`` at most, and more than ``LIGHT`` is broadcast, and its rows
+    stay where they are; all others have too few rows to fill a task.  Where there is no such key it is a plain join: each
+    broadcast costs the driver a thread, a job and a plan of its own.
     """
-    if total is None:
-        total = one.agg(F.sum(count)).first()[0] or 0
-    heavy = F.broadcast(one.where(F.col(count) > total / HEAVY).withColumn("heavy", F.lit(True)))
-    there = rows.join(heavy, keys)
-    rest = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(one.where(F.col(count) <= total / HEAVY), keys)
-    return there.drop("heavy").unionByName(rest)
+    most, all_rows = one.agg(F.max(count), F.sum(count)).first()
+    bar = max(LIGHT, (total if total is not None else all_rows or 0) / HEAVY)
+    if (most or 0) <= bar:
+        return rows.join(one, keys)
+    heavy = checkpoint(one.where(F.col(count) > bar))
+    there = rows.join(F.broadcast(heavy), keys)
+    rest = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(one.where(F.col(count) <= bar), keys)
+    return there.unionByName(rest)
 
 
 def chunked(docs: DataFrame, n_chunks: int, id_col: str = "doc_id", col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from framescore.llm import chunks as C
 
@@ -40,3 +41,19 @@ def test_replies_go_to_their_keys():
         if len(order) > 1:  # a bucket that sends nothing back has no repeated key
             some = C.replied(reply.slice(1), keys, buckets)
             assert not (some & ~bit).any()
+
+
+def test_heavy_join_is_plain_without_heavy_keys(spark, monkeypatch):
+    """Only keys that could fill a task are broadcast; where there are none, the driver has no more to plan than for one join."""
+    rows = spark.range(4000).selectExpr("CASE WHEN id < 2500 THEN 7 WHEN id < 2600 THEN NULL ELSE id END AS k", "id % 5 AS j", "id AS v")
+    one = rows.groupBy("k", "j").agg(F.count("*").alias("c"), F.max("v").alias("top"))
+    want = sorted(map(tuple, rows.join(one, ["k", "j"]).collect()))
+    plain = C.heavy_join(rows, one, ["k", "j"], "c")
+    assert "Union" not in (shown := plain._jdf.queryExecution().optimizedPlan().toString()) and shown.count("Join") == 1
+    assert sorted(map(tuple, plain.collect())) == want and plain.columns == ["k", "j", "v", "c", "top"]
+    monkeypatch.setattr(C, "LIGHT", 400)
+    dealt = C.heavy_join(rows, one, ["k", "j"], "c", 4000)
+    assert "Union" in dealt._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, dealt.collect())) == want and dealt.columns == plain.columns
+    none = rows.where("v < 0")
+    assert not C.heavy_join(none, one.where("c < 0"), ["k", "j"], "c").count()
