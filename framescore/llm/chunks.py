@@ -18,7 +18,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 #: Bytes of text in one chunk and of keys in one bucket of the census, on average.
@@ -49,12 +49,16 @@ def shared_dir(spark) -> str:
     return found
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """The rows, written once as a table in the shared folder and read from there; the lineage ends there."""
+def checkpoint(df: DataFrame, **measures: Column) -> DataFrame:
+    """The rows, written once as a table in the shared folder and read from there; the lineage ends there.
+
+    Aggregates given by name are found while the rows are written, without jobs of their own, and are in ``measured`` of what is returned.
+    """
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    seen = Observation() if measures else None
+    (df.observe(seen, *(c.alias(k) for k, c in measures.items())) if seen else df).write.parquet(path)
     found = df.sparkSession.read.schema(df.schema).parquet(path)
-    found._written = path
+    found._written, found.measured = path, seen.get if seen else {}
     return found
 
 
@@ -79,17 +83,25 @@ def slices(batch: pa.RecordBatch, most: int, col: str = "text"):
 HEAVY, LIGHT = 1000, 1000
 
 
-def heavy_join(rows: DataFrame, one: DataFrame, keys: list[str], count: str, total: int | None = None) -> DataFrame:
+def is_light(most: int, total: int) -> bool:
+    """Whether a key with ``most`` of ``total`` rows has too few of them to fill a task."""
+    return most <= max(LIGHT, total / HEAVY)
+
+
+def heavy_join(rows: DataFrame, one: DataFrame, keys: list[str], count: str, total: int | None = None, most: int | None = None) -> DataFrame:
     """Inner join of ``rows`` with ``one``, which has a row for each of their keys and in ``count`` how many of ``rows`` have it.
 
     A key with more than a ``HEAVY``-th of all rows, so one of ``HEAVY`` at most, and more than ``LIGHT`` is broadcast, and its rows
     stay where they are; all others have too few rows to fill a task.  Where there is no such key it is a plain join: each
-    broadcast costs the driver a thread, a job and a plan of its own.
+    broadcast costs the driver a thread, a job and a plan of its own.  So does counting, which is left out where ``total`` and ``most``,
+    the rows of all keys and of one key at most, are known, or ``most`` alone is small enough.
     """
-    most, all_rows = one.agg(F.max(count), F.sum(count)).first()
-    bar = max(LIGHT, (total if total is not None else all_rows or 0) / HEAVY)
-    if (most or 0) <= bar:
+    if most is None or most > LIGHT and total is None:
+        most, all_rows = (x or 0 for x in one.agg(F.max(count), F.sum(count)).first())
+        total = all_rows if total is None else total
+    if is_light(most, total or 0):
         return rows.join(one, keys)
+    bar = max(LIGHT, total / HEAVY)
     heavy = checkpoint(one.where(F.col(count) > bar))
     there = rows.join(F.broadcast(heavy), keys)
     rest = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(one.where(F.col(count) <= bar), keys)

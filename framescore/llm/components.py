@@ -2,7 +2,7 @@
 
 Links never come to the driver.  First each task contracts the links it holds to a
 spanning forest, then large-star and small-star rounds (each a grouped minimum joined back) point
-every node at a smaller one until nothing changes.  Every round is written to the shared folder.
+every node at a smaller one until all that is left is stars.  Every round is written to the shared folder.
 """
 
 from __future__ import annotations
@@ -10,10 +10,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .chunks import checkpoint, heavy_join
+from .chunks import checkpoint, heavy_join, is_light
 
 
 def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -42,21 +42,30 @@ def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(links: DataFrame) -> DataFrame:
     """``node`` and ``component``, the smallest node reached, of each node of ``links`` (u, v) that isn't its own smallest.
 
-    Rounds go on until no link changes.  A node that very many link to is joined by ``heavy_join``.
+    Rounds go on until every node has one link, to a node without any.  A node that very many link to is joined by ``heavy_join``;
+    where there is none, each node's rows meet in a window, which takes half the exchanges.
     """
     now = checkpoint(links.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u != v").mapInArrow(forest, "u long, v long").distinct())
-    n, state = now.count(), None
-    while n:
+    while True:
+        end = lambda c, starts: F.struct(F.col(c).alias("node"), F.lit(starts).alias("starts"))
+        nodes = now.select(F.explode(F.array(end("u", 1), end("v", 0))).alias("e")).groupBy("e.node").agg(F.count("*").alias("c"), F.sum("e.starts").alias("starts"))
+        unsettled, most, total = nodes.agg(F.count_if(F.expr("starts > 1 OR starts > 0 AND c > starts")), F.max("c"), F.sum("c")).first()
+        if not unsettled:
+            break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("c"))
+        light, lowest = is_light(most, total), F.min("v").over(Window.partitionBy("u"))
         # large star: larger neighbours point at the smallest neighbour
-        now = heavy_join(both, low, ["u"], "c", 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        if light:
+            large = both.withColumn("m", F.least(lowest, "u"))
+        else:
+            large = heavy_join(both, both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("c")), ["u"], "c", total, most)
+        large = large.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # small star: smaller neighbours and the node itself do so; each node has few of these
-        low = now.groupBy("u").agg(F.min("v").alias("m"))
-        held = now.join(low, "u")
-        now = checkpoint(held.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        new = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.count_distinct("u")).first()
-        if new == state or new[0] == new[2] and not now.join(now.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count():
-            break  # every node has one link, to a node without any
-        n, state = new[0], new
+        if light:
+            small = large.withColumn("m", lowest)
+        else:
+            large = large.distinct()
+            small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+        pairs = F.array(*(F.struct(F.col(c).alias("u"), F.col("m").alias("v")) for c in ("u", "v")))
+        now = checkpoint(small.select(F.explode(pairs).alias("e")).select("e.*").where("u != v").distinct())
     return now.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -214,11 +214,12 @@ def near_pairs(ids, comp, n, known, side, sketches: list[bytes], p: int, q: int)
 BLOCK = 512
 
 
-def across(rows: DataFrame, shape: DataFrame, p: int, q: int, block: int = BLOCK) -> DataFrame:
+def across(rows: DataFrame, shape: DataFrame, p: int, q: int, block: int = BLOCK, most: int | None = None) -> DataFrame:
     """Pairs (u, v) of rows (key, v, c, known) that share a key, are in different components and, by their ``shape`` (doc_id, n, sketch), may be linked.
 
     A key with more than ``block`` rows is dealt out by size, one factor q / p to a class, and blocks of a
     class meet each other and those of the next class only: sets further apart in size don't link.
+    ``most``: the rows of one key at most, where that is known.
     """
     step = math.log(q / p) if q > p else 1.0
     # sizes whose ratio is q / p at most are in one class or in neighbouring ones, the rounding of logarithms included
@@ -240,7 +241,7 @@ def across(rows: DataFrame, shape: DataFrame, p: int, q: int, block: int = BLOCK
         every("up", lambda o: at(s, own, s + 1, o, F.lit(False))),
         every("down", lambda o: at(s - 1, o, s, own, F.lit(True))),
     )
-    sent = C.heavy_join(rows, per, ["key", "s"], "cnt").withColumn("g", F.explode(F.when(F.col("all") <= block, one).otherwise(dealt)))
+    sent = C.heavy_join(rows, per, ["key", "s"], "cnt", most=most).withColumn("g", F.explode(F.when(F.col("all") <= block, one).otherwise(dealt)))
     group = ["key", "s1", "i", "s2", "j"]
     sent = sent.select("key", "g.s1", "g.i", "g.s2", "g.j", "g.side", "v", "c", "n", "known").join(shape, ["v", "n"])  # sketches come last, so that they are moved once
 
@@ -289,12 +290,12 @@ def compared(pairs: DataFrame, sizes: DataFrame, held: DataFrame, check, few: in
     ``held`` rows with the id v go to the groups of u, which has one for each ``GROUP_WORDS`` words, by ``sizes`` (doc_id, n),
     of all its v.  Up to ``few`` pairs are broadcast, so of ``held`` only rows in pairs are moved; more are joined.
     """
-    pairs = C.checkpoint(pairs)
-    count = pairs.count()
+    pairs = C.checkpoint(pairs, count=F.count("*"))
+    count = pairs.measured["count"]
     # many partners of one u: dealt out in groups
     load = pairs.join(sizes.groupBy("doc_id").agg(F.max("n").alias("n")).withColumnRenamed("doc_id", "v"), "v").groupBy("u").agg(F.count("*").alias("pairs_of"), F.sum("n").alias("words"))
-    load = C.checkpoint(load.select("u", "pairs_of", F.greatest(F.lit(1), F.ceil(F.col("words") / GROUP_WORDS)).cast("int").alias("groups")))
-    salted = C.heavy_join(pairs, load, ["u"], "pairs_of", count).select("u", "v", F.pmod(F.xxhash64("v"), F.col("groups")).cast("int").alias("salt"))
+    load = C.checkpoint(load.select("u", "pairs_of", F.greatest(F.lit(1), F.ceil(F.col("words") / GROUP_WORDS)).cast("int").alias("groups")), most=F.max("pairs_of"))
+    salted = C.heavy_join(pairs, load, ["u"], "pairs_of", count, load.measured["most"] or 0).select("u", "v", F.pmod(F.xxhash64("v"), F.col("groups")).cast("int").alias("salt"))
     to_u = load.select("u", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("salt"))
     put = F.broadcast if count <= few else lambda x: x
     theirs = held.join(put(salted.withColumnRenamed("v", "doc_id")), "doc_id").withColumnRenamed("doc_id", "v")
@@ -347,11 +348,12 @@ def jaccard_components(docs: DataFrame, words: int = 5, p: int = 80, q: int = 10
     texts = docs.where("doc_id IS NOT NULL")
     spread = sets.select(F.col("doc_id").alias("v"), F.explode("keys").alias("key"))
     # a key's hub is the one that others share most keys with: of copies of one text, that text
-    common = C.checkpoint(spread.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"))
-    spread = C.checkpoint(C.heavy_join(spread, common, ["key"], "c"))
+    common = C.checkpoint(spread.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), most=F.max("c"), total=F.sum("c"))
+    most, total = (common.measured[k] or 0 for k in ("most", "total"))  # of one key, which below has no more rows than here
+    spread = C.checkpoint(C.heavy_join(spread, common, ["key"], "c", total, most))
     central = spread.groupBy("v").agg(F.sum("c").alias("s"))
     hubs = spread.join(central, "v").groupBy("key").agg(F.max(F.struct("s", -F.col("v"))).alias("h"), F.count("*").alias("c")).select("key", (-F.col("h.col2")).alias("h"), "c")
-    spread = C.checkpoint(C.heavy_join(spread.drop("c"), hubs, ["key"], "c").withColumns({"lo": F.least("h", "v"), "hi": F.greatest("h", "v")}))
+    spread = C.checkpoint(C.heavy_join(spread.drop("c"), hubs, ["key"], "c", total, most).withColumns({"lo": F.least("h", "v"), "hi": F.greatest("h", "v")}))
     shape = sets.select("doc_id", "n", "sketch")
     star = spread.where("lo < hi").select(F.col("lo").alias("u"), F.col("hi").alias("v")).distinct()
     seen = C.checkpoint(compared(star, shape, shape, _by_sketch(p, q), few))
@@ -364,19 +366,21 @@ def jaccard_components(docs: DataFrame, words: int = 5, p: int = 80, q: int = 10
     several = sets.groupBy(F.col("doc_id").alias("v")).agg(F.count("*").alias("texts")).where("texts > 1")
     what = F.when(F.col("texts").isNotNull(), NOT).otherwise(F.coalesce("known", F.lit(MAYBE)))
     # the hub itself has met all others
-    labelled = C.checkpoint(labelled.where("lo < hi").join(several, "v", "left").select("key", "v", F.coalesce("component", "v").alias("c"), what.alias("known")))
+    labelled = C.checkpoint(labelled.where("lo < hi").join(several, "v", "left").select("key", "v", F.coalesce("component", "v").alias("c"), what.alias("known"), "texts"), total=F.count("*"), several=F.count("texts"))
     # those linked to the hub have only those to meet that are neither linked to it nor far from it
     rest = F.when(F.col("known") != MAYBE, F.col("c"))
     per_key = labelled.groupBy("key").agg(F.count("*").alias("rows_of"), F.count(F.when(F.col("known") == NOT, 1)).alias("open"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(rest).alias("rest_lo"), F.max(rest).alias("rest_hi"))
-    todo = C.heavy_join(labelled, per_key, ["key"], "rows_of").where(f"lo < hi AND (open > 0 OR known != {MAYBE} AND rest_lo < rest_hi)")
-    pairs = across(todo.select("key", "v", "c", "known"), shape, p, q, block).distinct()
+    todo = C.heavy_join(labelled, per_key, ["key"], "rows_of", labelled.measured["total"], most).where(f"lo < hi AND (open > 0 OR known != {MAYBE} AND rest_lo < rest_hi)")
+    todo = C.checkpoint(todo.select("key", "v", "c", "known"))  # read twice; a smaller plan, too
+    pairs = across(todo, shape, p, q, block, None if labelled.measured["several"] else most).distinct()
     pairs = pairs.join(seen.select("u", "v"), ["u", "v"], "left_anti")
     links = links.unionByName(compared(pairs, shape, texts, _by_set(words, p, q), few).where("state = 1").select("u", "v"))
     label = components(links)
-    placed = C.checkpoint(classes.join(label, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    placed = C.checkpoint(classes.join(label, "node", "left").withColumn("component", F.coalesce("component", "node")), n=F.count("*"), most=F.max("copies"), total=F.sum("copies"))
+    rows_of = placed.measured
     lowest = placed.groupBy("component").agg(F.min("low").alias("component_id"), F.count("*").alias("classes"))
-    found = C.heavy_join(placed, lowest, ["component"], "classes").select("sig_a", "sig_b", "component_id", "copies")
-    named = C.heavy_join(usable.select("doc_id", "n", "sig_a", "sig_b"), found, ["sig_a", "sig_b"], "copies")
+    found = C.heavy_join(placed, lowest, ["component"], "classes", rows_of["n"], rows_of["n"] if rows_of["n"] <= C.LIGHT else None).select("sig_a", "sig_b", "component_id", "copies")
+    named = C.heavy_join(usable.select("doc_id", "n", "sig_a", "sig_b"), found, ["sig_a", "sig_b"], "copies", rows_of["total"] or 0, rows_of["most"] or 0)
     alone = rows.where("doc_id IS NULL OR n = 0").withColumn("component_id", F.col("doc_id"))
     return named.select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(alone.select("doc_id", F.col("n").alias("n_shingles"), "component_id"))
 
